@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe_chunks import bpe_encode
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .quality_rules_sql import RULES
 
@@ -14,11 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_encode(table(spark, sf_dir, "documents"))
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digests)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_chunks": op2_bpe_chunks,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
