@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_encode
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .quality_rules_sql import RULES
@@ -27,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_chunks": op2_bpe_chunks,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_minhash_bayes": op4_minhash_bayes,
     "op10_quality_rules": op10_quality_rules,
 }
 
