@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_encode
+from .html_text import extract_text
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .quality_rules_sql import RULES
+from .warc import archived
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,14 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op8_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_chunks": op2_bpe_chunks,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_bayes": op4_minhash_bayes,
+    "op7_content_addressed_warc": op7_content_addressed_warc,
+    "op8_tag_path_ratios": op8_tag_path_ratios,
     "op10_quality_rules": op10_quality_rules,
 }
 
