@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_encode
 from .html_text import extract_text
+from .language import identify_held_out
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -34,6 +35,10 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_chunks": op2_bpe_chunks,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_bayes": op4_minhash_bayes,
+    "op5_output_codes": op5_output_codes,
     "op7_content_addressed_warc": op7_content_addressed_warc,
     "op8_tag_path_ratios": op8_tag_path_ratios,
     "op10_quality_rules": op10_quality_rules,
