@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .language import identify_held_out
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality_model import score_held_out
 from .quality_rules import quality_rules
 from .quality_rules_sql import RULES
 from .warc import archived
@@ -47,6 +48,10 @@ def op8_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_output_codes": op5_output_codes,
     "op7_content_addressed_warc": op7_content_addressed_warc,
     "op8_tag_path_ratios": op8_tag_path_ratios,
+    "op9_random_indexing": op9_random_indexing,
     "op10_quality_rules": op10_quality_rules,
 }
 
