@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_encode
+from .embeddings import near_vectors
 from .html_text import extract_text
 from .language import identify_held_out
 from .minhash import near_duplicates
@@ -40,6 +41,10 @@ def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_bayes": op4_minhash_bayes,
     "op5_output_codes": op5_output_codes,
+    "op6_multi_index": op6_multi_index,
     "op7_content_addressed_warc": op7_content_addressed_warc,
     "op8_tag_path_ratios": op8_tag_path_ratios,
     "op9_random_indexing": op9_random_indexing,
