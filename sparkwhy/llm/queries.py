@@ -16,6 +16,8 @@ from .packing import pack_documents
 from .quality_model import score_held_out
 from .quality_rules import quality_rules
 from .quality_rules_sql import RULES
+from .url_filter import judge, made_labels
+from .url_filter import train as train_urls
 from .warc import archived
 
 
@@ -23,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op1_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), train_urls(made_labels(spark)), URL_RULES)
+
+
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_encode(table(spark, sf_dir, "documents"))
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
@@ -62,6 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_urls": op1_boosted_urls,
     "op2_bpe_chunks": op2_bpe_chunks,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_bayes": op4_minhash_bayes,
