@@ -204,6 +204,19 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     return source.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def keep_predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose predicted quality is 1, with all their columns and without a shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(shared.value.score(batch.column(at).to_pylist())) >= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, held: int = 1) -> DataFrame:
     """Learn from labelled rows outside the held-out fold; score all rows and name the fold."""
     model = train(docs, labels, id_col, text_col, label_col, modulus, held)
