@@ -37,12 +37,13 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def multi_sequence(first: np.ndarray, second: np.ndarray, bound: float) -> Iterator[tuple[int, int]]:
-    """Cells (i, j) by increasing first[i] + second[j], as far as ``bound``."""
+    """Cells (i, j) by increasing first[i] + second[j], as far as ``bound`` beyond the nearest."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen = [(float(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}
+    nearest = float(first[a[0]] + second[b[0]])
+    heap, seen = [(nearest, 0, 0)], {(0, 0)}
     while heap:
         value, i, j = heapq.heappop(heap)
-        if value > bound:
+        if value > nearest + bound:
             return
         yield int(a[i]), int(b[j])
         for x, y in ((i + 1, j), (i, j + 1)):
@@ -69,14 +70,15 @@ class MultiIndex:
             keep = np.flatnonzero(i + at < j)[:4096]
             if len(keep):
                 costs.append(self._cost(sample[i[keep] + at], sample[j[keep]]))
-        self.bound = max(float(np.quantile(c, recall)) for c in costs) * (1 + 1e-9)
+        self.bound = max(float(np.quantile(c, recall)) for c in costs) + 1e-9
 
     def _cost(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How far a traversal from x must go to meet y, or one from y to meet x, if that is less."""
+        """How far beyond its nearest cell a traversal from x must go to meet y, or one from y to meet x, if that is less."""
         (x1, x2), (y1, y2) = self.distances(x), self.distances(y)
         rows = np.arange(len(x))
-        from_x = x1[rows, y1.argmin(1)] + x2[rows, y2.argmin(1)]
-        return np.minimum(from_x, y1[rows, x1.argmin(1)] + y2[rows, x2.argmin(1)])
+        from_x = x1[rows, y1.argmin(1)] + x2[rows, y2.argmin(1)] - x1.min(1) - x2.min(1)
+        from_y = y1[rows, x1.argmin(1)] + y2[rows, x2.argmin(1)] - y1.min(1) - y2.min(1)
+        return np.minimum(from_x, from_y)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _squared(x[:, : self.half], self.books[0]), _squared(x[:, self.half :], self.books[1])
@@ -100,17 +102,27 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
 def _compare(cosine: float, kind: str):
     """Rows (a, b, links): links of node a if b is null, else a link that joins a and b."""
 
-    def task(key: tuple, sides: tuple[dict, dict]) -> Iterator[tuple]:
-        own, other = key[:2]
+    def task(target: int, sides: tuple[dict, dict]) -> Iterator[tuple]:
+        """Searches that visit a cell against vectors in it."""
         left, right = list(sides[0].items()), list(sides[1].items())
         if not left or not right:
             return
         similar = _unit([v[0] for _, v in left], kind) @ _unit([v[0] for _, v in right], kind).T >= cosine
-        if own == other:
-            names = np.array([k for k, _ in left], object)
-            similar &= names[:, None] < np.array([k for k, _ in right], object)[None]
-        elif own > other:  # where the other side visits this cell, the pair is found there
-            similar &= ~np.array([own in v[2] for _, v in right])[None]
+        cells = np.array([v[2] for _, v in left], np.int64)
+        inside = np.flatnonzero(cells == target)
+        if len(inside):
+            names = np.array([k for k, _ in right], object)
+            similar[inside] &= np.array([left[k][0] for k in inside], object)[:, None] < names[None]
+        # Where a search from the other side meets this one in a lower cell, the pair is counted there.
+        lower = np.unique(cells[cells < target])
+        if len(lower):
+            flat = np.array([c for _, v in right for c in v[3]], np.int64)
+            row = np.repeat(np.arange(len(right)), [len(v[3]) for _, v in right])
+            at = np.minimum(np.searchsorted(lower, flat), len(lower) - 1)
+            meets = np.zeros((len(lower), len(right)), bool)
+            meets[at[lower[at] == flat], row[lower[at] == flat]] = True
+            below = np.flatnonzero(cells < target)
+            similar[below] &= ~meets[np.searchsorted(lower, cells[below])]
         many_left, many_right = (np.array([v[1] for _, v in s], np.int64) for s in (left, right))
         for side, found in ((left, similar @ many_right), (right, similar.T @ many_left)):
             for k in np.flatnonzero(found):
@@ -129,11 +141,11 @@ def _compare(cosine: float, kind: str):
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, members in groupby(rows(batches), key=lambda r: r[:4]):
+        for key, members in groupby(rows(batches), key=lambda r: r[:3]):
             sides: tuple[dict, dict] = {}, {}
-            for *_, side, node, vector, many, visits in members:
-                sides[side][node] = vector, many, visits or ()
-            out = list(task(key, sides))
+            for *_, side, node, vector, many, cell, visits in members:
+                sides[side][node] = vector, many, cell, visits or ()
+            out = list(task(key[0], sides))
             for at in range(0, len(out), 20_000):
                 a, b, n = zip(*out[at : at + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "links"])
@@ -146,8 +158,8 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     cosine: float = 0.9,
-    recall: float = 0.995,
-    per_cell: int = 512,
+    recall: float = 0.99,
+    per_cell: int = 128,
     chunk: int = 2048,
     most_sample: int = 4096,
 ) -> DataFrame:
@@ -156,10 +168,10 @@ def near_vectors(
     Codebooks for the two halves of the unit vectors are fitted on a bounded sample of at most
     ``most_sample`` distinct vectors; they make a product grid of about one cell for ``per_cell``
     vectors, and every vector is put into its cell. Every vector is also a query: a
-    multi-sequence traversal visits cells by increasing distance as far as found enough for
-    ``recall`` on sample pairs just at the limit. All vectors of the cells visited are then
-    compared exactly, in blocks of ``chunk`` from either side, so large cells are shared
-    among tasks and leave a task only as counts and as links that join what was apart.
+    multi-sequence traversal visits cells by increasing distance, as far beyond the nearest
+    as found enough for ``recall`` on sample pairs just at the limit. The searches that visit
+    a cell are compared with its vectors exactly, in blocks of ``chunk`` from either side: large
+    cells are shared among tasks, which emit only counts and links that join what was apart.
     A pair counts if a search from either of its vectors meets the other.
 
     Returns one row per input row: id, n_links (other rows linked directly), component_id (smallest
@@ -203,16 +215,18 @@ def near_vectors(
 
     placed = nodes.select("node", "vector", "many").mapInArrow(assign, "node binary, vector binary, many long, cell int, visits array<int>")
     placed = stored(placed, "placed")
-    chunks = placed.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    dealt = placed.join(chunks, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    visited = dealt.select("cell", "chunks", F.explode("visits").alias("other")).distinct()
-    names = ["own", "other", "own_part", "other_part", "side", "node", "vector", "many", "visits"]
-    left = dealt.select(F.col("cell").alias("own"), F.explode("visits").alias("other"), F.col("part").alias("own_part"), "node", "vector", "many")
-    left = left.join(chunks.select(F.col("cell").alias("other"), F.col("chunks").alias("n")), "other")
-    left = left.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("side", F.lit(0)).withColumn("visits", F.lit(None).cast("array<int>"))
-    right = dealt.drop("chunks").withColumnsRenamed({"cell": "other", "part": "other_part"}).join(visited.withColumnRenamed("cell", "own"), "other")
-    right = right.withColumn("own_part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
-    tasks = left.select(names).unionByName(right.select(names)).repartition(*names[:4]).sortWithinPartitions(*names[:6])
+    searches = placed.select("node", "vector", "many", "cell", F.explode("visits").alias("target"))
+    parts = lambda name: F.ceil(F.count("*") / chunk).cast("int").alias(name)
+    sizes = searches.groupBy("target").agg(parts("searches")).join(placed.groupBy(F.col("cell").alias("target")).agg(parts("members")), "target")
+    sizes = stored(sizes, "cell-sizes")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["target", "search_part", "member_part", "side", "node", "vector", "many", "cell", "visits"]
+    left = searches.join(sizes, "target").withColumn("search_part", part("searches")).withColumn("member_part", every("members"))
+    left = left.withColumn("side", F.lit(0)).withColumn("visits", F.lit(None).cast("array<int>"))
+    right = placed.withColumn("target", F.col("cell")).join(sizes, "target").withColumn("member_part", part("members")).withColumn("search_part", every("searches"))
+    right = right.withColumn("side", F.lit(1))
+    tasks = left.select(names).unionByName(right.select(names)).repartition(*names[:3]).sortWithinPartitions(*names[:5])
     found = stored(tasks.mapInArrow(_compare(cosine, kind), "a binary, b binary, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
