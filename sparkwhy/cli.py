@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 from .engine import Engine, Settings
 from .plans.question import Aggregate, Filter, Query, Question
-from .sources.catalog import TPCH_FOREIGN_KEYS, TPCH_KEYS, Catalog, ForeignKey
+from .sources.catalog import TPCH_FOREIGN_KEYS, TPCH_KEYS, Catalog, ForeignKey, star_catalog
+from .workloads import WORKLOADS
 
 
 def read_question(spec: dict) -> Question:
@@ -36,11 +37,11 @@ def parser() -> argparse.ArgumentParser:
     p, d = argparse.ArgumentParser(description=__doc__), Settings()
     yes = lambda text: text.lower() in ("y", "yes", "true", "1")
     p.add_argument("directory", help="folder of <table>.parquet")
-    p.add_argument("question", help="JSON file of the question")
+    p.add_argument("question", help="JSON file of the question, or the name of a workload")
     p.add_argument("output", help="folder for the result tables")
     p.add_argument("-M", "--max-edges", type=int, default=d.max_edges)
     p.add_argument("-F", "--score-rate", type=float, default=d.score_rate)
-    p.add_argument("-w", "--sample-type", choices=("weighted", "uniform"), default=d.sample_type)
+    p.add_argument("-w", "--sample-type", choices=("weighted", "spread", "uniform"), default=d.sample_type)
     p.add_argument("-z", "--score-least", type=int, default=d.score_least)
     p.add_argument("-o", "--optimised", type=yes, default=d.optimised)
     p.add_argument("-i", "--skip-expensive", type=yes, default=d.skip_expensive)
@@ -53,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", "--max-bounds", type=int, default=d.max_bounds)
     p.add_argument("-L", "--only-candidates", action="store_true")
     p.add_argument("--strict-keys", type=yes, default=d.strict_keys)
+    p.add_argument("--threads", type=int, default=d.threads)
     p.add_argument("--exact", action="store_true")
     p.add_argument("--seed", type=int, default=d.seed)
     p.add_argument("--description", default="run")
@@ -62,11 +64,14 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
     directory, path, output, description = (args.pop(k) for k in ("directory", "question", "output", "description"))
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
     spark = SparkSession.builder.appName("sparkwhy").getOrCreate()
-    engine = Engine(spark, read_catalog(spark, directory, spec))
-    found = engine.explain(read_question(spec), Settings(**args))
+    if path in WORKLOADS:
+        question, catalog = WORKLOADS[path], star_catalog(spark, directory)
+    else:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        question, catalog = read_question(spec), read_catalog(spark, directory, spec)
+    found = Engine(spark, catalog).explain(question, Settings(**args))
     found.save(spark, output, description)
     print(found.stats.report())
     for d in found.best:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,7 @@ class Settings:
     score_mode: str = "s"  # -t: o whole table, s sample, e both
     score_rate: float = 0.3  # -F
     score_least: int = 100  # -z
-    sample_type: str = "weighted"  # -w: weighted or uniform
+    sample_type: str = "weighted"  # -w: weighted by frequency, spread (also by variation), or uniform
     optimised: bool = True  # -o: choose attributes first; else try all combinations
     max_bounds: int = 2
     bound_rate: float = 1.5
@@ -46,6 +48,7 @@ class Settings:
     only_candidates: bool = False  # -L
     seed: int = 1
     exact: bool = False  # no samples at all
+    threads: int = 4  # joined tables worked on at a time
 
 
 @dataclass
@@ -126,7 +129,7 @@ class Engine:
         sample = sample_sizes = None
         if settings.score_mode != "o" and not settings.exact:
             with stats.timed("f1_sample"):
-                sample = self._sample(rows, n, nominal, settings)
+                sample = self._sample(rows, n, nominal, ordinal, settings)
                 sample_sizes = score.side_sizes(sample) if sample is not None else None
 
         def scored(tried: list[Pattern]) -> list[Pattern]:
@@ -149,13 +152,15 @@ class Engine:
         discard(rows)
         return out
 
-    def _sample(self, rows: DataFrame, n: int, nominal: list[str], settings: Settings) -> DataFrame | None:
+    def _sample(self, rows: DataFrame, n: int, nominal: list[str], ordinal: list[str], settings: Settings) -> DataFrame | None:
         size = sampling.score_size(n, settings.score_rate, settings.score_least)
         if size is None:
             return None
-        if settings.sample_type == "weighted" and nominal:
-            counts = rows.agg(*[sampling.F.approx_count_distinct(c).alias(c) for c in nominal]).first()
-            column = max(nominal, key=lambda c: (counts[c], c))
+        if settings.sample_type != "uniform" and nominal:
+            column = sampling.widest(rows, nominal)
+            measure = sampling.most_varying(rows, ordinal) if settings.sample_type == "spread" and ordinal else None
+            if measure:
+                return written(sampling.weighted_by_spread(rows, column, measure, size, settings.seed), "sample")
             return written(sampling.weighted_by_count(rows, column, size, settings.seed), "sample")
         return written(sampling.uniform(rows, size, settings.seed), "sample")
 
@@ -172,14 +177,20 @@ class Engine:
             found = self.joined(question.query, pt, roles, self.graphs(question.query, settings), settings)
             out.graphs = [a.graph for a in found]
             out.stats.add("join_graphs", len(found))
-        for k, apt in enumerate(found, 1):
-            before = out.stats.total()
+
+        def one(numbered: tuple[int, Apt]) -> tuple[Apt, list[Described]]:
+            k, apt = numbered
+            start = time.perf_counter()
             mined = [describe(apt, p, f"jg_{k}") for p in self.mine(apt, settings, out.stats)]
-            out.stats.graph_times[f"jg_{k}: {apt.graph.text(False)}"] = out.stats.total() - before
-            out.patterns += mined
-            with out.stats.timed("rank_patterns"):
-                top = rank.diversified(mined)
-            yield apt.graph, top
+            out.stats.graph_times[f"jg_{k}: {apt.graph.text(False)}"] = time.perf_counter() - start
+            return apt, mined
+
+        with ThreadPoolExecutor(max(1, settings.threads)) as pool:
+            for apt, mined in pool.map(one, enumerate(found, 1)):
+                out.patterns += mined
+                with out.stats.timed("rank_patterns"):
+                    top = rank.diversified(mined)
+                yield apt.graph, top
         discard(pt)
 
     def explain(self, question: Question, settings: Settings = Settings()) -> Explanation:

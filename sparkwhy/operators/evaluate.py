@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lca, sampling
+
 
 def paired(truth: DataFrame, sampled: DataFrame, on: Sequence[str] = ("is_user", "jg", "p_desc"), score: str = "fscore") -> DataFrame:
     """Full outer join of two runs on what identifies a pattern; a missing score is null."""
@@ -44,6 +48,33 @@ def agreement(patterns: DataFrame, stats: DataFrame) -> DataFrame:
     return stats.join(counts, "exp_desc", "left").withColumn("num_match", F.coalesce("num_match", F.lit(0)))
 
 
+def lca_study(apt_rows: DataFrame, attributes: Sequence[str], sizes: Sequence[int], most: int = 10, seed: int = 1) -> DataFrame:
+    """How candidates depend on the sample: for each size the time, and how many of its top patterns the largest run has too."""
+    spark, runs, patterns = apt_rows.sparkSession, [], []
+    rows = apt_rows.count()
+    for size in sizes:
+        start = time.perf_counter()
+        left, right = sampling.uniform(apt_rows, size, seed), sampling.uniform(apt_rows, size, seed + 1)
+        found = lca.common_values(left, right, list(attributes), most, size).collect()
+        runs.append((f"sample_{size}", time.perf_counter() - start, str(min(size, rows)), rows, len(found), len(attributes)))
+        patterns += [(f"sample_{size}", " ∧ ".join(f"{a}={r[a]}" for a in attributes if r[a] is not None)) for r in found]
+    stats = spark.createDataFrame(runs, "exp_desc string, time double, sample_size string, apt_size long, num_result_p long, num_attrs int")
+    return agreement(spark.createDataFrame(patterns, "exp_desc string, pattern string"), stats)
+
+
+def ndcg_study(engine, question, edges: Sequence[int], rates: Sequence[float], settings) -> DataFrame:
+    """How well sampled scores rank patterns: one row (edges, sample_rate, runtime, ndcg_score) for each setting."""
+    out = []
+    for e in edges:
+        exact = engine.explain(question, replace(settings, max_edges=e, exact=True, score_mode="o")).tables(engine.spark)["patterns"]
+        for rate in rates:
+            start = time.perf_counter()
+            sampled = engine.explain(question, replace(settings, max_edges=e, score_rate=rate, score_mode="s")).tables(engine.spark)["patterns"]
+            taken = time.perf_counter() - start
+            out.append((e, rate, taken, ndcg(exact, sampled, ["is_user", "jg_details", "p_desc"]).first()["ndcg_score"]))
+    return engine.spark.createDataFrame(out, "edges int, sample_rate double, runtime double, ndcg_score double")
+
+
 def only_in(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of the first run whose key the second lacks; unlike NOT IN, nulls there hide nothing."""
     return first.join(second.select(*on).distinct(), list(on), "left_anti")

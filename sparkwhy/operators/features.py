@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -109,7 +110,7 @@ def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows:
     if not columns:
         return Features()
     sample = rows.select("is_user", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]).orderBy(F.rand(seed)).limit(sample_rows)
-    pandas = sample.toPandas()
+    pandas = sample.toArrow().to_pandas()
     stands: dict[str, tuple[str, ...]] = {}
     if len(columns) >= 3:
         kept = [c for c in columns if pandas[c].nunique() > 1]
@@ -125,9 +126,9 @@ def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows:
     if pandas["is_user"].nunique() < 2:
         weights = np.zeros(len(inputs))
     else:
-        local = rows.sparkSession.createDataFrame(pandas[["is_user", *inputs]]).withColumn("label", (F.col("is_user") == "yes").cast("double"))
-        ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(local).select("features", "label")
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
+        local = rows.sparkSession.createDataFrame(pa.Table.from_pandas(pandas[["is_user", *inputs]], preserve_index=False)).withColumn("label", (F.col("is_user") == "yes").cast("double"))
+        ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(local).select("features", "label").coalesce(2)
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=512).fit(ready)
         weights = forest.featureImportances.toArray()
     ranked = sorted(zip(inputs, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))
     return Features(tuple(ranked), tuple(stands.items()), tuple(c for c, _ in ranked if c in special))

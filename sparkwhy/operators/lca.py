@@ -37,6 +37,6 @@ def by_recall(rows: DataFrame, found: list[tuple[tuple[str, object], ...]], leas
     if not found:
         return []
     total = sum(side_sizes(rows).values())
-    counts = matching_tuples(rows, [Pattern(nominal=f).predicate() for f in found])
+    counts = matching_tuples(rows, [Pattern(nominal=f) for f in found])
     ranked = sorted(zip(found, counts, strict=True), key=lambda x: (-(x[1]["yes"] + x[1]["no"]), str(x[0])))
     return [(f, (n["yes"] + n["no"]) / total) for f, n in ranked[:most] if total and (n["yes"] + n["no"]) / total >= least]

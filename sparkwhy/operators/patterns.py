@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from .apt import Apt
 
 
+def part_column(part: tuple[str, str, object]) -> Column:
+    """One part of a pattern: (attribute, =, < or >, constant)."""
+    name, op, value = part
+    return F.col(name) == F.lit(value) if op == "=" else F.col(name) > value if op == ">" else F.col(name) < value
+
+
 @dataclass(frozen=True)
 class Pattern:
     nominal: tuple[tuple[str, object], ...] = ()
@@ -28,9 +34,10 @@ class Pattern:
 
     def predicate(self) -> Column:
         """True where every part holds; nulls count as not matching."""
-        parts = [F.col(a) == F.lit(v) for a, v in self.nominal]
-        parts += [F.col(a) > c if op == ">" else F.col(a) < c for a, op, c in self.ordinal]
-        return F.coalesce(reduce(and_, parts, F.lit(True)), F.lit(False))
+        return F.coalesce(reduce(and_, map(part_column, self.parts()), F.lit(True)), F.lit(False))
+
+    def parts(self) -> list[tuple[str, str, object]]:
+        return [(a, "=", v) for a, v in self.nominal] + list(self.ordinal)
 
     def attributes(self) -> set[str]:
         return {a for a, _ in self.nominal} | {a for a, *_ in self.ordinal}

@@ -51,3 +51,16 @@ def weighted_by_spread(rows: DataFrame, column: str, measure: str, n: int, seed:
     weights = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg((F.count("*") * spread).alias("_weight"))
     joined = rows.join(weights, rows[column] == F.col("_v"))
     return joined.orderBy((_unit(seed, by) * F.col("_weight")).desc_nulls_last(), *(by or [])).limit(n).drop("_v", "_weight")
+
+
+def widest(rows: DataFrame, columns: list[str]) -> str:
+    """The column with most distinct values, about; the last by name of equal ones."""
+    counts = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    return max(columns, key=lambda c: (counts[c], c))
+
+
+def most_varying(rows: DataFrame, columns: list[str]) -> str | None:
+    """The column with the highest coefficient of variation; None if no column has one."""
+    spread = rows.agg(*[F.abs(F.stddev_samp(c) / F.nullif(F.avg(c), F.lit(0))).alias(c) for c in columns]).first()
+    found = [c for c in columns if spread[c] is not None]
+    return max(found, key=lambda c: (spread[c], c), default=None)

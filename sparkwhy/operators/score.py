@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import Pattern
+from .patterns import Pattern, part_column
 
 SIDES = ("yes", "no")
-_BITS, _MASKS = 62, 4
+_BITS, _MASKS = 62, 32
 
 
 def side_sizes(rows: DataFrame) -> dict[str, int]:
@@ -21,34 +23,55 @@ def side_sizes(rows: DataFrame) -> dict[str, int]:
     return {s: 0 for s in SIDES} | {r["is_user"]: r["n"] for r in found}
 
 
-def matching_tuples(rows: DataFrame, predicates: Sequence[Column]) -> list[dict[str, int]]:
-    """For each predicate, the distinct tuples of each side that have a row where it holds.
+def matching_tuples(rows: DataFrame, patterns: Sequence[Pattern]) -> list[dict[str, int]]:
+    """For each pattern, the distinct tuples of each side that have a row where it holds.
 
-    Joins repeat tuples, so rows are first reduced to one per tuple, and whether any of
-    its rows matches is one bit for each predicate in a few long integers: the shuffle
-    carries a row per tuple however many patterns there are, combined before it is sent.
+    The parts of all patterns are few, as patterns share them: each is one boolean column. Only
+    these go to Python, where whole batches are combined into one bit for each pattern in a
+    few long integers. As joins repeat tuples, rows are then reduced to one per tuple by
+    bitwise or: the shuffle carries a row per tuple, combined before it is sent, however
+    many patterns there are. Their bits are counted per partition, and the counts summed.
     """
     out: list[dict[str, int]] = []
-    for start in range(0, len(predicates), _BITS * _MASKS):
-        part = predicates[start : start + _BITS * _MASKS]
-        masks = []
-        for k in range(0, len(part), _BITS):
-            bits = [F.when(p, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, p in enumerate(part[k : k + _BITS])]
-            masks.append(F.bit_or(_combined(bits)).alias(f"_m{k // _BITS}"))
-        tuples = rows.groupBy("is_user", "pnumber").agg(*masks)
-        totals = tuples.groupBy("is_user").agg(*[
-            F.sum(F.shiftright(F.col(f"_m{j // _BITS}"), j % _BITS).bitwiseAND(F.lit(1))).alias(f"_n{j}") for j in range(len(part))
-        ]).collect()
-        found = {r["is_user"]: r for r in totals}
-        out += [{s: int(found[s][f"_n{j}"] or 0) if s in found else 0 for s in SIDES} for j in range(len(part))]
+    for start in range(0, len(patterns), _BITS * _MASKS):
+        out += _counted(rows, patterns[start : start + _BITS * _MASKS])
     return out
 
 
-def _combined(bits: list[Column]) -> Column:
-    """Bitwise or, as a balanced tree so that expressions stay shallow."""
-    while len(bits) > 1:
-        bits = [bits[k].bitwiseOR(bits[k + 1]) if k + 1 < len(bits) else bits[k] for k in range(0, len(bits), 2)]
-    return bits[0]
+def _counted(rows: DataFrame, patterns: Sequence[Pattern]) -> list[dict[str, int]]:
+    number: dict[tuple, int] = {}
+    uses = [[number.setdefault(a, len(number)) for a in p.parts()] for p in patterns]
+    masks = [f"_m{k}" for k in range(-(-len(patterns) // _BITS))]
+    tests = [F.coalesce(part_column(a), F.lit(False)).alias(f"_t{k}") for a, k in number.items()]
+    schema = f"is_user string, pnumber long, {', '.join(f'{m} long' for m in masks)}"
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+            made = [np.zeros(batch.num_rows, np.int64) for _ in masks]
+            for k, parts in enumerate(uses):
+                match = np.ones(batch.num_rows, bool)
+                for t in parts:
+                    match &= held[t]
+                made[k // _BITS] |= match.astype(np.int64) << (k % _BITS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, made)], ["is_user", "pnumber", *masks])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {s: np.zeros(len(patterns), np.int64) for s in SIDES}
+        for batch in batches:
+            side = batch.column(0).to_numpy(zero_copy_only=False)
+            for s in SIDES:
+                for k in range(len(patterns)):
+                    found[s][k] += ((batch.column(1 + k // _BITS).to_numpy()[side == s] >> (k % _BITS)) & 1).sum()
+        for s, n in found.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["is_user", "pattern", "n"])
+
+    bits = rows.select("is_user", F.col("pnumber").cast("long").alias("pnumber"), *tests).mapInArrow(combine, schema)
+    tuples = bits.groupBy("is_user", "pnumber").agg(*[F.bit_or(m).alias(m) for m in masks]).drop("pnumber")
+    totals = tuples.mapInArrow(count, "is_user string, pattern int, n long").groupBy("is_user", "pattern").agg(F.sum("n").alias("n")).collect()
+    found = {(r["is_user"], r["pattern"]): r["n"] for r in totals}
+    return [{s: found.get((s, k), 0) for s in SIDES} for k in range(len(patterns))]
 
 
 def round5(x: float) -> float:
@@ -71,10 +94,10 @@ def score(rows: DataFrame, patterns: Sequence[Pattern], sizes: dict[str, int], m
     """
     if sample is None:
         mode = "o"
-    predicates: dict[tuple, Column] = {(p.nominal, p.ordinal): p.predicate() for p in patterns}
+    different = {(p.nominal, p.ordinal): p for p in patterns}
 
     def on(table: DataFrame, side: dict[str, int]) -> list[tuple[float, float, float]]:
-        found = dict(zip(predicates, matching_tuples(table, list(predicates.values())), strict=True))
+        found = dict(zip(different, matching_tuples(table, list(different.values())), strict=True))
         return [measures(n[p.is_user], n["yes"] + n["no"], side[p.is_user]) for p in patterns for n in [found[p.nominal, p.ordinal]]]
 
     whole = on(rows, sizes) if mode in "oe" else None

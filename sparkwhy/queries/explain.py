@@ -215,7 +215,7 @@ def _counted(x: Context) -> DataFrame:
     rows = apt_of(x).rows
     sizes = score.side_sizes(rows)
     different = PATTERNS[::2]
-    counts = score.matching_tuples(rows, [p.predicate() for p in different])
+    counts = score.matching_tuples(rows, different)
     out = [(p.nominal[0][1], p.ordinal[0][1], p.ordinal[0][2], s, n[s], sizes[s], n["yes"] + n["no"]) for p, n in zip(different, counts, strict=True) for s in ("yes", "no")]
     return x.spark.createDataFrame(out, "region string, op string, v double, is_user string, tp long, side long, found long")
 

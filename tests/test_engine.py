@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkwhy import cli
 from sparkwhy.engine import Engine, Explanation, Settings
 from sparkwhy.operators import evaluate
+from sparkwhy.operators.apt import build
 from sparkwhy.operators.patterns import Pattern
 from sparkwhy.operators.score import sampling_error
 from sparkwhy.plans.join_graph import valid_graphs
@@ -13,6 +14,7 @@ from sparkwhy.queries import SEGMENT_QUERY, SEGMENTS
 from sparkwhy.sources import sinks
 from sparkwhy.sources.catalog import star_catalog
 from sparkwhy.streaming import progress
+from sparkwhy.workloads import WORKLOADS
 
 QUICK = Settings(max_edges=0, candidate_recall=0.05, trees=5, max_bounds=1)
 
@@ -33,6 +35,22 @@ def test_explain(spark, engine, settings):
         assert sampling_error([d.pattern for d in found.patterns])["evaluated"] == len(found.patterns)
 
 
+@pytest.mark.parametrize("name", sorted(WORKLOADS))
+def test_workloads(engine, name):
+    found = engine.explain(WORKLOADS[name], Settings(**{**QUICK.__dict__, "sample_type": "spread"}))
+    assert found.sizes["yes"] > 0 and found.sizes["no"] > 0
+
+
+def test_studies(spark, engine):
+    graph = valid_graphs(engine.catalog, ["customer", "orders"], 0)[0]
+    pt, roles = engine.provenance(SEGMENTS)
+    apt = build(engine.catalog, SEGMENT_QUERY, pt, roles, graph)
+    rows = {r["exp_desc"]: r for r in evaluate.lca_study(apt.rows, ["a_10", "a_13"], [10, 40, 80]).collect()}
+    assert rows["sample_80"]["num_match"] == rows["sample_80"]["num_result_p"] > 0 and rows["sample_10"]["num_match"] <= 10
+    study = evaluate.ndcg_study(engine, SEGMENTS, [0], [0.5], QUICK).collect()
+    assert [(r["edges"], r["sample_rate"]) for r in study] == [(0, 0.5)] and 0 < study[0]["ndcg_score"] <= 1
+
+
 def test_only_candidates(engine):
     found = engine.explain(SEGMENTS, Settings(max_edges=0, candidate_recall=0.05, only_candidates=True))
     assert found.patterns and all(not d.pattern.ordinal for d in found.patterns)

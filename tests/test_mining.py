@@ -25,7 +25,7 @@ def test_repeated_rows_of_a_tuple_count_once_and_sides_apart(spark):
     t = rows(spark, [("yes", 1, "x", 1.0), ("yes", 1, "x", 5.0), ("yes", 2, "z", 1.0), ("no", 1, "x", 9.0), ("no", 2, None, None)])
     sizes = score.side_sizes(t)
     assert sizes == {"yes": 2, "no": 2}
-    assert score.matching_tuples(t, [Pattern(nominal=(("a_1", "x"),)).predicate()]) == [{"yes": 1, "no": 1}]
+    assert score.matching_tuples(t, [Pattern(nominal=(("a_1", "x"),))]) == [{"yes": 1, "no": 1}]
     (p,) = score.score(t, [Pattern(nominal=(("a_1", "x"),))], sizes)
     assert (p.recall, p.precision, p.f1) == (0.5, 0.5, 1.0 * 0.5)
     (q,) = score.score(t, [Pattern(ordinal=(("a_2", ">", 4.0),), is_user="no")], sizes)
@@ -37,7 +37,7 @@ def test_many_patterns_at_once_equal_one_by_one(spark):
     data = [(("yes", "no")[int(k) % 2], int(k) % 40, "abc"[int(v * 3)], float(v)) for k, v in zip(range(200), rng.random(200), strict=True)]
     t = rows(spark, data)
     tried = [Pattern(ordinal=(("a_2", op, float(b)),), is_user=s) for b in np.linspace(0, 1, 70) for op in "<>" for s in ("yes", "no")]
-    found = score.matching_tuples(t, [p.predicate() for p in tried])
+    found = score.matching_tuples(t, tried)
     for p, n in list(zip(tried, found, strict=True))[::41]:
         _, op, b = p.ordinal[0]
         expected = {s: len({k for u, k, _, v in data if u == s and (v > b if op == ">" else v < b)}) for s in ("yes", "no")}
