@@ -103,9 +103,9 @@ def quality_rules(
     than the share ``max_share`` of the host's documents. Documents of a host with equal
     texts count as one here, so that a page copied often does not turn its own text into
     boilerplate. Words of lines above the limit are removed; a document is depleted,
-    and rejected, if fewer than ``min_words`` words or less than the share ``min_left`` of
-    its words stay. It is also rejected if ``base_failed``: fewer than ``min_words`` words, or
-    more than ``max_repeat_percent`` percent of them in repeated 5-word windows.
+    and rejected, if less than the share ``min_left`` of its words stay. It is also
+    rejected if ``base_failed``: fewer than ``min_words`` words, or more than
+    ``max_repeat_percent`` percent of them in repeated 5-word windows.
 
     Returns one row per input row: id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_words_left, kept. A null or empty text has 0 of
@@ -139,6 +139,6 @@ def quality_rules(
         .select(
             F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             failed.alias("base_failed"), left.alias("n_words_left"),
-            (~failed & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"),
+            (~failed & (left >= min_left * F.col("n_words"))).alias("kept"),
         )
     )

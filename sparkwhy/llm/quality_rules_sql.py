@@ -36,6 +36,6 @@ f AS (
         len(ws) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(ws) AS base_failed
     FROM d JOIN w ON w.r = d.r LEFT JOIN rep ON rep.r = d.r LEFT JOIN dup ON dup.r = d.r LEFT JOIN gone ON gone.r = d.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_words_left,
-    NOT base_failed AND n_words_left >= 10 AND n_words_left >= 0.2::DOUBLE * n_words AS kept
+    NOT base_failed AND n_words_left >= 0.2::DOUBLE * n_words AS kept
 FROM f
 """
