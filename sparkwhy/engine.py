@@ -121,7 +121,7 @@ class Engine:
             left = sampling.uniform(rows, take, settings.seed)
             right = sampling.uniform(rows, take, settings.seed + 1)
             found = lca.candidates(left, right, nominal, settings.lca_limit)
-            kept = [f for f, _ in lca.by_recall(rows, found, settings.candidate_recall, settings.lca_kept)]
+            kept = [f for f, _ in lca.by_recall(rows, found, settings.candidate_recall, settings.lca_kept, sizes)]
             stats.add("candidates", len(kept))
         if settings.only_candidates:
             discard(rows)

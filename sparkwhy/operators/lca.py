@@ -32,11 +32,11 @@ def candidates(left: DataFrame, right: DataFrame, attributes: list[str], most: i
     return [m for m in made if m]
 
 
-def by_recall(rows: DataFrame, found: list[tuple[tuple[str, object], ...]], least: float, most: int = 10) -> list[tuple[tuple[tuple[str, object], ...], float]]:
+def by_recall(rows: DataFrame, found: list[tuple[tuple[str, object], ...]], least: float, most: int = 10, sizes: dict[str, int] | None = None) -> list[tuple[tuple[tuple[str, object], ...], float]]:
     """The ``most`` candidates that match most tuples of both sides, then those of them that reach ``least``."""
     if not found:
         return []
-    total = sum(side_sizes(rows).values())
+    total = sum((sizes or side_sizes(rows)).values())
     counts = matching_tuples(rows, [Pattern(nominal=f) for f in found])
     ranked = sorted(zip(found, counts, strict=True), key=lambda x: (-(x[1]["yes"] + x[1]["no"]), str(x[0])))
     return [(f, (n["yes"] + n["no"]) / total) for f, n in ranked[:most] if total and (n["yes"] + n["no"]) / total >= least]

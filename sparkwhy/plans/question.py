@@ -63,7 +63,7 @@ class Query:
         return [g.split(".")[1] for g in self.group_by] + [a.name for a in self.aggregates]
 
     def joined(self, catalog: Catalog) -> DataFrame:
-        """The select-project-join part, every column named ``alias.column`` once more in a struct-free way."""
+        """The select-project-join part; its columns can be named ``alias.column``."""
         out: DataFrame | None = None
         seen: set[str] = set()
         for alias, table in self.tables.items():

@@ -124,6 +124,9 @@ def test_samples_have_exact_sizes_and_repeat(spark):
     for take in (lambda: sampling.uniform(t, 50, 3, ["id"]), lambda: sampling.weighted_by_count(t, "g", 50, 3, ["id"]), lambda: sampling.weighted_by_spread(t, "g", "v", 50, 3, ["id"])):
         first = {r["id"] for r in take().collect()}
         assert len(first) == 50 and first == {r["id"] for r in take().collect()}
+    for n in (137, 499, 500, 600):
+        many = sampling.first_by(t, F.col("v") % 250, n, ["id"], at_once=10, buckets=16).collect()
+        assert len(many) == min(n, 500) and {r["id"] for r in many} == {k for k, _ in sorted(((k, (k % 250, k)) for k in range(500)), key=lambda x: x[1])[:n]}
     assert (sampling.lca_size(10), sampling.lca_size(10_000), sampling.lca_size(10**6)) == (100, 500, 1000)
     assert sampling.score_size(100) is None and sampling.score_size(101) == 31
 
