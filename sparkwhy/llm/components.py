@@ -57,8 +57,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each partition first replaces its links by as many as join the same ids. Then
     large-star and small-star steps, which move every neighbour to the smallest one
-    known, alternate until nothing changes. No step brings together what
-    belongs to one id other than by an aggregate that combines before the shuffle.
+    known, alternate until nothing changes. What belongs to one id meets only in
+    aggregates that combine before the shuffle, and in joins with their written result, whose
+    hot ids Spark can split.
     """
     kind = dict(edges.dtypes)["a"]
     arrow = pa.int64() if kind == "bigint" else pa.binary()
@@ -66,9 +67,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:  # each link is (a, b) with a > b
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
+        large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "links")
         seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
@@ -122,6 +123,7 @@ def linked(members: DataFrame, payload: DataFrame, compare: Compare, block_weigh
         members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.min("id").alias("hub"))
         .where("n > 1").select("group", "hub", F.ceil(F.col("total") / block_weight).cast("int").alias("blocks"))
     )
+    sizes = stored(sizes, "sizes")  # so that Spark can split a large group in the join
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
     inside = stored(members.join(sizes, "group").withColumn("block", own), "members")
     hubs = inside.where("id = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -231,7 +231,8 @@ def near_vectors(
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
     known = nodes.select("node", "many", "low").join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = stored(known, "known")
+    lowest = stored(known.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     known = known.join(lowest, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))

@@ -141,7 +141,7 @@ def near_duplicates(
     bands: int = 24,
     rows: int = 4,
     miss: float = 1e-7,
-    block_members: int = 1024,
+    block_members: int = 512,
     block_shingles: int = 400_000,
 ) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100.
@@ -195,8 +195,9 @@ def near_duplicates(
     parts = connected_components(exact).withColumnRenamed("id", "node")
     smallest = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low")).join(parts, "node", "left")
     smallest = smallest.withColumn("component", F.coalesce("component", "node"))
-    lowest = smallest.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = smallest.join(lowest, "component").select("node", "component_id")
+    smallest = stored(smallest, "smallest")
+    lowest = stored(smallest.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    named = stored(smallest.join(lowest, "component").select("node", "component_id"), "named")
     out = signed.select("id", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

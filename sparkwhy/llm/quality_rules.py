@@ -119,6 +119,7 @@ def quality_rules(
     rows = stored(source.mapInArrow(_features, _FEATURES), "rules")
     lines = rows.where("line is not null").select("key", "content", "host", "line", "line_words")
     hosts = rows.where("line is null").groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = stored(hosts, "hosts")  # so that Spark can split a large host in the join
     counted = (
         lines.groupBy("line", "host", "content").agg(F.lit(1).alias("one"))
         .groupBy("line", "host").agg(F.count("*").alias("found"))

@@ -121,7 +121,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     small_batches(pages.sparkSession)
     rows = pick(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     digests = stored(rows.mapInArrow(_digests, "id long, url string, sha1 string, digest binary, n_bytes long"), "digests")
-    first = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    first = stored(digests.groupBy("digest").agg(F.min("id").alias("first")), "first")  # so that Spark can split a frequent digest in the join
     response = (F.col("n_bytes") < least_bytes) | F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first"))
     typed = digests.join(first, "digest").withColumn("response", response)
 
