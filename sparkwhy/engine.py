@@ -111,40 +111,40 @@ class Engine:
         """Scored patterns of a joined table, which is written once and deleted afterwards."""
         stats = stats or RunStats()
         nominal, ordinal = apt.nominal(), apt.ordinal()
-        with stats.timed("materialize_jg"):
+        with stats.timed("joined_table"):
             rows = written(apt.rows.select("pnumber", "is_user", *nominal, *ordinal), "apt")
             n = rows.count()
-        with stats.timed("f1_sample"):
+        with stats.timed("sample"):
             sizes = score.side_sizes(rows)
-        with stats.timed("lca"):
+        with stats.timed("candidates"):
             take = sampling.lca_size(n, settings.lca_rate, settings.lca_least, settings.lca_most)
             left = sampling.uniform(rows, take, settings.seed)
             right = sampling.uniform(rows, take, settings.seed + 1)
             found = lca.candidates(left, right, nominal, settings.lca_limit)
             kept = [f for f, _ in lca.by_recall(rows, found, settings.candidate_recall, settings.lca_kept, sizes)]
-            stats.add("candidates", len(kept))
+            stats.add("candidates_kept", len(kept))
         if settings.only_candidates:
             discard(rows)
             return [Pattern(nominal=f, is_user=s) for f in kept for s in ("yes", "no")]
         sample = sample_sizes = None
         if settings.score_mode != "o" and not settings.exact:
-            with stats.timed("f1_sample"):
+            with stats.timed("sample"):
                 sample = self._sample(rows, n, nominal, ordinal, settings)
                 sample_sizes = score.side_sizes(sample) if sample is not None else None
 
         def scored(tried: list[Pattern]) -> list[Pattern]:
-            with stats.timed("f1_calc"):
+            with stats.timed("scoring"):
                 stats.add("scored", len(tried))
                 return score.score(rows, tried, sizes, "o" if settings.exact else settings.score_mode, sample, sample_sizes)
 
         if settings.optimised:
-            with stats.timed("feature_reduct"):
+            with stats.timed("features"):
                 chosen = features.choose(rows, features.varying(rows, ordinal), apt.special(), seed=settings.seed, trees=settings.trees)
-            with stats.timed("refinment"):
+            with stats.timed("bounds"):
                 bounds = refine.quartiles(rows, kept, [a for a, _ in chosen.ranked])
             out = refine.search(kept, bounds, chosen, apt.special(), scored, settings.max_bounds, settings.bound_rate, settings.pattern_recall)
         else:
-            with stats.timed("refinment"):
+            with stats.timed("bounds"):
                 bounds = refine.quartiles(rows, kept, ordinal)
             out = refine.search_all(kept, bounds, ordinal, apt.special(), scored, settings.max_bounds, settings.pattern_recall)
         if sample is not None:
@@ -173,7 +173,7 @@ class Engine:
         with out.stats.timed("provenance"):
             pt, roles = self.provenance(question)
             out.sizes = score.side_sizes(pt)
-        with out.stats.timed("jg_enumeration"):
+        with out.stats.timed("graphs"):
             found = self.joined(question.query, pt, roles, self.graphs(question.query, settings), settings)
             out.graphs = [a.graph for a in found]
             out.stats.add("join_graphs", len(found))
@@ -188,7 +188,7 @@ class Engine:
         with ThreadPoolExecutor(max(1, settings.threads)) as pool:
             for apt, mined in pool.map(one, enumerate(found, 1)):
                 out.patterns += mined
-                with out.stats.timed("rank_patterns"):
+                with out.stats.timed("ranking"):
                     top = rank.diversified(mined)
                 yield apt.graph, top
         discard(pt)
@@ -197,7 +197,7 @@ class Engine:
         """Patterns over the query's tables and those that can be joined, for either side of a question."""
         out = Explanation(question)
         tops = [d for _, top in self.explain_steps(question, settings, out) for d in top]
-        with out.stats.timed("rank_patterns"):
+        with out.stats.timed("ranking"):
             out.patterns = rank.globally(out.patterns)
             out.diversified = rank.globally(tops)
             out.best = rank.best_of_best(out.patterns)
