@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_encode
 from .embeddings import near_vectors
+from .exact_sql import ARCHIVED, NEAR_VECTORS
+from .exact_sql import near_duplicates as near_duplicates_sql
 from .html_text import extract_text
 from .language import identify_held_out
 from .minhash import near_duplicates
@@ -84,5 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_bayes": near_duplicates_sql(3, 85),
+    "op6_multi_index": NEAR_VECTORS,
+    "op7_content_addressed_warc": ARCHIVED,
     "op10_quality_rules": RULES,
 }

@@ -178,8 +178,9 @@ def test_index_vectors_and_shapes():
 # Rules
 
 
-def test_op10_equals_its_sql(spark, sf):
-    same_rows(QUERIES["op10_quality_rules"](spark, sf), connect(sf), ORACLE_SQL["op10_quality_rules"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    same_rows(QUERIES[name](spark, sf), connect(sf), ORACLE_SQL[name])
 
 
 def test_lines_above_the_limit_deplete_a_document(spark):
