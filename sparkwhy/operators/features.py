@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sampling
+
 
 def value_entropy(values: np.ndarray) -> float:
     """Natural-log entropy of how often each value occurs."""
@@ -109,8 +111,8 @@ def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows:
     """
     if not columns:
         return Features()
-    sample = rows.select("is_user", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]).orderBy(F.rand(seed)).limit(sample_rows)
-    pandas = sample.toArrow().to_pandas()
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    pandas = sampling.uniform(rows, sample_rows, seed).select("is_user", *numbers).toArrow().to_pandas()
     stands: dict[str, tuple[str, ...]] = {}
     if len(columns) >= 3:
         kept = [c for c in columns if pandas[c].nunique() > 1]

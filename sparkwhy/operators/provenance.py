@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.question import Query, Question, Roles
-from ..sources.catalog import NOMINAL, ORDINAL, Catalog
+from ..sources.catalog import NOMINAL, Catalog
 from ..sources.written import written
 
 
@@ -27,33 +27,22 @@ def relation_names(query: Query) -> dict[str, str]:
 def provenance_full(catalog: Catalog, query: Query) -> DataFrame:
     """Every output row beside every input row that it was made from.
 
-    The inputs are joined once; aggregates are added over windows of the grouping columns, in
-    which nulls are equal. Only distinct counts, which windows don't offer, are aggregated
-    apart and joined null-safely.
+    Groups are aggregated first, combined before the shuffle, and written: there are few, so the join
+    back to the input rows is a broadcast by their known size. Input rows are not
+    shuffled by group, as few groups, or one large one, would leave most machines idle. Null
+    groups are equal.
     """
     names = relation_names(query)
     spj = query.joined(catalog)
     keys = [g.split(".")[1] for g in query.group_by]
-    window = Window.partitionBy(*[F.col(g) for g in query.group_by])
-    outputs: list[Column] = [F.col(g).alias(k) for g, k in zip(query.group_by, keys, strict=True)]
-    for a in query.aggregates:
-        if a.kind == "share":
-            e = F.expr(a.expression).cast("double")
-            made = F.sum(e).over(window) / F.count(F.lit(1)).over(window)
-            outputs.append((F.round(made, a.digits) if a.digits is not None else made).alias(a.name))
-        elif a.kind != "count_distinct":
-            plain = type(a)(a.name, a.kind, a.expression).column().over(window)
-            outputs.append((F.round(plain, a.digits) if a.digits is not None else plain).alias(a.name))
+    groups = spj.groupBy(*[F.col(g).alias(f"_{k}") for g, k in zip(query.group_by, keys, strict=True)]).agg(*[a.column().alias(a.name) for a in query.aggregates])
+    groups = written(groups, "groups")
+    on = F.lit(True)
+    for g, k in zip(query.group_by, keys, strict=True):
+        on = on & F.col(g).eqNullSafe(groups[f"_{k}"])
+    outputs = [F.col(g).alias(k) for g, k in zip(query.group_by, keys, strict=True)] + [groups[a.name] for a in query.aggregates]
     inputs = [F.col(f"{alias}.{c}").alias(provenance_name(names[alias], c)) for alias, table in query.tables.items() for c in catalog.tables[table].columns]
-    full = spj.select(*outputs, *inputs)
-    apart = [a for a in query.aggregates if a.kind == "count_distinct"]
-    if apart:
-        counts = spj.groupBy(*[F.col(g).alias(f"_{k}") for g, k in zip(query.group_by, keys, strict=True)]).agg(*[a.column().alias(a.name) for a in apart])
-        on = F.lit(True)
-        for k in keys:
-            on = on & full[k].eqNullSafe(counts[f"_{k}"])
-        full = full.join(counts, on).drop(*[f"_{k}" for k in keys])
-    return full.select(*query.outputs(), *[provenance_name(names[a], c) for a, t in query.tables.items() for c in catalog.tables[t].columns])
+    return query.joined(catalog).join(groups, on).select(*outputs, *inputs)
 
 
 def roles(catalog: Catalog, query: Query) -> Roles:
@@ -83,9 +72,10 @@ def order_columns(catalog: Catalog, query: Query) -> list[str]:
 
 
 def sides(full: DataFrame, question: Question) -> DataFrame:
-    """Rows of the two sides, marked by ``is_user`` yes or no; a row may be in both."""
-    first = full.where(question.side(True)).withColumn("is_user", F.lit("yes"))
-    return first.unionByName(full.where(question.side(False)).withColumn("is_user", F.lit("no")))
+    """Rows of the two sides, marked by ``is_user`` yes or no, in one pass; a row may be in both."""
+    first, second = question.side(True), question.side(False)
+    marks = F.array_compact(F.array(F.when(first, F.lit("yes")), F.when(second, F.lit("no"))))
+    return full.where(first | second).withColumn("is_user", F.explode(marks))
 
 
 def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name: str = "pnumber") -> DataFrame:

@@ -32,7 +32,7 @@ def _unit(rows: DataFrame, seed: int, by: list[str] | None) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(2**40)) / F.lit(2.0**40)
 
 
-def first_by(rows: DataFrame, value: Column, n: int, ties: list[str] | None = None, at_once: int = 10_000, buckets: int = 65_536) -> DataFrame:
+def first_by(rows: DataFrame, value: Column, n: int, ties: list[str] | None = None, at_once: int = 1000, buckets: int = 65_536) -> DataFrame:
     """The ``n`` rows with the smallest values, nulls last, in no particular order.
 
     A few are sorted out directly. For more, a histogram of the values, whose size is
