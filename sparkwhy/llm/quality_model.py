@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +53,28 @@ class Vectors:
         shapes = [s for s, _ in Counter(shape(w) for w in common).most_common(2000)]
         self.word_row = {w: k + 1 for k, w in enumerate(common)}
         self.shape_row = {s: k + 1 for k, s in enumerate([_ECHO, *shapes])}
-        own = np.stack([np.zeros(size, np.float32), *[index_vector(w, size) for w in common]])
-        context = np.zeros_like(own)
-        for words in split:
-            at = np.array([self.word_row.get(w, 0) for w in words], np.int64)
-            for k in range(1, reach + 1):
-                if len(at) > k:
-                    np.add.at(context, at[k:], own[at[:-k]])
-                    np.add.at(context, at[:-k], own[at[k:]])
-        context[0] = 0
+        context = self._contexts(split, [index_vector(w, size) for w in common], reach)
         self.words = self._unit(context)
         self.shapes = self._unit(np.stack([np.zeros(size, np.float32), *[index_vector("\1" + s, size) for s in self.shape_row]]))
         self._seen: dict[str, int] = {}
 
+    def _contexts(self, split: list[list[str]], own: list[np.ndarray], reach: int) -> np.ndarray:
+        """Sum of the neighbours' index vectors for each word; row 0 stands for all others and stays 0."""
+        places, signs = np.zeros((len(own) + 1, 8), np.int64), np.zeros((len(own) + 1, 8))
+        for k, v in enumerate(own, 1):
+            places[k] = np.flatnonzero(v)
+            signs[k] = v[places[k]]
+        gap = [0] * reach  # between two texts
+        at = np.fromiter((r for words in split for r in (*map(self.word_row.get, words, repeat(0)), *gap)), np.int64)
+        out = np.zeros(len(places) * self.size)
+        for k in range(1, reach + 1):
+            for word, neighbour in ((at[k:], at[:-k]), (at[:-k], at[k:])):
+                for j in range(places.shape[1]):
+                    out += np.bincount(word * self.size + places[neighbour, j], signs[neighbour, j], len(out))
+        out = out.reshape(len(places), self.size)
+        out[0] = 0
+        return out
+
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
