@@ -85,7 +85,7 @@ def runtime_pivot(rows: DataFrame, sizes: str = "size", rates: str = "rate", tot
     wide = rows.groupBy(sizes).pivot(rates).agg(F.first(total))
     first = F.first(F.struct(sizes, *[c for c in wide.columns if c != sizes])).over(Window.orderBy(sizes).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rate = wide.columns[1]
-    return wide.withColumn("expected", first[rate] * F.col(sizes) / first[sizes])
+    return wide.withColumn("expected", first[rate] * F.col(sizes) / F.nullif(first[sizes], F.lit(0)))
 
 
 def five_numbers(rows: DataFrame, by: str, value: str) -> DataFrame:

@@ -75,7 +75,7 @@ def weighted_by_count(rows: DataFrame, column: str, n: int, seed: int = 1, by: l
 
 def weighted_by_spread(rows: DataFrame, column: str, measure: str, n: int, seed: int = 1, by: list[str] | None = None) -> DataFrame:
     """As ``weighted_by_count``, times the coefficient of variation of ``measure`` among rows of the value."""
-    return _weighted(rows, column, F.count("*") * (F.stddev_samp(measure) / F.avg(measure)), n, seed, by)
+    return _weighted(rows, column, F.count("*") * (F.stddev_samp(measure) / F.nullif(F.avg(measure), F.lit(0))), n, seed, by)
 
 
 def _weighted(rows: DataFrame, column: str, weight: Column, n: int, seed: int, by: list[str] | None) -> DataFrame:

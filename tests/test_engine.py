@@ -10,6 +10,7 @@ from sparkwhy.operators.apt import build
 from sparkwhy.operators.patterns import Pattern
 from sparkwhy.operators.score import sampling_error
 from sparkwhy.plans.join_graph import valid_graphs
+from sparkwhy.plans.question import Question
 from sparkwhy.queries import SEGMENT_QUERY, SEGMENTS
 from sparkwhy.sources import sinks
 from sparkwhy.sources.catalog import star_catalog
@@ -113,5 +114,12 @@ def test_catalog_tables_and_save(spark):
     assert spark.table("why_results.t").count() == 3
 
 
+def test_question_about_groups_that_are_not_there(spark, engine):
+    found = engine.explain(Question(SEGMENT_QUERY, {"c_mktsegment": "NOWHERE"}, {"c_mktsegment": "BUILDING"}), QUICK)
+    assert found.sizes["yes"] == 0 and all(d.pattern.is_user == "no" for d in found.patterns)
+    nothing = engine.explain(Question(SEGMENT_QUERY, {"c_mktsegment": "NOWHERE"}, {"c_mktsegment": "NEITHER"}), QUICK)
+    assert nothing.patterns == [] and nothing.best == []
+
+
 def test_explanation_without_patterns(spark):
     assert Explanation(SEGMENTS).tables(spark)["patterns"].count() == 0
