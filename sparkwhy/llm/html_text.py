@@ -44,6 +44,8 @@ SKIPPED_NAMES = frozenset(
         "social sharebar form search searchform skip toolbar complementary contentinfo"
     )
 )
+#: Beginnings of such words that are never the beginning of another.
+_SKIPPED_START = tuple(_WORDS("cookie advert sidebar newsletter breadcrumb sponsor banner popup navbar promo"))
 _NAMED = frozenset(_WORDS("article main content post entry story body text"))
 _CLOSED_BY: dict[str, frozenset[str]] = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
@@ -140,7 +142,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             _close(tag, stack, pop)
         names = " ".join(x for m in _NAME.findall(attrs) for x in m if x) if "=" in attrs else ""
         words = set(_SPLIT.split(names.lower())) if names else ()
-        skips = tag in SKIPPED or bool(words and tag not in ("html", "body", "main") and not SKIPPED_NAMES.isdisjoint(words) and _LAYOUT.isdisjoint(words)) or bool(attrs and _HIDDEN.search(attrs))
+        skips = tag in SKIPPED or bool(words and tag not in ("html", "body", "main") and (not SKIPPED_NAMES.isdisjoint(words) or any(w.startswith(_SKIPPED_START) for w in words)) and _LAYOUT.isdisjoint(words)) or bool(attrs and _HIDDEN.search(attrs))
         if attrs.endswith("/") and tag not in INLINE and tag in SKIPPED:
             continue
         stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, skips, tag not in _IN_LINE))

@@ -135,6 +135,7 @@ def test_op8_on_all_test_pages(spark, sf):
          "<section id='comments'><article class='comment'><p>I like this, really. Yes.</p></article></section><footer>c</footer>", "T\nHello bold world, this is text. More."),
         ("<main><article><p>The text, in full, here.</p></article><div class='cookie-notice'>We use cookies.</div></main>", "The text, in full, here."),
         ("<div><p>One, two. three<br>four</p><pre>x  y\n z</pre></div>", "One, two. three four\nx y z"),
+        ("<article><p>a, b.</p><div class=cookiebar>no</div><div id='advert-1'>no</div><p class='lead has-sidebar'>c.</p></article>", "a, b.\nc."),
         ("<article><p style='display:none'>hidden</p><p>seen</p><noscript>no</noscript><!-- c --></article>", "seen"),
     ],
 )
