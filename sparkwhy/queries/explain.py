@@ -76,7 +76,20 @@ def group_sizes(x: Context) -> DataFrame:
     return provenance.group_sizes(pt_of(x))
 
 
-@query("column_roles")
+_COLUMNS = (
+    "c AS (SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' "
+    "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'timestamp' END AS data_type, CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'ordinal' ELSE 'nominal' END AS kind, "
+    "column_name IN ('r_regionkey', 'n_nationkey', 'c_custkey', 's_suppkey', 'p_partkey', 'o_orderkey') AS is_primary, "
+    "column_name IN ('r_regionkey', 'n_nationkey', 'n_regionkey', 'c_custkey', 'c_nationkey', 's_suppkey', 's_nationkey', 'p_partkey', 'o_orderkey', 'o_custkey', 'l_orderkey', 'l_partkey', 'l_suppkey') AS in_foreign "
+    "FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem'))"
+)
+
+
+@query(
+    "column_roles",
+    f"WITH {_COLUMNS} SELECT 'prov_' || table_name || '_' || replace(column_name, '_', '__') AS column_name, kind, NOT (is_primary OR in_foreign OR column_name = 'c_mktsegment') AS mined "
+    "FROM c WHERE table_name IN ('customer', 'orders') UNION ALL SELECT unnest(['c_mktsegment', 'n_orders', 'is_user', 'pnumber']), 'nominal', false",
+)
 def column_roles(x: Context) -> DataFrame:
     r = provenance.roles(x.catalog, SEGMENT_QUERY)
     return x.spark.createDataFrame([(c, k, r.mineable(c)) for c, k in sorted(r.kinds.items())], "column_name string, kind string, mined boolean")
@@ -327,7 +340,7 @@ def schema_graph(x: Context) -> DataFrame:
     return x.catalog.edge_rows(x.spark)
 
 
-@query("catalog_columns")
+@query("catalog_columns", f"WITH {_COLUMNS} SELECT table_name, column_name, data_type, kind, is_primary, in_foreign FROM c")
 def catalog_columns(x: Context) -> DataFrame:
     return x.catalog.schema_rows(x.spark)
 
