@@ -81,7 +81,7 @@ class Vectors:
 
     def _row(self, word: str) -> int:
         row = self.word_row.get(word, 0) << 16 | self.shape_row.get(shape(word), 0)
-        if len(self._seen) > 300_000:
+        if len(self._seen) > 150_000:
             self._seen.clear()
         self._seen[word] = row
         return row

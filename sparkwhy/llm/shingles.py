@@ -18,7 +18,7 @@ _EMPTY = np.empty(0, _U)
 class WordHashes(dict):
     """64-bit hash of each word seen; forgets everything beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -40,9 +40,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.path, self.exact = path, Tokenizer.from_file(path)
-        self.exact.no_padding()
-        self.exact.no_truncation()
+        self.path = path
         byte = _byte_of_char()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -59,6 +57,14 @@ class ByteBpe:
         for text, i in special.items():
             self.pieces[i] = text.encode()
 
+    @cached_property
+    def exact(self) -> Tokenizer:
+        """The library's own tokenizer, read only if a text needs it."""
+        made = Tokenizer.from_file(self.path)
+        made.no_padding()
+        made.no_truncation()
+        return made
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as unsigned 32-bit integers; a special token's text is that token."""
         if not text:
