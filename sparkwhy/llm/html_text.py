@@ -34,6 +34,8 @@ SKIPPED = frozenset(
 _IN_LINE = INLINE | frozenset(_WORDS("script style template noscript svg math canvas object iframe audio video button select option input textarea img"))
 #: Words beside which a name tells about the layout around an element, not about what it holds.
 _LAYOUT = frozenset(_WORDS("has with without no is layout wrapper container page"))
+#: Levels of open elements that are told apart.
+DEEPEST = 512
 #: Words in a class, id or role that name what is not main text.
 SKIPPED_NAMES = frozenset(
     _WORDS(
@@ -52,8 +54,9 @@ _CLOSED_BY: dict[str, frozenset[str]] = {
     "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",)),
 }
 _LIST_EDGE = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
+# Quotes count after an equals sign alone. Nothing is matched twice, so odd tags cost no more than others.
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>",
+    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>""",
     re.S,
 )
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -111,11 +114,11 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if found.start() > at:
             add(unescape(html[at : found.start()]))
         at = found.end()
-        tag = found["tag"] or found["tag2"]
+        tag = found["tag"]
         if not tag:
             continue
         tag = tag.lower()
-        if found["end"] or found["end2"]:
+        if found["end"]:
             if tag not in _IN_LINE:
                 now = None
             for k in range(len(stack) - 1, -1, -1):
@@ -145,6 +148,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         skips = tag in SKIPPED or bool(words and tag not in ("html", "body", "main") and (not SKIPPED_NAMES.isdisjoint(words) or any(w.startswith(_SKIPPED_START) for w in words)) and _LAYOUT.isdisjoint(words)) or bool(attrs and _HIDDEN.search(attrs))
         if attrs.endswith("/") and tag not in INLINE and tag in SKIPPED:
             continue
+        if len(stack) >= DEEPEST and not skips:
+            continue  # as browsers do, elements nested deeper open no level of their own
         stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, skips, tag not in _IN_LINE))
         skipped += skips
         links += tag == "a"

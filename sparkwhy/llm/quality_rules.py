@@ -70,8 +70,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for doc, text, host in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             where = b"\1" + host.encode("utf-8", "surrogatepass") if host is not None else b"\0"
-            raw = b"\1" + text.encode("utf-8", "surrogatepass") if text is not None else b"\0"
-            content = _digest(where, raw)
+            content = _digest(where, (text or "").encode("utf-8", "surrogatepass"))
             key, place = _digest(str(doc).encode(), content), _digest(where)
             rows.append((key, content, place, doc, *text_features(text, cache), None, None))
             for line, words in line_counts(text).items():

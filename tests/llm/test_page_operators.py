@@ -135,6 +135,8 @@ def test_op8_on_all_test_pages(spark, sf):
          "<section id='comments'><article class='comment'><p>I like this, really. Yes.</p></article></section><footer>c</footer>", "T\nHello bold world, this is text. More."),
         ("<main><article><p>The text, in full, here.</p></article><div class='cookie-notice'>We use cookies.</div></main>", "The text, in full, here."),
         ("<div><p>One, two. three<br>four</p><pre>x  y\n z</pre></div>", "One, two. three four\nx y z"),
+        ("<article><p title=it's>one, don't <a href = 'x>y'>two</a>.</p><p class=\"a\"b\">three</p></article>", "one, don't two.\nthree"),
+        ("<article><p>a < b, c <3 d, <a " + "x='y' " * 40, "a < b, c <3 d, <a " + " ".join(["x='y'"] * 40)),
         ("<article><p>a, b.</p><div class=cookiebar>no</div><div id='advert-1'>no</div><p class='lead has-sidebar'>c.</p></article>", "a, b.\nc."),
         ("<article><p style='display:none'>hidden</p><p>seen</p><noscript>no</noscript><!-- c --></article>", "seen"),
     ],
@@ -143,6 +145,11 @@ def test_pages_by_hand(page, text):
     assert main_text(page) == text
 
 
+def test_very_deep_pages_keep_their_text():
+    page = "<article>" + "".join(f"<div>t{k}" for k in range(20_000)) + "</article>"
+    assert main_text(page) == "\n".join(f"t{k}" for k in range(20_000))
+
+
 def test_paths_and_link_shares():
     found = blocks("<body><nav><a>skip</a></nav><div class='B a'><p>x <a href=1>linked</a></p></div></body>")
     assert found == [(("body", "div.a.b", "p"), "x linked", 6)]
