@@ -197,8 +197,10 @@ def main_text(html: str | None, spread: float = 0.5) -> str:
 
     Paths whose smoothed score reaches ``spread`` of the standard deviation of the page's
     scores, weighted by text, are content. If nearly all content stands in one element
-    that is not the body, or in articles, every block in it belongs to the main text, so
-    that short paragraphs and headings stay; else the blocks of content paths do.
+    that is not the body, every block in it belongs to the main text, so
+    that short paragraphs and headings stay; else the blocks of content paths do. Where
+    articles or main elements hold content, so does every block of each article, and of a
+    main without an article of half its text, and every block of a content path in any of them.
     """
     found = blocks(html) if html else []
     if not found:
@@ -214,20 +216,35 @@ def main_text(html: str | None, spread: float = 0.5) -> str:
             total += len(text)
             for k in range(1, len(path) + 1):
                 weight[path[:k]] = weight.get(path[:k], 0) + len(text)
-    roots = [p for p in weight if p[-1].split(".")[0] in ("article", "main")]
+    roots = {p for p in weight if _tag(p) in ("article", "main")}
     if roots:
-        best = max(roots, key=lambda p: (weight[p], -len(p)))
-        inner = [p for p in roots if p[: len(best)] == best and weight[p] >= 0.5 * weight[best]]
-        root = max(inner, key=len)
-    else:
-        wide = [p for p in weight if weight[p] >= 0.8 * total and p[-1].split(".")[0] not in ("html", "body", "p", "li", "td", "h1", "h2", "h3")]
-        named = [p for p in wide if not _NAMED.isdisjoint(p[-1].split(".")[1:])]
-        root = max(named or wide, key=len, default=None)
+        articles = {p for p in roots if _tag(p) == "article"}
+        whole = {p for p in articles if _first(p, articles) == p}
+        heavy: dict[tuple[str, ...], tuple[str, ...]] = {}
+        for p in sorted(roots, key=len):
+            top = _first(p, roots)
+            if weight[p] >= 0.5 * weight[top]:
+                heavy[top] = p
+        whole.update(heavy.values())
+        kept = {p for p in {path for path, _, _ in found} if _first(p, roots if p in chosen else whole)}
+        return "\n".join(text for path, text, _ in found if path in kept)
+    wide = [p for p in weight if weight[p] >= 0.8 * total and _tag(p) not in ("html", "body", "p", "li", "td", "h1", "h2", "h3")]
+    named = [p for p in wide if not _NAMED.isdisjoint(p[-1].split(".")[1:])]
+    root = max(named or wide, key=len, default=None)
     if root is None:
         return "\n".join(text for path, text, _ in found if path in chosen)
     return "\n".join(text for path, text, _ in found if path[: len(root)] == root)
 
 
+def _tag(path: tuple[str, ...]) -> str:
+    return path[-1].split(".")[0]
+
+
+def _first(path: tuple[str, ...], roots: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The outermost of the article and main elements ``roots`` that a path lies in; empty if there is none."""
+    return next((path[: k + 1] for k, e in enumerate(path) if e.split(".")[0] in ("article", "main") and path[: k + 1] in roots), ())
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = 0.5) -> DataFrame:
     """Main text of every page: id, url, text, n_chars (code points), one row per input row.
 

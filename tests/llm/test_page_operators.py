@@ -145,6 +145,23 @@ def test_pages_by_hand(page, text):
     assert main_text(page) == text
 
 
+SENTENCE = "Some words, of a sentence; and more words, to its end."
+
+
+@pytest.mark.parametrize("opened", ["<body>", "<main>", "<body><div id=page><main class=x>"])
+def test_all_articles_and_the_text_beside_them_stay(opened):
+    page = f"{opened}<h1>Title, of all</h1><p>{SENTENCE * 4}</p><article id=p1><h2>A</h2><p>{SENTENCE * 10}</p></article><article id=p2><h2>B</h2><p>{SENTENCE * 4}</p></article>"
+    lines = ["A", SENTENCE * 10, "B", SENTENCE * 4]
+    found = main_text(page).split("\n")
+    assert found[-4:] == lines
+    assert (found[:-4] == []) if opened == "<body>" else found[-5] == SENTENCE * 4
+
+
+def test_links_beside_a_large_article_stay_out():
+    page = f"<main><article><p>{SENTENCE * 8}</p></article><div class=more><a href=x>Another story</a></div></main>"
+    assert main_text(page) == SENTENCE * 8
+
+
 def test_very_deep_pages_keep_their_text():
     page = "<article>" + "".join(f"<div>t{k}" for k in range(20_000)) + "</article>"
     assert main_text(page) == "\n".join(f"t{k}" for k in range(20_000))
