@@ -48,6 +48,8 @@ SKIPPED_NAMES = frozenset(
 )
 #: Beginnings of such words that are never the beginning of another.
 _SKIPPED_START = tuple(_WORDS("cookie advert sidebar newsletter breadcrumb sponsor banner popup navbar promo"))
+#: Classes and ids of comment sections, which are often longer than the text they are about.
+_COMMENTS = frozenset(_WORDS("comment comments commentlist replies respond disqus"))
 _NAMED = frozenset(_WORDS("article main content post entry story body text"))
 _CLOSED_BY: dict[str, frozenset[str]] = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
@@ -59,8 +61,8 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>""",
     re.S,
 )
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s"'>]++)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -68,10 +70,10 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Block:
     """Text of one block: the path of elements above it and what the ratios need."""
 
-    __slots__ = ("linked", "parts", "path")
+    __slots__ = ("parts", "path")
 
     def __init__(self, path: tuple[str, ...]):
-        self.path, self.parts, self.linked = path, [], 0
+        self.path, self.parts = path, []  # of a part: text, whether linked, number of the innermost element around it that names would skip
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -80,28 +82,33 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     A path names elements from the root to the block as tag, or tag.names where a class, id or role
     is given. End tags may be missing: a paragraph ends at the next block, a list item
     at the next item, and an end tag closes what is open inside its element.
+    Names skip an element unless it is an article that is in no other one, or holds most of
+    the unlinked text; a comment section beside an article or main is skipped at any length.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in the path, skipped, block
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, name in the path, skipped, block, number if names skip it
     now: Block | None = None
-    skipped = links = 0
+    skipped = links = articles = 0
+    named: list[tuple[int, bool]] = [(0, False)]  # of each element that names skip: the one around it, whether it is a comment section
+    around = 0  # the innermost open one; 0 is the page
 
     def add(text: str) -> None:
         nonlocal now
         if skipped or not text:
             return
         if now is None:
-            now = Block(tuple(e[1] for e in stack if e[3]))
+            now = Block(tuple(e[1] for e in stack[:DEEPEST] if e[3]))
             out.append(now)
-        now.parts.append(text)
-        if links:
-            now.linked += len(text)
+        now.parts.append((text, links > 0, around))
 
     def pop() -> None:
-        nonlocal skipped, links, now
-        tag, _, skips, block = stack.pop()
+        nonlocal skipped, links, articles, around, now
+        tag, _, skips, block, number = stack.pop()
         skipped -= skips
         links -= tag == "a"
+        articles -= tag == "article"
+        if number:
+            around = named[number][0]
         if block:
             now = None
 
@@ -143,20 +150,62 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         attrs = found["attrs"] or ""
         if tag not in _IN_LINE:
             _close(tag, stack, pop)
-        names = " ".join(x for m in _NAME.findall(attrs) for x in m if x) if "=" in attrs else ""
-        words = set(_SPLIT.split(names.lower())) if names else ()
-        skips = tag in SKIPPED or bool(words and tag not in ("html", "body", "main") and (not SKIPPED_NAMES.isdisjoint(words) or any(w.startswith(_SKIPPED_START) for w in words)) and _LAYOUT.isdisjoint(words)) or bool(attrs and _HIDDEN.search(attrs))
+        given = _attributes(attrs) if attrs.strip(" /") else {}
+        words = set(_SPLIT.split(" ".join(given[k] for k in ("class", "id", "role") if k in given).lower())) - {""}
+        skips = tag in SKIPPED or "hidden" in given or _NO_DISPLAY.search(given.get("style", "")) is not None
+        doubted = False
+        if words and tag not in ("html", "body", "main") and _LAYOUT.isdisjoint(words):
+            skips = skips or _skipped(set(_SPLIT.split(given.get("role", "").lower())))
+            doubted = not skips and not (tag == "article" and not articles) and _skipped(words)
         if attrs.endswith("/") and tag not in INLINE and tag in SKIPPED:
             continue
-        if len(stack) >= DEEPEST and not skips:
+        if len(stack) >= DEEPEST and not skips and not doubted:
             continue  # as browsers do, elements nested deeper open no level of their own
-        stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, skips, tag not in _IN_LINE))
+        if doubted:
+            named.append((around, not _COMMENTS.isdisjoint(f"{given.get('class', '')} {given.get('id', '')}".lower().split())))
+            around = len(named) - 1
+        stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, skips, tag not in _IN_LINE, around if doubted else 0))
         skipped += skips
         links += tag == "a"
-    found_blocks = ((b.path, " ".join("".join(b.parts).split()), b.linked) for b in out)
+        articles += tag == "article"
+    stay = _holding_most(out, named)
+    found_blocks = []
+    for b in out:
+        parts = [(text, linked) for text, linked, inside in b.parts if inside in stay]
+        found_blocks.append((b.path, " ".join("".join(t for t, _ in parts).split()), sum(len(t) for t, linked in parts if linked)))
     return [x for x in found_blocks if x[1]]
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _skipped(words: set[str]) -> bool:
+    return not SKIPPED_NAMES.isdisjoint(words) or any(w.startswith(_SKIPPED_START) for w in words)
+
+
+def _holding_most(out: list[Block], named: list[tuple[int, bool]]) -> set[int]:
+    """Numbers of the elements that stay in spite of their names, and 0."""
+    held = [0] * len(named)
+    plain = False
+    for b in out if len(named) > 1 else ():
+        for text, linked, inside in b.parts:
+            size = 0 if linked else len(text) - text.count(" ")
+            held[inside] += size
+            plain = plain or bool(size and not inside and any(e.split(".")[0] in ("article", "main") for e in b.path))
+    for k in range(len(named) - 1, 0, -1):
+        held[named[k][0]] += held[k]
+    stay = {0}
+    for k, (outer, comments) in enumerate(named[1:], 1):
+        if outer in stay and 2 * held[k] > held[0] and not (comments and plain):
+            stay.add(k)
+    return stay
+
+
 def _close(tag: str, stack: list, pop) -> None:
     """End what the start of a block ends by itself: an open paragraph, or the item before."""
     for k in range(len(stack) - 1, -1, -1):

@@ -162,6 +162,21 @@ def test_links_beside_a_large_article_stay_out():
     assert main_text(page) == SENTENCE * 8
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p title='our hidden gems'>One, two.</p><p class='prose hidden md:block'>Three, four.</p><p hidden>no</p><p title=x hidden=''>no</p></article>", "One, two.\nThree, four."),
+        ("<article class='post comments-open'><p>One, two.</p></article>", "One, two."), ("<article id=alert-review><p>One, two.</p></article>", "One, two."),
+        ("<article class='post promoted'><p>One, two.</p></article><article class='post'><p>Three.</p></article>", "One, two.\nThree."),
+        (f"<div class='story social'><p>{SENTENCE}</p><div class=social>Share, now.</div></div><div class=promo>no</div>", SENTENCE),
+        (f"<main><p>{SENTENCE}</p><div id=comments class=area><p>{SENTENCE * 9}</p></div></main>", SENTENCE),
+        (f"<article><p>{SENTENCE}</p><article class=comment><p>I like it.</p></article></article>", SENTENCE),
+    ],
+)
+def test_one_word_of_an_attribute_drops_no_main_text(page, text):
+    assert main_text(page) == text
+
+
 def test_very_deep_pages_keep_their_text():
     page = "<article>" + "".join(f"<div>t{k}" for k in range(20_000)) + "</article>"
     assert main_text(page) == "\n".join(f"t{k}" for k in range(20_000))
