@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -91,6 +92,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     skipped = links = articles = 0
     named: list[tuple[int, bool]] = [(0, False)]  # of each element that names skip: the one around it, whether it is a comment section
     around = 0  # the innermost open one; 0 is the page
+    deep = [Counter()]  # open elements too deep for the stack, by tag: above level DEEPEST of it, and above each further one
 
     def add(text: str) -> None:
         nonlocal now
@@ -104,6 +106,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     def pop() -> None:
         nonlocal skipped, links, articles, around, now
         tag, _, skips, block, number = stack.pop()
+        if len(stack) >= DEEPEST:
+            deep.pop()
+        else:
+            deep[0].clear()
         skipped -= skips
         links -= tag == "a"
         articles -= tag == "article"
@@ -129,6 +135,11 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag not in _IN_LINE:
                 now = None
             for k in range(len(stack) - 1, -1, -1):
+                if k + 1 >= DEEPEST and deep[k + 1 - DEEPEST][tag]:
+                    while len(stack) > k + 1:
+                        pop()
+                    deep[-1][tag] -= 1
+                    break
                 if stack[k][0] == tag:
                     while len(stack) > k:
                         pop()
@@ -148,7 +159,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             at = stop.end() if stop else size
             continue
         attrs = found["attrs"] or ""
-        if tag not in _IN_LINE:
+        if tag not in _IN_LINE and not any(deep[-1].values()):
             _close(tag, stack, pop)
         given = _attributes(attrs) if attrs.strip(" /") else {}
         words = set(_SPLIT.split(" ".join(given[k] for k in ("class", "id", "role") if k in given).lower())) - {""}
@@ -160,10 +171,13 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if attrs.endswith("/") and tag not in INLINE and tag in SKIPPED:
             continue
         if len(stack) >= DEEPEST and not skips and not doubted:
+            deep[-1][tag] += 1
             continue  # as browsers do, elements nested deeper open no level of their own
         if doubted:
             named.append((around, not _COMMENTS.isdisjoint(f"{given.get('class', '')} {given.get('id', '')}".lower().split())))
             around = len(named) - 1
+        if len(stack) >= DEEPEST:
+            deep.append(Counter())
         stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, skips, tag not in _IN_LINE, around if doubted else 0))
         skipped += skips
         links += tag == "a"

@@ -182,6 +182,14 @@ def test_very_deep_pages_keep_their_text():
     assert main_text(page) == "\n".join(f"t{k}" for k in range(20_000))
 
 
+@pytest.mark.parametrize("levels", [20, 509, 510, 511, 600, 3000])
+def test_end_tags_of_very_deep_elements_end_nothing_else(levels):
+    inner = "<div>" * levels + "x" + "<div class=ad>no<div>no</div>no</div>" + "</div>" * levels
+    assert main_text(f"<div id=page><article><p>a</p>{inner}<p>after</p></article></div>") == "a\nx\nafter"
+    beside = f"<div class=sidebar><div>{inner}</div>no</div>"
+    assert main_text(f"<article><p>{SENTENCE}</p>{beside}<p>after</p></article>") == f"{SENTENCE}\nafter"
+
+
 def test_paths_and_link_shares():
     found = blocks("<body><nav><a>skip</a></nav><div class='B a'><p>x <a href=1>linked</a></p></div></body>")
     assert found == [(("body", "div.a.b", "p"), "x linked", 6)]
