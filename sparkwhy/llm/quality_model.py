@@ -18,12 +18,20 @@ from .sampling import by_label, crc_modulo
 
 _RUN = re.compile(r"(.)\1+")
 _ECHO = "\0echo"
+#: Stands for the row of a shape in several pieces.
+_SEVERAL = 0xFFFF
 
 
 def shape(word: str) -> str:
     """Character classes of a word, runs made one: letters X or x, digits 0, anything else itself."""
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return _RUN.sub(r"\1+", kinds)[:12]
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUN.sub(r"\1+", kinds)
+
+
+def shape_pieces(word: str, length: int = 12) -> list[str]:
+    """The whole shape of a word in pieces; few words have more than one."""
+    whole = shape(word)
+    return [whole[k : k + length] for k in range(0, len(whole), length)]
 
 
 def index_vector(token: str, size: int, ones: int = 8) -> np.ndarray:
@@ -42,7 +50,7 @@ class Vectors:
     """Word vectors: the index vectors of neighbours summed over a training text, unit length.
 
     Words that the training texts don't hold often enough have the vector of their shape
-    alone. ``rows`` maps word to row; further words are looked up once and kept, up to
+    alone; of a shape in several pieces, the mean of theirs. ``rows`` maps word to row; further words are looked up once and kept, up to
     a limit.
     """
 
@@ -50,7 +58,9 @@ class Vectors:
         self.size = size
         split = [t.split() for t in texts]
         common = [w for w, n in Counter(w for t in split for w in t).most_common(vocabulary) if n > 1]
-        shapes = [s for s, _ in Counter(shape(w) for w in common).most_common(2000)]
+        known = set(common)
+        long = {w for t in split for w in t if len(w) > 64} - known  # without white space, hardly any word is there twice
+        shapes = [s for s, _ in Counter(s for w in (*common, *sorted(long)) for s in shape_pieces(w)).most_common(2000)]
         self.word_row = {w: k + 1 for k, w in enumerate(common)}
         self.shape_row = {s: k + 1 for k, s in enumerate([_ECHO, *shapes])}
         context = self._contexts(split, [index_vector(w, size) for w in common], reach)
@@ -80,7 +90,8 @@ class Vectors:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def _row(self, word: str) -> int:
-        row = self.word_row.get(word, 0) << 16 | self.shape_row.get(shape(word), 0)
+        pieces = shape_pieces(word)
+        row = self.word_row.get(word, 0) << 16 | (self.shape_row.get(pieces[0], 0) if len(pieces) == 1 else _SEVERAL)
         if len(self._seen) > 150_000:
             self._seen.clear()
         self._seen[word] = row
@@ -100,7 +111,15 @@ class Vectors:
         n = len(words)
         for a in range(0, n, 20_000):  # bounds what is gathered of a very long text at once
             out[: self.size] += self.words[at[a : a + 20_000] >> 16].sum(0)
-        out[self.size : -2] = np.bincount(at & 0xFFFF, minlength=len(self.shapes)).astype(np.float32) @ self.shapes
+        shapes = at & 0xFFFF
+        several = np.flatnonzero(shapes == _SEVERAL)
+        shapes[several] = 0
+        weights = np.bincount(shapes, minlength=len(self.shapes)).astype(np.float32)
+        for word, times in Counter(words[k] for k in several.tolist()).items():
+            pieces = shape_pieces(word)
+            for piece, n_piece in Counter(pieces).items():
+                weights[self.shape_row.get(piece, 0)] += times * n_piece / len(pieces)
+        out[self.size : -2] = weights @ self.shapes
         out[:-2] /= n
         if n > 1:
             echo = sum(map(str.__eq__, words[1:], words[:-1])) / (n - 1)

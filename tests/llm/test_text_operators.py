@@ -175,6 +175,14 @@ def test_index_vectors_and_shapes():
     assert [quality_model.shape(w) for w in ("Word", "WORD!!", "a1", "|", "x$$$")] == ["Xx+", "X+!+", "x0", "|", "x$+"]
 
 
+def test_all_of_a_text_without_spaces_bears_on_its_vector():
+    joined = lambda x, n: "word" * 20 + x * n
+    model = quality_model.Vectors([joined("。字", 40), joined("-7", 40)] + ["plain words here now"] * 9)
+    pools = [model.pool(joined(x, 40)) for x in ("。字", "-7")]
+    assert np.abs(pools[0] - pools[1]).max() > 0.01
+    assert (model.pool("here " + "y" * 500) == model.pool("here " + "y" * 5)).all()
+
+
 # Rules
 
 
