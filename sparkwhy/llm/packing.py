@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,68 +45,84 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made if with_ids else made.drop("ids")
 
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, longest first; None if there are none."""
-    if gap <= 0:
-        return None
-    if left[gap]:
-        return (gap,)
-    there = left > 0
-    for a in range(gap - 1, (gap - 1) // 2, -1):  # a >= b, a + b = gap
-        b = gap - a
-        if there[a] and there[b] and (a != b or left[a] > 1):
-            return a, b
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if not there[a]:
-            continue
-        rest = gap - a
-        high = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)  # b >= c, both at most a
-        low = rest - high
-        need = 1 + (high == a) + (low == a)
-        good = there[high] & there[low] & (left[a] >= need) & ((high != low) | (left[high] > 1))
-        if good.any():
-            k = int(np.argmax(good))
-            return a, int(high[k]), int(low[k])
-    return None
-
-
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in order, how many such sequences) for the counts of lengths 0..capacity.
+class SumIndex:
+    """Available lengths by what one, two or three of them sum to.
 
-    From the longest length down, the gap that a piece leaves is filled exactly by
-    one, two or three available lengths, for as many pieces at once as their counts
-    allow. What has no exact complement is placed best fit, longest first, into the
-    fullest sequences that still hold it. Where best fit alone needs fewer sequences, as
-    can be with few pieces, that plan is taken. The work and the size of the plan
-    depend on the capacity alone, not on the number of pieces.
+    Singles are the counts themselves. Pairs stand in a table from their sum to the pairs, most
+    even first; a triple's sum is found as a length and the sum of a pair no longer than it.
+    Counts only fall, so pairs that have run out are dropped for good.
     """
-    return min((_plan(counts, capacity, exact) for exact in (True, False)), key=lambda made: sum(k for _, k in made))
 
+    def __init__(self, left: np.ndarray):
+        self.left, self.pairs = left, {}
+        there = np.flatnonzero(left).tolist()
+        for b in reversed(there):  # b <= a; the most even pair of a sum comes last
+            for a in reversed(there):
+                if a < b:
+                    break
+                if a + b < len(left):
+                    self.pairs.setdefault(a + b, []).append((a, b))
+        for found in self.pairs.values():
+            found.sort(reverse=True)
 
-def _plan(counts: np.ndarray, capacity: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    done: list[tuple[tuple[int, ...], int]] = []
-    alone = np.zeros_like(left)
-    if left[capacity]:
-        done.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        while left[length]:
-            left[length] -= 1  # the piece itself is not available to its complement
-            found = _complement(left, capacity - length) if exact else None
-            left[length] += 1
-            if found is None:
-                alone[length], left[length] = left[length], 0
-                break
-            parts = (length, *found)
-            times = min(int(left[p]) // parts.count(p) for p in set(parts))
-            for p in parts:
-                left[p] -= times
-            done.append((parts, times))
+    def one(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] else None
+
+    def two(self, total: int, longest: int | None = None) -> tuple[int, ...] | None:
+        found, left = self.pairs.get(total, ()), self.left
+        for k in range(len(found) - 1, -1, -1):
+            a, b = found[k]
+            if longest is not None and a > longest:
+                return None
+            if left[a] and left[b] and (a != b or left[a] > 1):
+                return a, b
+            if k == len(found) - 1 and (a not in self.held and b not in self.held):
+                found.pop()
+        return None
+
+    def three(self, total: int) -> tuple[int, ...] | None:
+        for a in range((total + 2) // 3, total - 1):
+            if self.left[a]:
+                with self.holding(a):
+                    rest = self.two(total - a, a)
+                if rest:
+                    return a, *rest
+        return None
+
+    held: tuple[int, ...] = ()
+
+    @contextmanager
+    def holding(self, length: int) -> Iterator[None]:
+        """One piece of this length is spoken for meanwhile."""
+        self.left[length] -= 1
+        self.held = (*self.held, length)
+        yield
+        self.held = self.held[:-1]
+        self.left[length] += 1
+
+
+def _exact(left: np.ndarray, capacity: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
+    """(parts in the complement, lengths, how often) of sequences that are exactly full, taken off ``left``."""
+    index = SumIndex(left)
+    for kind, complement in enumerate((index.one, index.two, index.three), 1):
+        for length in range(capacity - 1, 0, -1):
+            while left[length]:
+                with index.holding(length):
+                    found = complement(capacity - length)
+                if not found:
+                    break
+                parts = (length, *found)
+                times = min(int(left[p]) // parts.count(p) for p in set(parts))
+                for p in set(parts):
+                    left[p] -= times * parts.count(p)
+                yield kind, parts, times
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest pieces first, each into the fullest sequence that still holds it."""
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in range(capacity, 0, -1):
-        todo = int(alone[length])
+        todo = int(left[length])
         while todo:
             gap = min((g for g, held in bins.items() if g >= length and held), default=None)
             if gap is None:  # one new sequence for each group of pieces that fits in one
@@ -114,7 +131,6 @@ def _plan(counts: np.ndarray, capacity: int, exact: bool) -> list[tuple[tuple[in
                 for k, times in ((each, full), (rest, 1)):
                     if k and times:
                         bins.setdefault(capacity - k * length, []).append(((length,) * k, times))
-                todo = 0
                 break
             parts, times = bins[gap].pop()
             used = min(times, todo)
@@ -122,7 +138,39 @@ def _plan(counts: np.ndarray, capacity: int, exact: bool) -> list[tuple[tuple[in
                 bins[gap].append((parts, times - used))
             bins.setdefault(gap - length, []).append(((*parts, length), used))
             todo -= used
-    return done + [x for held in bins.values() for x in held]
+    return [x for held in bins.values() for x in held]
+
+
+def plan(counts: np.ndarray, capacity: int, stops: int = 24) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths in order, how many such sequences) for the counts of lengths 0..capacity.
+
+    The gap beside a piece is looked up in the index of sums, longest pieces first: all single
+    complements are consumed, for as many pieces at once as counts allow, then pairs, then triples.
+    (Putting two pieces that fill a sequence together never costs one.) As pairs and triples
+    use up short pieces, they end where what is left would starve: of ``stops`` points, at the last from
+    which exact and best-fit sequences together are fewest. What is left is placed best fit.
+    The work and the size of the plan depend on the capacity alone, not on the number of pieces.
+    """
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    full, left[capacity] = int(left[capacity]), 0
+    after = left.copy()
+    made = list(_exact(after, capacity))
+    least = sum(kind == 1 for kind, *_ in made)
+    points, at, best = {int(k) for k in np.linspace(least, len(made), stops)}, 0, None
+    for k in range(len(made) + 1):
+        if k in points:
+            rest = _best_fit(left, capacity)
+            total = at + sum(n for _, n in rest)
+            if best is None or total <= best[0]:
+                best = total, k, rest
+        if k < len(made):
+            _, parts, times = made[k]
+            at += times
+            for p in parts:
+                left[p] -= times
+    _, k, rest = best
+    return ([((capacity,), full)] if full else []) + [(parts, times) for _, parts, times in made[:k]] + rest
 
 
 def _slots(made: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, np.ndarray]:
@@ -146,9 +194,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, key: tuple[str, ...] = ("doc_i
     ``pieces`` is read twice and so should be a written table. Only the count of each
     length reaches the driver. Pieces of one length are told apart by their rank, found
     from ranks inside hashed buckets and the counts of the buckets before, so that no
-    task holds all pieces of a length. Ties in ``key`` get different places.
+    task holds all pieces of a length. Ties in ``key``, repeated rows among them, get different
+    places; nulls in ``key`` are values like others. A row whose length is null or not
+    from 1 to ``capacity`` has no place: sequence_id and offset are null. An empty table gives
+    an empty result.
     """
     spark = pieces.sparkSession
+    fits = F.coalesce(F.col(length_col).between(1, capacity), F.lit(False))
+    none = [F.lit(None).cast("long").alias(n) for n in ("sequence_id", "offset")]
+    odd, pieces = pieces.where(~fits).select("*", *none), pieces.where(fits)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key, length_col), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("_bucket", length_col).agg(F.count("*").alias("_n"))
@@ -175,7 +229,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, key: tuple[str, ...] = ("doc_i
             sequence = s["sequence"][entry] + ranks - s["first"][entry]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sequence), pa.array(s["offset"][entry])], names)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).unionByName(odd)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
@@ -191,7 +245,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The token ids of each packed sequence, from ``pack_documents`` with its ids."""
+    """The token ids of each packed sequence, from ``pack_documents`` with its ids: sequence_id and ids.
+
+    A sequence is at most ``capacity`` ids long, which bounds what a group gathers. Rows with a null
+    sequence_id, offset or ids add nothing; equal offsets are joined by their ids' order; an
+    empty table gives an empty result.
+    """
+    packed = packed.where("sequence_id is not null and offset is not null and ids is not null")
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     joined = F.expr("aggregate(parts.ids, X'', (a, x) -> concat(a, x))")
     return packed.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", joined.alias("ids"))

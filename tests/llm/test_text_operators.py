@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -94,6 +96,59 @@ def test_plan_uses_every_piece_once_and_no_more_than_best_fit(lengths):
     assert -(-sum(lengths) // 64) <= sum(k for _, k in made) <= best_fit(lengths, 64)
 
 
+@pytest.mark.parametrize(("lengths", "total", "one", "two", "three"), [([5, 5, 3, 2], 10, None, (5, 5), (5, 3, 2)), ([4, 4, 4], 12, None, None, (4, 4, 4)), ([4, 4], 12, None, None, None), ([9, 1, 10], 10, (10,), (9, 1), None), ([5], 10, None, None, None)])
+def test_index_of_sums(lengths, total, one, two, three):
+    index = packing.SumIndex(np.bincount(lengths, minlength=16))
+    assert (index.one(total), index.two(total), index.three(total)) == (one, two, three)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60), st.integers(2, 40))
+def test_index_finds_a_sum_if_there_is_one(lengths, total):
+    counts = np.bincount(lengths, minlength=41)
+    index = packing.SumIndex(counts)
+    for n, found in ((1, index.one(total)), (2, index.two(total)), (3, index.three(total))):
+        there = any(sum(c) == total for c in itertools.combinations(sorted(lengths), n)) if len(lengths) < 25 or n < 3 else found is not None
+        assert (found is not None) == there
+        assert not found or (sum(found) == total and all(counts[x] >= found.count(x) for x in found))
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_op3_equals_a_plain_version_and_fills_gaps_exactly(spark, sf, name):
+    """Every piece is where it should be, and most sequences are exactly full, which best fit alone does not aim at."""
+    directory = f"{sf.rpartition('/')[0]}/{name}"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{directory}/documents.parquet").collect()}
+    expected = set()
+    for i, text in texts.items():
+        ids = np.array([*BPE.encode(text).tolist(), 2], "<u4")
+        first = (len(ids) - 1) % 1024 + 1
+        for k, (a, b) in enumerate(itertools.pairwise([0, *range(first, len(ids) + 1, 1024)])):
+            expected.add((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    rows = QUERIES["op3_best_fit_packing"](spark, directory).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected and len(rows) == len(expected)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for found in places.values():
+        ends = [a + n for a, n in sorted(found)]
+        assert [a for a, _ in sorted(found)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    bound = -(-sum(r["length"] for r in rows) // 1024)
+    assert bound <= len(places) <= best_fit([r["length"] for r in rows], 1024) and len(places) <= bound + max(1, 0.003 * bound)
+    joined = [f for f in places.values() if len(f) > 1]
+    assert sum(sum(n for _, n in f) == 1024 for f in joined) > 0.5 * len(joined)
+
+
+def test_pieces_without_a_place(spark):
+    rows = [(1, 0, 512), (1, 1, None), (None, 0, 512), (2, 0, 0), (2, 1, 1025), (1, 0, 512)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    found = packing.pack(table).collect()
+    assert sorted((str(r["doc_id"]), r["piece"]) for r in found if r["sequence_id"] is None) == [("1", 1), ("2", 0), ("2", 1)]
+    assert len({(r["sequence_id"], r["offset"]) for r in found if r["sequence_id"] is not None}) == 3
+    assert packing.pack(table.limit(0)).collect() == []
+    ids = spark.createDataFrame([(0, 4, b"bb"), (0, 0, b"aaaa"), (None, 0, b"x"), (1, 0, None)], "sequence_id long, offset long, ids binary")
+    assert [tuple(r) for r in packing.sequences(ids).collect()] == [(0, b"aaaabb")] and packing.sequences(ids.limit(0)).count() == 0
+
+
 def test_complements_of_one_two_and_three_pieces():
     counts = np.zeros(11, int)
     for n in (7, 3, 6, 2, 2, 5, 1, 2, 2, 10):
