@@ -24,21 +24,20 @@ INLINE = frozenset(
         "sub sup time tt u var"
     )
 )
-#: Elements whose content is never main text.
-SKIPPED = frozenset(
+#: Elements that show no text of the page's own: markup, scripts, controls, embedded things.
+HIDDEN = frozenset(
     _WORDS(
-        "head nav header footer aside menu form button select option input textarea script style title noscript template svg math canvas object "
-        "iframe audio video dialog noembed noframes xmp"
+        "head button select option input textarea script style title noscript template svg math canvas object iframe audio video noembed noframes xmp"
     )
 )
+#: Elements that say themselves that they stand beside the main text.
+BESIDE = frozenset(_WORDS("nav header footer aside menu dialog"))
 #: Elements that stand inside a line of text and do not end its block.
 _IN_LINE = INLINE | frozenset(_WORDS("script style template noscript svg math canvas object iframe audio video button select option input textarea img"))
-#: Words beside which a name tells about the layout around an element, not about what it holds.
-_LAYOUT = frozenset(_WORDS("has with without no is layout wrapper container page"))
 #: Levels of open elements that are told apart.
 DEEPEST = 512
 #: Words in a class, id or role that name what is not main text.
-SKIPPED_NAMES = frozenset(
+CLUTTER_NAMES = frozenset(
     _WORDS(
         "ad ads adv advert adverts advertisement advertisements adbox adslot banner sponsor sponsored sponsors promo promos promotion promotions "
         "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc header masthead topbar footer colophon copyright sidebar "
@@ -48,10 +47,21 @@ SKIPPED_NAMES = frozenset(
     )
 )
 #: Beginnings of such words that are never the beginning of another.
-_SKIPPED_START = tuple(_WORDS("cookie advert sidebar newsletter breadcrumb sponsor banner popup navbar promo"))
-#: Classes and ids of comment sections, which are often longer than the text they are about.
-_COMMENTS = frozenset(_WORDS("comment comments commentlist replies respond disqus"))
-_NAMED = frozenset(_WORDS("article main content post entry story body text"))
+_CLUTTER_START = tuple(_WORDS("cookie advert sidebar newsletter breadcrumb sponsor banner popup navbar promo"))
+#: Words that say nothing about what an element holds; beside any other word a name is not taken for clutter.
+_NEUTRAL = frozenset(
+    _WORDS(
+        "site page global main top bottom left right upper lower first last box block bar wrap wrapper container section area list item items inner outer "
+        "primary secondary body text title link links button buttons posts articles stories reader readers user users js x col row"
+    )
+)
+#: Comment sections, which are often longer than the text they are about.
+_COMMENTS = frozenset(_WORDS("comment comments commentlist reply replies respond disqus discussion"))
+#: Kinds of elements that names or tags doubt: may hold the page's text after all; only where no article or main does; never.
+_DOUBTED, _REPLIES, _NEVER = range(3)
+#: Ends the paths of blocks in such elements.
+CLUTTER = "!"
+_LEAVES = frozenset(_WORDS("html body p li td h1 h2 h3"))
 _CLOSED_BY: dict[str, frozenset[str]] = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
     "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",)),
@@ -66,6 +76,7 @@ _ATTR = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
@@ -78,19 +89,21 @@ class Block:
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of each block with text, skipped elements left out.
+    """(path, text, characters inside links) of each block with text that the page shows.
 
     A path names elements from the root to the block as tag, or tag.names where a class, id or role
-    is given. End tags may be missing: a paragraph ends at the next block, a list item
+    is given; article and main go by their tag alone, so that all articles share their paths. Of
+    text in an element that says, or whose names say, that it stands beside the main text the path ends
+    in ``CLUTTER``. Names say so unless the element is an article that is in no other one, or holds most of
+    the unlinked text; comment sections and forms do at any length where an article or main holds text.
+    End tags may be missing: a paragraph ends at the next block, a list item
     at the next item, and an end tag closes what is open inside its element.
-    Names skip an element unless it is an article that is in no other one, or holds most of
-    the unlinked text; a comment section beside an article or main is skipped at any length.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, name in the path, skipped, block, number if names skip it
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, name in the path, skipped, block, number if it is doubted
     now: Block | None = None
     skipped = links = articles = 0
-    named: list[tuple[int, bool]] = [(0, False)]  # of each element that names skip: the one around it, whether it is a comment section
+    doubted: list[tuple[int, int]] = [(0, _DOUBTED)]  # of each element that tag or names doubt: the one around it, its kind
     around = 0  # the innermost open one; 0 is the page
     deep = [Counter()]  # open elements too deep for the stack, by tag: above level DEEPEST of it, and above each further one
 
@@ -114,7 +127,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         links -= tag == "a"
         articles -= tag == "article"
         if number:
-            around = named[number][0]
+            around = doubted[number][0]
         if block:
             now = None
 
@@ -163,33 +176,52 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             _close(tag, stack, pop)
         given = _attributes(attrs) if attrs.strip(" /") else {}
         words = set(_SPLIT.split(" ".join(given[k] for k in ("class", "id", "role") if k in given).lower())) - {""}
-        skips = tag in SKIPPED or "hidden" in given or _NO_DISPLAY.search(given.get("style", "")) is not None
-        doubted = False
-        if words and tag not in ("html", "body", "main") and _LAYOUT.isdisjoint(words):
-            skips = skips or _skipped(set(_SPLIT.split(given.get("role", "").lower())))
-            doubted = not skips and not (tag == "article" and not articles) and _skipped(words)
-        if attrs.endswith("/") and tag not in INLINE and tag in SKIPPED:
+        skips = tag in HIDDEN or "hidden" in given or _NO_DISPLAY.search(given.get("style", "")) is not None
+        kind = None if skips else _kind(tag, given, articles)
+        if attrs.endswith("/") and tag not in INLINE and tag in HIDDEN | BESIDE:
             continue
-        if len(stack) >= DEEPEST and not skips and not doubted:
+        if len(stack) >= DEEPEST and not skips and kind is None:
             deep[-1][tag] += 1
             continue  # as browsers do, elements nested deeper open no level of their own
-        if doubted:
-            named.append((around, not _COMMENTS.isdisjoint(f"{given.get('class', '')} {given.get('id', '')}".lower().split())))
-            around = len(named) - 1
+        if kind is not None:
+            doubted.append((around, kind))
+            around = len(doubted) - 1
         if len(stack) >= DEEPEST:
             deep.append(Counter())
-        stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, skips, tag not in _IN_LINE, around if doubted else 0))
+        name = f"{tag}.{'.'.join(sorted(words))}" if words and tag not in ("article", "main") else tag
+        stack.append((tag, name, skips, tag not in _IN_LINE, around if kind is not None else 0))
         skipped += skips
         links += tag == "a"
         articles += tag == "article"
-    stay = _holding_most(out, named)
+    stay = _holding_most(out, doubted)
     found_blocks = []
     for b in out:
-        parts = [(text, linked) for text, linked, inside in b.parts if inside in stay]
-        found_blocks.append((b.path, " ".join("".join(t for t, _ in parts).split()), sum(len(t) for t, linked in parts if linked)))
+        for path, here in ((b.path, True), ((*b.path, CLUTTER), False)):
+            parts = [(text, linked) for text, linked, inside in b.parts if (inside in stay) == here]
+            found_blocks.append((path, " ".join("".join(t for t, _ in parts).split()), sum(len(t) for t, linked in parts if linked)))
     return [x for x in found_blocks if x[1]]
 
 
+def _kind(tag: str, given: dict[str, str], articles: int) -> int | None:
+    """How an element's tag and names doubt that it is main text, if they do."""
+    if tag in BESIDE or any(map(_clutter, given.get("role", "").split())):
+        return _NEVER
+    if tag == "form":
+        return _REPLIES
+    if tag in ("html", "body", "main") or (tag == "article" and not articles):
+        return None
+    found = [parts for name in f"{given.get('class', '')} {given.get('id', '')}".split() if (parts := _clutter(name))]
+    if not found:
+        return None
+    return _DOUBTED if _COMMENTS.isdisjoint(w for parts in found for w in parts) else _REPLIES
+
+
+def _clutter(name: str) -> list[str]:
+    """The words of a class, id or role, neutral ones left out, if each of them names clutter; else none."""
+    words = [w for w in map(str.lower, _NAME_PARTS.findall(name)) if w not in _NEUTRAL]
+    return words if all(w in CLUTTER_NAMES or w.startswith(_CLUTTER_START) for w in words) else []
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     """Values by lower-case name; of repeated names the first counts."""
     found: dict[str, str] = {}
@@ -198,24 +230,25 @@ def _attributes(attrs: str) -> dict[str, str]:
     return found
 
 
-def _skipped(words: set[str]) -> bool:
-    return not SKIPPED_NAMES.isdisjoint(words) or any(w.startswith(_SKIPPED_START) for w in words)
-
-
-def _holding_most(out: list[Block], named: list[tuple[int, bool]]) -> set[int]:
-    """Numbers of the elements that stay in spite of their names, and 0."""
-    held = [0] * len(named)
+def _holding_most(out: list[Block], doubted: list[tuple[int, int]]) -> set[int]:
+    """Numbers of the doubted elements whose text is main text after all, and 0."""
+    if len(doubted) == 1:
+        return {0}
+    never = [False]
+    for outer, kind in doubted[1:]:
+        never.append(never[outer] or kind == _NEVER)
+    held = [0] * len(doubted)
     plain = False
-    for b in out if len(named) > 1 else ():
+    for b in out:
         for text, linked, inside in b.parts:
-            size = 0 if linked else len(text) - text.count(" ")
+            size = 0 if linked or never[inside] else len(text) - text.count(" ")
             held[inside] += size
-            plain = plain or bool(size and not inside and any(e.split(".")[0] in ("article", "main") for e in b.path))
-    for k in range(len(named) - 1, 0, -1):
-        held[named[k][0]] += held[k]
+            plain = plain or bool(size and not inside and _home(b.path))
+    for k in range(len(doubted) - 1, 0, -1):
+        held[doubted[k][0]] += held[k]
     stay = {0}
-    for k, (outer, comments) in enumerate(named[1:], 1):
-        if outer in stay and 2 * held[k] > held[0] and not (comments and plain):
+    for k, (outer, kind) in enumerate(doubted[1:], 1):
+        if outer in stay and not never[k] and 2 * held[k] > held[0] and not (kind == _REPLIES and plain):
             stay.add(k)
     return stay
 
@@ -234,81 +267,73 @@ def _close(tag: str, stack: list, pop) -> None:
             return
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each tag path.
+def path_scores(found: list[tuple[tuple[str, ...], str, int]], beside: float = 0.05, in_main: float = 0.6) -> dict[tuple[str, ...], float]:
+    """Fused and smoothed ratio of each tag path.
 
-    Text characters outside links and punctuation marks are summed over all nodes of a
-    path and divided by their number; the two ratios are fused as their
-    geometric mean, punctuation counting from one on. Paths are then smoothed with their
-    parent path, so that a short heading gains from the text beside it.
+    Text characters and punctuation marks are summed over all nodes of a path and divided by their
+    number, characters inside links counting a fiftieth; the two ratios are fused as their geometric mean,
+    punctuation counting from one on. A path is then smoothed with the highest ratio of its
+    column, so that headings, short paragraphs and lists gain from the text they stand in: the articles, or main,
+    or else the deepest element that holds nearly all text of high ratio. Paths in no column are smoothed
+    with those of their parent. Where a page says by article or main elements where its text is, other
+    paths count for the share ``beside``, and those in main beside articles for ``in_main``. ``CLUTTER`` has no ratio.
     """
     sums: dict[tuple[str, ...], list[float]] = {}
     for path, text, linked in found:
         s = sums.setdefault(path, [0, 0, 0])
-        s[0] += max(0, len(text) - linked)
+        s[0] += max(0, len(text) - linked) + min(linked, len(text)) / 50
         s[1] += len(_PUNCT.findall(text))
         s[2] += 1
-    fused = {p: math.sqrt((chars / n) * (1 + marks / n)) for p, (chars, marks, n) in sums.items()}
-    around: dict[tuple[str, ...], list[float]] = {}
+    fused = {p: 0.0 if p[-1:] == (CLUTTER,) else math.sqrt((chars / n) * (1 + marks / n)) for p, (chars, marks, n) in sums.items()}
+    home = {p: _home(p) if fused[p] else "" for p in fused}
+    held = Counter()
+    for p, h in home.items():
+        held[h] += sums[p][0]
+    column = {p for p, h in home.items() if h and (h == "article" or held["main"] > held["article"])}
+    told = bool(column)
+    if not told:
+        root = _column({p: sums[p][0] for p, v in fused.items() if v >= 0.25 * max(fused.values(), default=0)})
+        column = {p for p in fused if root and p[: len(root)] == root}
+    top = max((fused[p] for p in column), default=0.0)
+    near: dict[tuple[str, ...], float] = {}
+    for p, v in fused.items():
+        if p not in column:
+            near[p[:-1]] = max(v, near.get(p[:-1], 0.0))
+    scores = {}
     for p, v in fused.items():
-        around.setdefault(p[:-1], []).append(v)
-    return {p: 0.75 * v + 0.25 * max(around[p[:-1]]) for p, v in fused.items()}
+        smooth = 0.5 * v + 0.5 * (top if p in column else near[p[:-1]])
+        share = 1.0 if p in column or not told else in_main if home[p] else beside
+        scores[p] = share * smooth if v else 0.0
+    return scores
+
+
+def _home(path: tuple[str, ...]) -> str:
+    """article or main, if the path lies in one; article if in both."""
+    return "article" if "article" in path else "main" if "main" in path else ""
+
 
+def _column(weight: dict[tuple[str, ...], float]) -> tuple[str, ...]:
+    """The deepest element, but for single blocks and the body, that holds four fifths of the weight; empty if none does."""
+    sums: Counter = Counter()
+    for path, w in weight.items():
+        for k in range(1, len(path) + 1):
+            sums[path[:k]] += w
+    wide = [p for p, w in sums.items() if w >= 0.8 * sum(weight.values()) and p[-1].split(".")[0] not in _LEAVES]
+    return max(wide, key=len, default=())
 
-def main_text(html: str | None, spread: float = 0.5) -> str:
+
+def main_text(html: str | None, share: float = 0.25) -> str:
     """Blocks of the main text, one per line; empty if there are none.
 
-    Paths whose smoothed score reaches ``spread`` of the standard deviation of the page's
-    scores, weighted by text, are content. If nearly all content stands in one element
-    that is not the body, every block in it belongs to the main text, so
-    that short paragraphs and headings stay; else the blocks of content paths do. Where
-    articles or main elements hold content, so does every block of each article, and of a
-    main without an article of half its text, and every block of a content path in any of them.
+    Blocks are main text if the score of their tag path reaches ``share`` of the page's highest.
     """
     found = blocks(html) if html else []
-    if not found:
-        return ""
     scores = path_scores(found)
-    mean = sum(scores.values()) / len(scores)
-    deviation = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
-    chosen = {p for p, v in scores.items() if v >= spread * deviation}
-    weight: dict[tuple[str, ...], int] = {}
-    total = 0
-    for path, text, _ in found:
-        if path in chosen:
-            total += len(text)
-            for k in range(1, len(path) + 1):
-                weight[path[:k]] = weight.get(path[:k], 0) + len(text)
-    roots = {p for p in weight if _tag(p) in ("article", "main")}
-    if roots:
-        articles = {p for p in roots if _tag(p) == "article"}
-        whole = {p for p in articles if _first(p, articles) == p}
-        heavy: dict[tuple[str, ...], tuple[str, ...]] = {}
-        for p in sorted(roots, key=len):
-            top = _first(p, roots)
-            if weight[p] >= 0.5 * weight[top]:
-                heavy[top] = p
-        whole.update(heavy.values())
-        kept = {p for p in {path for path, _, _ in found} if _first(p, roots if p in chosen else whole)}
-        return "\n".join(text for path, text, _ in found if path in kept)
-    wide = [p for p in weight if weight[p] >= 0.8 * total and _tag(p) not in ("html", "body", "p", "li", "td", "h1", "h2", "h3")]
-    named = [p for p in wide if not _NAMED.isdisjoint(p[-1].split(".")[1:])]
-    root = max(named or wide, key=len, default=None)
-    if root is None:
-        return "\n".join(text for path, text, _ in found if path in chosen)
-    return "\n".join(text for path, text, _ in found if path[: len(root)] == root)
-
-
-def _tag(path: tuple[str, ...]) -> str:
-    return path[-1].split(".")[0]
-
-
-def _first(path: tuple[str, ...], roots: set[tuple[str, ...]]) -> tuple[str, ...]:
-    """The outermost of the article and main elements ``roots`` that a path lies in; empty if there is none."""
-    return next((path[: k + 1] for k, e in enumerate(path) if e.split(".")[0] in ("article", "main") and path[: k + 1] in roots), ())
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = 0.5) -> DataFrame:
+    least = share * max(scores.values(), default=0.0)
+    return "\n".join(text for path, text, _ in found if scores[path] >= least and scores[path] > 0)
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.25) -> DataFrame:
     """Main text of every page: id, url, text, n_chars (code points), one row per input row.
 
     A null or empty html, and a page without main text, give an empty text. Null ids and
@@ -319,7 +344,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, spread) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h, share) for h in batch.column(2).to_pylist()]
             made = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(made, ["id", "url", "text", "n_chars"])
 

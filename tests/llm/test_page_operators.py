@@ -3,12 +3,13 @@ import collections
 import gzip
 import hashlib
 import html as html_lib
+import random
 import re
 
 import pytest
 
-from sparkwhy.llm import url_filter, warc
-from sparkwhy.llm.html_text import blocks, main_text
+from sparkwhy.llm import html_text, url_filter, warc
+from sparkwhy.llm.html_text import CLUTTER, blocks, main_text, path_scores
 from sparkwhy.llm.queries import QUERIES, URL_RULES
 
 
@@ -124,6 +125,26 @@ def test_op8_on_all_test_pages(spark, sf):
         assert r["text"] == article_text(pages[r["page_id"]]["html"]) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
 
 
+def test_path_scores_select_the_text(spark, sf, monkeypatch):
+    """With other scores, most pages have another text; without any list of words, few do."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    texts = [main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "CLUTTER_NAMES", frozenset())
+        m.setattr(html_text, "_CLUTTER_START", ())
+        assert sum(main_text(p) == t for p, t in zip(pages, texts, strict=True)) >= 0.9 * len(pages)
+    rng = random.Random(8)
+    monkeypatch.setattr(html_text, "path_scores", lambda found: {p: rng.random() for p, _, _ in found})
+    assert sum(main_text(p) != t for p, t in zip(pages, texts, strict=True)) >= 0.9 * len(pages)
+
+
+def test_ratios_alone_find_the_text_column():
+    rows = "".join(f"<li><a href=/{k}>Entry {k}</a></li>" for k in range(30))
+    page = f"<body><div class=x1><ul>{rows}</ul></div><div class=x2><h2>Title</h2><p>{SENTENCE * 3}</p><ul><li>short</li></ul><p>{SENTENCE * 5}</p></div><div class=x3>Made by me</div></body>"
+    assert main_text(page) == f"Title\n{SENTENCE * 3}\nshort\n{SENTENCE * 5}"
+    assert path_scores(blocks(page))[("body", "div.x1", "ul", "li")] < 0.1 * max(path_scores(blocks(page)).values())
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -171,6 +192,11 @@ def test_links_beside_a_large_article_stay_out():
         (f"<div class='story social'><p>{SENTENCE}</p><div class=social>Share, now.</div></div><div class=promo>no</div>", SENTENCE),
         (f"<main><p>{SENTENCE}</p><div id=comments class=area><p>{SENTENCE * 9}</p></div></main>", SENTENCE),
         (f"<article><p>{SENTENCE}</p><article class=comment><p>I like it.</p></article></article>", SENTENCE),
+        ("<article><p class='lead story-header'>One, two.</p><div class='banner-photo'>Three.</div><section class='form-and-function'><p>Four.</p></section></article>", "One, two.\nThree.\nFour."),
+        ("<article><p>One, two.</p><div class='siteNotice'>no</div><div class='comment-list-2'>no</div><div class='social-share-buttons'>no</div><div id='ad_container'>no</div></article>", "One, two."),
+        (f"<form id=all><div><p>{SENTENCE}</p><input><p>Two.</p></div></form>", f"{SENTENCE}\nTwo."), (f"<article><p>One.</p><form><p>{SENTENCE * 9}</p></form></article>", "One."),
+        ("<article><p><a href=x>All of it linked</a></p></article><div><a href=y>other</a></div>", "All of it linked"), ("<nav><a href=x>only a menu</a></nav>", ""),
+        ("<article><h1>Title</h1><p>One, two.</p></article><div>A longer sentence, with points. And more, of it.</div>", "Title\nOne, two."),
     ],
 )
 def test_one_word_of_an_attribute_drops_no_main_text(page, text):
@@ -192,5 +218,5 @@ def test_end_tags_of_very_deep_elements_end_nothing_else(levels):
 
 def test_paths_and_link_shares():
     found = blocks("<body><nav><a>skip</a></nav><div class='B a'><p>x <a href=1>linked</a></p></div></body>")
-    assert found == [(("body", "div.a.b", "p"), "x linked", 6)]
+    assert found == [(("body", "nav", CLUTTER), "skip", 4), (("body", "div.a.b", "p"), "x linked", 6)]
     assert collections.Counter(p for p, _, _ in blocks("<ul><li>a</li><li>b</li></ul>")) == {("ul", "li"): 2}
