@@ -19,11 +19,19 @@ lw AS (
     FROM ln),
 lk AS (SELECT *, len(string_split(norm, ' ')) AS line_words FROM lw WHERE norm <> ''),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lk GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
-common AS (
-    SELECT lk.source, norm FROM lk JOIN hosts ON lk.source IS NOT DISTINCT FROM hosts.source
-    GROUP BY lk.source, norm, host_docs
-    HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.2::DOUBLE * host_docs),
+reps AS (SELECT min(r) AS r FROM d GROUP BY doc_id, source, text),
+hosts AS (SELECT source, greatest(4, 0.05::DOUBLE * count(*)) AS most FROM d JOIN reps USING (r) GROUP BY source),
+occ AS (SELECT lk.r, lk.source, norm, sum(line_words) AS words FROM lk JOIN reps ON lk.r = reps.r GROUP BY lk.r, lk.source, norm),
+often AS (
+    SELECT occ.source, norm, most FROM occ JOIN hosts ON occ.source IS NOT DISTINCT FROM hosts.source
+    GROUP BY occ.source, norm, most HAVING count(*) > most),
+inside AS (
+    SELECT r, often.source, often.norm, most, words FROM occ JOIN often
+    ON occ.norm = often.norm AND occ.source IS NOT DISTINCT FROM often.source),
+own AS (
+    SELECT x.r FROM (SELECT r, sum(words) AS n FROM inside GROUP BY r) x JOIN w ON w.r = x.r
+    WHERE len(ws) - n >= 0.5::DOUBLE * len(ws)),
+common AS (SELECT source, norm FROM inside JOIN own ON own.r = inside.r GROUP BY source, norm, most HAVING count(*) > most),
 gone AS (
     SELECT r, sum(line_words) AS removed FROM lk JOIN common
     ON lk.norm = common.norm AND lk.source IS NOT DISTINCT FROM common.source GROUP BY r),

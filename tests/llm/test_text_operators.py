@@ -246,16 +246,57 @@ def test_query_equals_its_sql(spark, sf, name):
     same_rows(QUERIES[name](spark, sf), connect(sf), ORACLE_SQL[name])
 
 
+COMMON = "Accept our cookies and read the terms of this fine site today please now"
+
+
+def judged(spark, rows, **limits):
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return {r["doc_id"]: r for r in quality_rules.quality_rules(table, **limits).collect()}
+
+
+def own(k, n=40):
+    return " ".join(f"own{k}x{j}" for j in range(n))
+
+
 def test_lines_above_the_limit_deplete_a_document(spark):
-    common = "Accept our cookies and read the terms of this fine site today please now"
-    own = lambda k: " ".join(f"own{k}x{j}" for j in range(40))
-    rows = [(k, f"{common}\n{own(k)}", "a") for k in range(30)] + [(100, common, "a"), (101, f" {common.upper()}  \n{common}", "a"), (102, common, "b")]
+    rows = [(k, f"{COMMON}\n{own(k)}", "a") for k in range(30)] + [(100, COMMON, "a"), (101, f" {COMMON.upper()}  \n{COMMON}", "a"), (102, COMMON, "b")]
     rows += [(200 + k, own("same"), "c") for k in range(60)]
-    found = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    found = judged(spark, rows)
     assert found[0]["kept"] and found[0]["n_words_left"] == 40
     assert not found[100]["kept"] and not found[100]["base_failed"] and found[100]["n_words_left"] == 0 and not found[101]["kept"]
     assert found[102]["kept"]  # another host
-    assert all(found[200 + k]["kept"] for k in range(60))  # copies of one text are one document
+    assert all(found[200 + k]["kept"] for k in range(60))  # copies have no text of their own
+
+
+def test_limits_count_documents_of_the_host(spark):
+    """More than 4 documents and more than a twentieth of them; rows that are equal count once."""
+    for n, of, times, above in ((4, 20, 1, False), (5, 20, 1, True), (4, 20, 5, False), (5, 100, 1, False), (6, 100, 1, True)):
+        rows = [(k, f"{COMMON}\n{own(k)}" if k < n else own(k), "a") for k in range(of) for _ in range(times)]
+        assert (judged(spark, rows)[0]["n_words_left"] == 40) == above, (n, of, times)
+
+
+def test_near_copies_do_not_make_their_text_boilerplate(spark):
+    """Of 40 near copies of a page, one line is another in each; the line they share with other pages goes, the page stays."""
+    page = [own(f"page{j}", 12) for j in range(9)]
+    near = [(k, "\n".join([COMMON, *page[: k % 9], own(k, 12), *page[k % 9 + 1 :]]), "a") for k in range(40)]
+    other = [(100 + k, f"{own(100 + k)}\n{COMMON}", "a") for k in range(20)]
+    found = judged(spark, near + other)
+    assert all(found[k]["kept"] and found[k]["n_words_left"] == 108 for k in range(40))
+    assert all(found[100 + k]["n_words_left"] == 40 for k in range(20))
+    without = {r["doc_id"]: r["text"] for r in quality_rules.without_common_lines(spark.createDataFrame(near + other + [(None, None, "a"), (7000, COMMON, "a")], "doc_id long, text string, source string")).collect()}
+    assert all(without[i] == text.replace(f"{COMMON}\n", "").replace(f"\n{COMMON}", "") for i, text, _ in near + other)
+    assert without[None] is None and without[7000] == "" and len(without) == 62
+
+
+def test_lines_of_the_test_tables_are_removed(spark, sf):
+    """In both tables, the query's limits take lines from documents, and the texts without them have the words left."""
+    for name, least in (("sf0.001", 0), ("sf0.01", 80)):
+        directory = f"{sf.rpartition('/')[0]}/{name}"
+        docs = spark.read.parquet(f"{directory}/documents.parquet")
+        rows = {r["doc_id"]: r for r in QUERIES["op10_quality_rules"](spark, directory).collect()}
+        assert sum(r["n_words_left"] < r["n_words"] for r in rows.values()) >= least
+        for r in quality_rules.without_common_lines(docs).collect():
+            assert len(r["text"].encode().split()) == rows[r["doc_id"]]["n_words_left"]
 
 
 @pytest.mark.parametrize(("text", "n"), [("a b c d e a b c d e", 10), ("a b c d e f a b c d e", 10), ("x x x x x x", 6), ("a b c d e f g", 0), ("a b c d", 0)])
