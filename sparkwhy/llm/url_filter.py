@@ -6,6 +6,7 @@ The main path is made of DataFrame and MLlib operations only, all of which run i
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,10 +21,16 @@ FEATURES = [
     "parameters", "escapes", "other_signs", "suffix_rate", "suffix_weight",
 ]
 
-# Words from which labelled URLs are made, and the endings of their hosts.
-SPAM_WORDS = "cheap free best buy discount casino poker bonus pills meds viagra loan credit cash click win prize track ads adserver banner popup replica luxury slots bet dating".split()
-PLAIN_WORDS = "river garden history library museum science music letter market school travel kitchen forest planet story house paper bridge silver winter thunder lantern orchard harbor".split()
-ENDINGS = "com net org info biz edu co.uk de fr es".split()
+#: Endings of hosts, and of how many blocked and allowed ones in a hundred each is the ending in made-up labels.
+SUFFIX_SHARES = {
+    "com": (20, 38), "net": (12, 12), "org": (4, 16), "edu": (1, 5), "uk": (3, 7), "de": (3, 6), "fr": (2, 4), "es": (2, 3), "io": (4, 4),
+    "info": (17, 2), "biz": (16, 1), "top": (9, 1), "xyz": (7, 1),
+}
+#: Of how many blocked and allowed URLs in a hundred each sign is true in made-up labels.
+SIGNS = {
+    "long_name": (70, 22), "hyphens": (55, 20), "host_digits": (50, 15), "deep": (50, 24), "parameters": (60, 20), "token": (52, 16),
+    "escapes": (28, 6), "more_names": (45, 25), "signs": (30, 10),
+}
 
 
 def _rest(url: str) -> Column:
@@ -64,30 +71,55 @@ def lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
     })
 
 
-def made_labels(spark: SparkSession, rows: int = 2000) -> DataFrame:
-    """Labelled URLs (url, label) made from the word lists by rule: the default training set.
+def made_labels(spark: SparkSession, rows: int = 4000, noise: int = 2) -> DataFrame:
+    """Labelled URLs (url, label) made by rule from syllables: the default training set.
 
-    Blocked ones join several words with hyphens or digits and carry long parameters;
-    allowed ones have one or two words, plain paths and now and then a parameter.
+    Both kinds are made in the same way, from the same syllables. What tells them apart are
+    the shares of ``SIGNS`` and ``SUFFIX_SHARES``: each sign is there in many of one kind and some of the other, and
+    independent of the others, so none decides alone. ``noise`` in a hundred labels are wrong.
     """
-    h = lambda k: F.xxhash64("id", F.lit(k))
-    word = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(h(k), F.lit(len(words))) + 1).cast("int"))
-    chance = lambda k, n: F.pmod(h(k), F.lit(n)) == 0
-    number = lambda k, n: F.pmod(h(k), F.lit(n)).cast("string")
+    salts = count()
+
+    def draw(n: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(next(salts))), F.lit(n)).cast("int")
+
+    def of(options: list[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in options]), draw(len(options)) + 1)
+
+    def word(least: int, most: int) -> Column:
+        """Between ``least`` and ``most`` syllables."""
+        syllables = [c + v for c in "bcdfglmnprstvw" for v in ("a", "e", "i", "o", "u", "er", "in", "al")]
+        made, n = [of(syllables) for _ in range(most)], draw(most - least + 1) + least
+        return F.concat(*[x if k < least else F.when(n > k, x).otherwise("") for k, x in enumerate(made)])
+
+    def number(digits: int) -> Column:
+        return draw(10**digits).cast("string")
+
     bad = F.pmod("id", F.lit(2)) == 1
-    blocked = F.concat(
-        word(SPAM_WORDS, 1), F.when(chance(2, 4), number(3, 1000)).otherwise(""), F.lit("-"), word(SPAM_WORDS, 4),
-        F.when(chance(5, 3), F.concat(F.lit("-"), word(SPAM_WORDS, 6))).otherwise(""), F.when(chance(7, 5), number(8, 100)).otherwise(""),
+    sign = {name: draw(100) < F.when(bad, blocked).otherwise(allowed) for name, (blocked, allowed) in SIGNS.items()}
+    endings = [F.array(*[F.lit(e) for e, shares in SUFFIX_SHARES.items() for _ in range(shares[k])]) for k in (0, 1)]
+    suffix = F.element_at(F.when(bad, endings[0]).otherwise(endings[1]), draw(100) + 1)
+    dash = F.when(sign["hyphens"], "-").otherwise("")
+    name = F.concat(
+        word(1, 3), dash, F.when(sign["long_name"], F.concat(word(3, 5), F.when(sign["hyphens"] & (draw(2) == 0), "-").otherwise(""), word(1, 3))).otherwise(word(1, 2)),
+        F.when(sign["host_digits"], number(4)).otherwise(""),
+    )
+    front = F.when(draw(3) == 0, F.concat(of(["www", "m", "blog", "shop", "docs", "en"]), F.lit("."))).otherwise("")
+    front = F.concat(front, F.when(sign["more_names"], F.concat(word(1, 3), F.lit("."))).otherwise(""))
+    token = F.substring(F.lower(F.hex(F.xxhash64("id", F.lit(next(salts))))), 1, 12)
+    step = lambda: F.concat(F.lit("/"), word(1, 6))
+    path = F.concat(
+        F.when(draw(5) > 0, step()).otherwise(""), F.when(sign["deep"], F.concat(step(), step(), F.when(draw(2) == 0, step()).otherwise(""))).otherwise(""),
+        F.when(draw(4) == 0, F.concat(F.lit("/"), number(5))).otherwise(""), F.when(sign["escapes"], F.concat(F.lit("%20"), word(1, 2), F.lit("%2F"))).otherwise(""),
+        F.when(sign["signs"], F.concat(of(["~", "=", "+", ",", ";", "!", "@"]), word(1, 2))).otherwise(""),
+        F.when(sign["token"] & (draw(2) == 0), F.concat(F.lit("/"), token)).otherwise(""), of(["", "", "/", ".html", ".php", "/index.htm"]),
     )
-    allowed = F.concat(word(PLAIN_WORDS, 9), F.when(chance(10, 2), word(PLAIN_WORDS, 11)).otherwise(""))
-    front = F.when(chance(12, 2), F.element_at(F.array(*[F.lit(x) for x in ("www.", "m.", "blog.", "shop.")]), (F.pmod(h(13), F.lit(4)) + 1).cast("int"))).otherwise("")
-    sub = F.when(chance(14, 3), F.lit("example.")).otherwise("")
-    ending = F.when(bad & chance(15, 4), F.element_at(F.array(F.lit("info"), F.lit("biz")), (F.pmod(h(16), F.lit(2)) + 1).cast("int"))).otherwise(word(ENDINGS, 17))
-    path = F.concat(F.lit("/"), F.when(chance(18, 2), F.concat(word(["en", "de", "fr", "es", "a", "news"], 19), F.lit("/"))).otherwise(""), F.when(chance(20, 2), number(21, 100000)).otherwise(word(PLAIN_WORDS, 22)), F.when(chance(23, 4), ".html").when(chance(24, 4), "/").otherwise(""))
-    query = F.when(chance(25, 5), F.concat(F.lit("?page="), number(26, 9), F.when(chance(27, 2), "&ref=x").otherwise(""))).when(chance(28, 6), "?utm_source=feed").when(chance(29, 6), "#top").otherwise("")
-    more = F.when(bad & chance(30, 4), F.concat(F.lit("?click="), number(31, 10**9), F.lit("&aff="), number(32, 10**6), F.lit("&sid="), F.lower(F.hex(h(33))))).otherwise(query)
-    url = F.concat(F.when(chance(34, 3), "http://").otherwise("https://"), front, F.when(bad, blocked).otherwise(allowed), F.lit("."), sub, ending, path, more)
-    return spark.range(rows).select(url.alias("url"), bad.cast("int").alias("label"))
+    keys = lambda: of(["id", "q", "p", "ref", "page", "lang", "aff", "click", "sid", "src", "v", "utm_source"])
+    pair = lambda: F.concat(keys(), F.lit("="), F.when(draw(2) == 0, number(4)).otherwise(word(1, 4)))
+    more = F.concat(F.lit("?"), pair(), F.lit("&"), pair(), F.when(draw(2) == 0, F.concat(F.lit("&"), pair())).otherwise(""), F.when(sign["token"], F.concat(F.lit("&s="), token)).otherwise(""))
+    query = F.when(sign["parameters"], more).when(draw(4) == 0, F.concat(F.lit("?"), pair())).when(draw(8) == 0, F.concat(F.lit("#"), word(1, 3))).otherwise("")
+    url = F.concat(of(["http://", "https://", "https://"]), front, name, F.lit("."), suffix, path, query)
+    return spark.range(rows).select(url.alias("url"), (bad != (draw(100) < noise)).cast("int").alias("label"))
 
 
 class UrlModel:

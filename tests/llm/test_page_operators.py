@@ -3,10 +3,12 @@ import collections
 import gzip
 import hashlib
 import html as html_lib
+import math
 import random
 import re
 
 import pytest
+from pyspark.ml.linalg import Vectors
 
 from sparkwhy.llm import html_text, url_filter, warc
 from sparkwhy.llm.html_text import CLUTTER, blocks, main_text, path_scores
@@ -43,12 +45,89 @@ def test_op1_hosts_paths_and_rules(spark, sf):
             assert r["rule"] == rule and r["verdict"] == (verdict or ("block" if r["model_block"] else "allow"))
 
 
-def test_trees_tell_held_out_labelled_urls_apart(spark):
-    rows = url_filter.made_labels(spark, 1200).collect()
-    fit = spark.createDataFrame(rows[:800], "url string, label int")
-    held = spark.createDataFrame([(k, r["url"], r["label"]) for k, r in enumerate(rows[800:])], "page_id long, url string, label int")
-    found = {r["page_id"]: r["model_block"] for r in url_filter.judge(held, url_filter.train(fit, rounds=8, depth=3)).collect()}
-    assert sum(found[k] == bool(r["label"]) for k, r in enumerate(rows[800:])) >= 0.95 * 400
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return url_filter.train(url_filter.made_labels(spark))
+
+
+def blocked(spark, model, urls):
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r["page_id"]]: r["model_block"] for r in url_filter.judge(table, model).collect()}
+
+
+def plain_features(url):
+    """The lexical features of a URL, but for the suffix statistics, without Spark."""
+    u = url or ""
+    host, path = plain_url(url)
+    shares = [n / len(u) for n in collections.Counter(u.lower()).values()]
+    query = re.search(r"\?([^#]*)", u)
+    query = query[1] if query else ""
+    names = host.split(".")
+    return [
+        len(u), len(host), len(path), len(query), path.count("/"), len(names), max(map(len, names)), len(re.findall("[-_]", host)),
+        len(re.findall("[0-9]", host)), len(re.findall("[0-9]", u)) / max(len(u), 1), -sum(p * math.log2(p) for p in shares),
+        1 + len(re.findall("[&;]", query)) if query else 0, u.count("%"), len(re.findall("[~!$'()*+,;=@]", path)),
+    ]
+
+
+def test_model_block_is_what_the_trees_say_of_plain_features(spark, sf, url_model):
+    urls = [r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()] + ODD[:13]
+    urls += [r["url"] for r in url_filter.made_labels(spark, 150).collect()]
+    rates = {r["suffix"]: (r["suffix_rate"], r["suffix_weight"]) for r in url_model.suffixes.collect()}
+    found = blocked(spark, url_model, urls)
+    for u in urls:
+        host = plain_url(u)[0]
+        vector = [*plain_features(u), *rates.get(re.search(r"([^.]*?)(?::\d*)?$", host)[1], (0.5, 0.0))]
+        assert found[u] == (url_model.trees.predict(Vectors.dense(vector)) == 1), u
+
+
+def test_no_feature_tells_made_labels_apart_alone(spark, url_model):
+    rows = url_filter.lexical(url_filter.made_labels(spark)).toPandas()
+    for name in [f for f in url_filter.FEATURES if not f.startswith("suffix")]:
+        for least in rows[name].quantile([k / 50 for k in range(51)]).unique():
+            right = ((rows[name] >= least) == (rows["label"] == 1)).mean()
+            assert 0.2 < right < 0.8, name
+    rate = rows.groupby("suffix")["label"].transform("mean")
+    assert ((rate > 0.5) == (rows["label"] == 1)).mean() < 0.8
+    weights = url_model.trees.featureImportances.toArray()
+    assert weights.max() < 0.4 and (weights > 0.01).sum() >= 10
+
+
+def test_held_out_labelled_urls(spark, url_model):
+    held = url_filter.made_labels(spark, 6000).collect()[4000:]
+    found = blocked(spark, url_model, [r["url"] for r in held])
+    assert sum(found[r["url"]] == bool(r["label"]) for r in held) >= 0.8 * len(held)
+
+
+# Written by hand, not by the rule that the training labels come from.
+BLOCKED_URLS = """http://buycheappillsnow777.biz/?click=1&aff=2
+http://freecasinobonus.info
+http://win-prize-4u2023.top/claim.php?id=88213&src=mail&s=af39bc02d1
+http://cheap-replica-watches24.xyz/shop/item?ref=aff&click=9912&sid=8f3a2b
+http://get.free-credit-report-online1.info/a/b/c/apply.php?aff=33&cid=9382
+https://secure-login.paypa1-account-verify.top/signin?token=a8f7e6d5c4b3&next=%2Fhome
+http://best-casino-bonus365.biz/play/now/slots.html?btag=aa_1234&click_id=77x
+http://tracking.superdealsforeveryone99.xyz/redirect?to=%68ttp&cid=99182734&zone=12
+http://loans4u-instant-cash.info/apply/now/?aff_id=712&sub=a91bc
+http://download-full-movies-hd720.top/watch/free/online/?v=8837261&t=9f8e7d""".split()
+ALLOWED_URLS = """https://www.coca-cola.com/
+https://en.wikipedia.org/wiki/Apache_Spark
+https://docs.python.org/3/library/json.html
+https://news.bbc.co.uk/2/hi/science
+http://arxiv.org/abs/1706.03762
+https://github.com/apache/spark/pull/1234
+https://www.merriam-webster.com/dictionary/word
+https://www.rolls-royce.com/about.aspx
+https://stackoverflow.com/questions/231767/what-does-the-yield-keyword-do
+https://www.lemonde.fr/sciences/
+https://www.mit.edu/research
+https://www.spiegel.de/kultur/""".split()
+
+
+def test_urls_written_by_hand(spark, url_model):
+    found = blocked(spark, url_model, BLOCKED_URLS + ALLOWED_URLS)
+    assert found["https://www.coca-cola.com/"] is False and found[BLOCKED_URLS[0]] is True and found[BLOCKED_URLS[1]] is True
+    assert sum(found[u] for u in BLOCKED_URLS) >= 9 and sum(found[u] for u in ALLOWED_URLS) <= 1
 
 
 def test_op1_plan_has_no_python(spark, sf):
