@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches hold few rows.
@@ -24,15 +24,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers of this session receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers of this session receive; one value, so the order of calls is no matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkwhy-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,11 +73,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete one table that ``stored`` returned, once nothing reads it any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/sparkwhy-" in path:
-            _remove(df.sparkSession, path)
+def row_hash(*names: str) -> Column:
+    """A hash of columns that tells nulls apart from other values."""
+    return F.xxhash64(*[x for n in names for x in (F.col(n).isNull(), F.col(n))])
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, hashed: tuple[str, ...], rows: int = 200_000) -> DataFrame:
+    """Rows of ``docs`` whose id, which may be null, and hash of the ``hashed`` columns are no (id, row_hash) of ``gone``.
+
+    So rows that share an id but not their content are told apart. What goes is broadcast if a count
+    shows that it is small, so that texts stay where they are; else both sides are shuffled.
+    """
+    gone = bounded_broadcast(stored(gone.select(F.col("id").alias("_id"), F.col("row_hash").alias("_hash")).distinct(), "rejected"), rows)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["_id"]) & (row_hash(*hashed) == gone["_hash"]), "left_anti")
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,46 +18,59 @@ from .components import connected_components
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 6) -> np.ndarray:
     """Centroids of the rows, spread at first by their distances; fewer than ``k`` if rows are few."""
     rng = np.random.default_rng(seed)
-    centroids = x[rng.integers(len(x))][None]
-    while len(centroids) < min(k, len(x)):
-        far = _squared(x, centroids).min(1)
-        if far.sum() <= 0:
-            break
-        centroids = np.vstack([centroids, x[rng.choice(len(x), p=far / far.sum())]])
+    centroids = [x[rng.integers(len(x))]]
+    far = _squared(x, centroids[0][None])[:, 0]
+    while len(centroids) < min(k, len(x)) and far.sum() > 0:
+        centroids.append(x[rng.choice(len(x), p=far / far.sum())])
+        far = np.minimum(far, _squared(x, centroids[-1][None])[:, 0])
+    out = np.array(centroids)
     for _ in range(rounds):
-        near = _squared(x, centroids).argmin(1)
+        near = _squared(x, out).argmin(1)
         for c in np.unique(near):
-            centroids[c] = x[near == c].mean(0)
-    return centroids
+            out[c] = x[near == c].mean(0)
+    return out
 
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
+    """Squared distances. Sums are made row by row, so that a row has the same in whatever batch it comes."""
+    out, step = np.empty((len(x), len(c))), max(1, 2**21 // c.size)
+    for at in range(0, len(x), step):
+        out[at : at + step] = ((x[at : at + step, None, :] - c[None]) ** 2).sum(2)
+    return out
 
 
-def multi_sequence(first: np.ndarray, second: np.ndarray, bound: float) -> Iterator[tuple[int, int]]:
-    """Cells (i, j) by increasing first[i] + second[j], as far as ``bound`` beyond the nearest."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    nearest = float(first[a[0]] + second[b[0]])
-    heap, seen = [(nearest, 0, 0)], {(0, 0)}
-    while heap:
-        value, i, j = heapq.heappop(heap)
-        if value > nearest + bound:
-            return
-        yield int(a[i]), int(b[j])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (float(first[a[x]] + second[b[y]]), x, y))
+def multi_sequence(first: np.ndarray, second: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, cells i * width + j by increasing first[i] + second[j], as far as ``bound`` beyond the nearest.
+
+    Both distances are sorted. Of each i, the nearest j not yet visited is a candidate; all rows step to their nearest
+    candidate at once. Returns (row, cell) of all visits.
+    """
+    a, b = np.argsort(first, 1, kind="stable"), np.argsort(second, 1, kind="stable")
+    near, beside = np.take_along_axis(first, a, 1), np.take_along_axis(second, b, 1)
+    limit, wide = near[:, 0] + beside[:, 0] + bound, second.shape[1]
+    at, cost, rows, out = np.zeros(first.shape, np.int64), near + beside[:, :1], np.arange(len(first)), []
+    while len(rows):
+        i = cost[rows].argmin(1)
+        go = cost[rows, i] <= limit[rows]
+        rows, i = rows[go], i[go]
+        out.append((rows, a[rows, i] * wide + b[rows, at[rows, i]]))
+        at[rows, i] += 1
+        j = at[rows, i]
+        cost[rows, i] = np.where(j < wide, near[rows, i] + beside[rows, np.minimum(j, wide - 1)], np.inf)
+    return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
 
 
 class MultiIndex:
-    """Two codebooks, one for each half of a unit vector, and how far a traversal has to go."""
+    """Two codebooks, one for each half of a unit vector, and how far a traversal has to go.
+
+    A codebook has at most a centroid for 16 vectors of the sample.
+    """
 
     def __init__(self, sample: np.ndarray, cells: int, cosine: float, recall: float, seed: int = 6):
         self.half = (sample.shape[1] + 1) // 2
-        k = max(1, round(cells**0.5))
-        self.books = kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)
+        k = max(1, min(round(cells**0.5), len(sample) // 16))
+        second = sample[:, self.half :] if sample.shape[1] > self.half else np.zeros((len(sample), 1))
+        self.books = kmeans(sample[:, : self.half], k), kmeans(second, k)
         rng = np.random.default_rng(seed)
         turned = rng.normal(size=sample.shape)
         turned -= (turned * sample).sum(1, keepdims=True) * sample
@@ -81,74 +93,100 @@ class MultiIndex:
         return np.minimum(from_x, from_y)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _squared(x[:, : self.half], self.books[0]), _squared(x[:, self.half :], self.books[1])
+        second = x[:, self.half :] if x.shape[1] > self.half else np.zeros((len(x), 1))
+        return _squared(x[:, : self.half], self.books[0]), _squared(second, self.books[1])
 
-    def cells(self, x: np.ndarray) -> tuple[list[int], list[list[int]]]:
-        """The cell of each vector, and all cells that a search from it visits, its own among them."""
-        wide = len(self.books[1])
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each vector, and (row, cell) of all visits of the searches from them, their own cells among them."""
         first, second = self.distances(x)
-        own = (first.argmin(1) * wide + second.argmin(1)).tolist()
-        visits = [sorted({c, *(i * wide + j for i, j in multi_sequence(a, b, self.bound))}) for c, a, b in zip(own, first, second, strict=True)]
-        return own, visits
+        return first.argmin(1) * len(self.books[1]) + second.argmin(1), *multi_sequence(first, second, self.bound)
+
+    def visits(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether the search from each vector visits each of ``cells``, as ``cells`` finds it."""
+        first, second = self.distances(x)
+        i, j = np.divmod(cells, len(self.books[1]))
+        return first[:, i] + second[:, j] <= (first.min(1) + second.min(1) + self.bound)[:, None]
+
 
+def _raw(column: pa.Array) -> np.ndarray:
+    """The bytes of a column of binaries of one length, a row for each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
 
-def _unit(raw: list[bytes], kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+
+def _unit(raw: np.ndarray, kind: str) -> np.ndarray:
+    x = np.ascontiguousarray(raw).view(kind).astype(np.float64)
     top = np.abs(x).max(1, keepdims=True)
     x = x / top
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(cosine: float, kind: str):
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``n`` the smallest that links (u, v) join it with."""
+    label = np.arange(n)
+    while True:
+        now = label.copy()
+        np.minimum.at(now, u, label[v])
+        np.minimum.at(now, v, label[u])
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+_SEARCH = "target int, search_part int, member_part int, side int, node binary, vector binary, many long, cell int"
+
+
+def _compare(cosine: float, kind: str, index) -> Callable:
     """Rows (a, b, links): links of node a if b is null, else a link that joins a and b."""
 
-    def task(target: int, sides: tuple[dict, dict]) -> Iterator[tuple]:
+    def task(target: int, rows: pa.RecordBatch) -> pa.RecordBatch | None:
         """Searches that visit a cell against vectors in it."""
-        left, right = list(sides[0].items()), list(sides[1].items())
-        if not left or not right:
-            return
-        similar = _unit([v[0] for _, v in left], kind) @ _unit([v[0] for _, v in right], kind).T >= cosine
-        cells = np.array([v[2] for _, v in left], np.int64)
-        inside = np.flatnonzero(cells == target)
-        if len(inside):
-            names = np.array([k for k, _ in right], object)
-            similar[inside] &= np.array([left[k][0] for k in inside], object)[:, None] < names[None]
-        # Where a search from the other side meets this one in a lower cell, the pair is counted there.
-        lower = np.unique(cells[cells < target])
-        if len(lower):
-            flat = np.array([c for _, v in right for c in v[3]], np.int64)
-            row = np.repeat(np.arange(len(right)), [len(v[3]) for _, v in right])
-            at = np.minimum(np.searchsorted(lower, flat), len(lower) - 1)
-            meets = np.zeros((len(lower), len(right)), bool)
-            meets[at[lower[at] == flat], row[lower[at] == flat]] = True
-            below = np.flatnonzero(cells < target)
-            similar[below] &= ~meets[np.searchsorted(lower, cells[below])]
-        many_left, many_right = (np.array([v[1] for _, v in s], np.int64) for s in (left, right))
-        for side, found in ((left, similar @ many_right), (right, similar.T @ many_left)):
-            for k in np.flatnonzero(found):
-                yield side[k][0], None, int(found[k])
-        seen: dict[bytes, int] = {}
-        group = np.array([seen.setdefault(k, len(seen)) for k, _ in left + right])
-        for i in np.flatnonzero(similar.any(1)):
-            at = np.flatnonzero(similar[i]) + len(left)
-            for g in np.unique(group[at]):
-                if g != group[i]:
-                    yield left[i][0], right[at[group[at] == g][0] - len(left)][0], 0
-                    group[group == g] = group[i]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        side = rows.column(3).to_numpy()
+        cut = int(np.searchsorted(side, 1))
+        if cut in (0, len(side)):
+            return None
+        x, many, cell = _unit(_raw(rows.column(5)), kind), rows.column(6).to_numpy(), rows.column(7).to_numpy()
+        names = np.ascontiguousarray(_raw(rows.column(4))).view(">u8").astype(np.uint64)
+        similar = x[:cut] @ x[cut:].T >= cosine
+        inside = np.flatnonzero(cell[:cut] == target)
+        if len(inside):  # both search this cell: the pair counts once
+            a, b = names[inside][:, None], names[cut:][None]
+            similar[inside] &= (a[..., 0] < b[..., 0]) | ((a[..., 0] == b[..., 0]) & (a[..., 1] < b[..., 1]))
+        below = np.flatnonzero((cell[:cut] < target) & similar.any(1))
+        if len(below):  # where a search from the other side meets this one in a lower cell, the pair counts there
+            at, cells = np.flatnonzero(similar[below].any(0)), np.unique(cell[below])
+            met = index.value.visits(x[cut:][at], cells)
+            similar[np.ix_(below, at)] &= ~met[:, np.searchsorted(cells, cell[below])].T
+        i, j = np.nonzero(similar)
+        if not len(i):
+            return None
+        found = np.concatenate([np.bincount(i, many[cut:][j], cut), np.bincount(j, many[:cut][i], len(side) - cut)]).astype(np.int64)
+        _, first, node = np.unique(names, axis=0, return_index=True, return_inverse=True)
+        node = node.reshape(-1)
+        root = _joined(len(first), node[i], node[cut + j])
+        counted, apart = np.flatnonzero(found), np.flatnonzero(root != np.arange(len(root)))
+        ids = rows.column(4)
+        a = pa.concat_arrays([ids.take(pa.array(counted)), ids.take(pa.array(first[apart]))])
+        b = pa.concat_arrays([pa.nulls(len(counted), pa.binary()), ids.take(pa.array(first[root[apart]]))])
+        return pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([found[counted], np.zeros(len(apart), np.int64)]))], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, members in groupby(rows(batches), key=lambda r: r[:3]):
-            sides: tuple[dict, dict] = {}, {}
-            for *_, side, node, vector, many, cell, visits in members:
-                sides[side][node] = vector, many, cell, visits or ()
-            out = list(task(key[0], sides))
-            for at in range(0, len(out), 20_000):
-                a, b, n = zip(*out[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "links"])
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in chain(batches, [None]):
+            keys = None if batch is None else np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            starts = [0] if batch is None else [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in pairwise(starts) if batch is not None else [(0, 0)]:
+                now = None if batch is None else tuple(keys[a])
+                if now != key and held:
+                    found = task(int(key[0]), pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    if found is not None:
+                        yield found
+                    held = []
+                key = now
+                if batch is not None:
+                    held.append(batch.slice(a, b - a))
 
     return run
 
@@ -159,15 +197,15 @@ def near_vectors(
     vector_col: str = "embedding",
     cosine: float = 0.9,
     recall: float = 0.99,
-    per_cell: int = 128,
-    chunk: int = 2048,
+    per_cell: int = 256,
+    chunk: int = 1024,
     most_sample: int = 4096,
 ) -> DataFrame:
     """Links between vectors whose cosine, in double precision, is at least ``cosine``.
 
     Codebooks for the two halves of the unit vectors are fitted on a bounded sample of at most
     ``most_sample`` distinct vectors; they make a product grid of about one cell for ``per_cell``
-    vectors, and every vector is put into its cell. Every vector is also a query: a
+    vectors, as far as the sample allows, and every vector is put into its cell. Every vector is also a query: a
     multi-sequence traversal visits cells by increasing distance, as far beyond the nearest
     as found enough for ``recall`` on sample pairs just at the limit. The searches that visit
     a cell are compared with its vectors exactly, in blocks of ``chunk`` from either side: large
@@ -181,7 +219,7 @@ def near_vectors(
     no component. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark)
     source = pick(vectors, id_col, vector_col).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     kind = "<f4" if dict(source.dtypes)["v"] == "array<float>" else "<f8"
     source = source if kind == "<f4" else source.withColumn("v", F.col("v").cast("array<double>"))
@@ -205,13 +243,17 @@ def near_vectors(
     sample = sorted((bytes(r[0]), bytes(r[1])) for r in picked.limit(most_sample).select("node", "vector").collect())
     if not sample:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    index = spark.sparkContext.broadcast(MultiIndex(_unit([v for _, v in sample], kind), max(1, total // per_cell), cosine, recall))
+    unit = _unit(np.frombuffer(b"".join(v for _, v in sample), np.uint8).reshape(len(sample), -1), kind)
+    index = spark.sparkContext.broadcast(MultiIndex(unit, max(1, total // per_cell), cosine, recall))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, visits = index.value.cells(_unit(batch.column(1).to_pylist(), kind))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["node", "vector", "many", "cell", "visits"])
+                own, row, cell = index.value.cells(_unit(_raw(batch.column(1)), kind))
+                order = np.argsort(row, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(own)))]).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), visits], ["node", "vector", "many", "cell", "visits"])
 
     placed = nodes.select("node", "vector", "many").mapInArrow(assign, "node binary, vector binary, many long, cell int, visits array<int>")
     placed = stored(placed, "placed")
@@ -221,13 +263,12 @@ def near_vectors(
     sizes = stored(sizes, "cell-sizes")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ["target", "search_part", "member_part", "side", "node", "vector", "many", "cell", "visits"]
+    names = [x.split()[0] for x in _SEARCH.split(", ")]
     left = searches.join(sizes, "target").withColumn("search_part", part("searches")).withColumn("member_part", every("members"))
-    left = left.withColumn("side", F.lit(0)).withColumn("visits", F.lit(None).cast("array<int>"))
-    right = placed.withColumn("target", F.col("cell")).join(sizes, "target").withColumn("member_part", part("members")).withColumn("search_part", every("searches"))
-    right = right.withColumn("side", F.lit(1))
-    tasks = left.select(names).unionByName(right.select(names)).repartition(*names[:3]).sortWithinPartitions(*names[:5])
-    found = stored(tasks.mapInArrow(_compare(cosine, kind), "a binary, b binary, links long"), "vector-links")
+    right = placed.drop("visits").withColumn("target", F.col("cell")).join(sizes, "target").withColumn("member_part", part("members")).withColumn("search_part", every("searches"))
+    tasks = left.withColumn("side", F.lit(0)).select(names).unionByName(right.withColumn("side", F.lit(1)).select(names))
+    tasks = tasks.repartition(*names[:3]).sortWithinPartitions(*names[:5])
+    found = stored(tasks.mapInArrow(_compare(cosine, kind, index), "a binary, b binary, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
     known = nodes.select("node", "many", "low").join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
