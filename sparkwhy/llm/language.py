@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -14,11 +13,15 @@ from pyspark.sql import functions as F
 from .common import pick, small_batches
 from .sampling import by_label, crc_modulo
 
-_LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint32
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter; signs of numbers such as ``²`` or ``½`` are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _symbols(text: str) -> np.ndarray:
     """Lower-cased letters as code points; every run of anything else is one space."""
     data = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
@@ -78,7 +81,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether a second language is nearly as likely."""
-        if not text or not self.classes or not _LETTER.search(text):
+        if not self.classes or not has_letter(text):
             return UNKNOWN, 0.0, True
         if len(self.classes) == 1:
             return self.classes[0], 1.0, False
@@ -94,10 +97,12 @@ class Model:
 def fit(texts: list[str], labels: list[str], buckets: int = 4096, rounds: int = 150, seed: int = 5) -> Model:
     """Logistic regressions for the bits of the codewords of the labels, on at least no rows.
 
-    The last fifth of the rows is held back to weigh the bits by their errors and to set how
-    sharply losses become probabilities.
+    The last fifth of the rows, in a seeded order, is held back to weigh the bits by their errors and to set how
+    sharply losses become probabilities; of fewer than 50 rows all are fitted and serve for that too. Texts that are
+    null, empty or without a letter and null labels teach nothing; repeated rows count as often as they are there.
+    With one label the model always gives it, with none it gives ``und``.
     """
-    kept = [(t, y) for t, y in zip(texts, labels, strict=True) if t and _LETTER.search(t)]
+    kept = [(t, y) for t, y in zip(texts, labels, strict=True) if y is not None and has_letter(t)]
     classes = sorted({y for _, y in kept})
     code = codewords(len(classes))
     if len(classes) < 2:
@@ -142,13 +147,14 @@ def fit(texts: list[str], labels: list[str], buckets: int = 4096, rounds: int =
     return made
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int = 3000, most_bytes: int = 24_000_000) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int = 3000, most_bytes: int = 24_000_000, id_col: str | None = None) -> Model:
     """Fit on a bounded sample of labelled rows, about equally many of each label.
 
     ``most_rows`` and ``most_bytes`` (expected, whole texts) bound what the driver collects.
-    Rows without a label or text teach nothing.
+    Rows are sampled by a hash of their content and of the column ``id_col``, with which copies
+    of a text are in the sample or not each by itself. Rows without a label or text teach nothing.
     """
-    rows = pick(labelled, text_col, label_col).where(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
+    rows = pick(labelled, text_col, label_col, *([id_col] if id_col else [])).where(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
     sample, _ = by_label(rows.withColumn("size", F.octet_length(text_col)), label_col, "size", most_rows, most_bytes)
     found = sorted((r[0], str(r[1])) for r in sample.select(text_col, label_col).collect())
     return fit([t for t, _ in found], [y for _, y in found])
@@ -177,5 +183,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", modulus: int = 4, held: int = 2) -> DataFrame:
     """Learn from the rows whose id is not in the held-out fold; predict all rows and name the fold."""
-    model = train(docs.where(crc_modulo(id_col, modulus) != held), text_col, label_col)
+    model = train(docs.where(crc_modulo(id_col, modulus) != held), text_col, label_col, id_col=id_col)
     return identify(docs, model, id_col, text_col).withColumn("held_out", crc_modulo(id_col, modulus) == held)

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -206,6 +207,35 @@ def test_held_out_languages(spark, sf):
     assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in held]) >= 0.95
 
 
+def test_op5_equals_a_plain_version(spark, sf):
+    """Every row's language and score by n-grams counted one by one and losses summed class by class."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs.where("pmod(crc32(encode(cast(doc_id as string), 'UTF-8')), 4) != 2"), id_col="doc_id")
+    rows = {r["doc_id"]: r for r in QUERIES["op5_output_codes"](spark, sf).collect()}
+    mask = 2**32 - 1
+    for r in docs.collect():
+        assert rows[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        letters = [ord(c) if c.isalpha() or ord(c) >= 0x250 else 32 for c in (r["text"] or "").lower()]
+        s = [32, *[c for k, c in enumerate(letters) if not (c == 32 and k and letters[k - 1] == 32)], 32]
+        counts = {}
+        for k in range(len(s)):
+            h = s[k] * 0x9E3779B1 & mask
+            grams = [h]
+            if k + 1 < len(s):
+                h = (h ^ (s[k + 1] * 0x85EBCA77 + 1 & mask)) * 0xC2B2AE3D & mask
+                grams.append(h)
+            if k + 2 < len(s):
+                grams.append((h ^ (s[k + 2] * 0x27D4EB2F + 2 & mask)) * 0x165667B1 & mask)
+            for g in grams:
+                counts[g >> 20] = counts.get(g >> 20, 0) + 1
+        total = sum(counts.values())
+        margin = sum((np.sqrt(n / total) * model.weights[g].astype(float) for g, n in counts.items()), np.array(model.bias, float))
+        loss = [sum(w * np.log1p(np.exp(-m * b)) for m, b, w in zip(margin, word, model.trust, strict=True)) for word in model.code.astype(float)]
+        p = np.exp(-model.sharp * (np.array(loss) - min(loss)))
+        assert rows[r["doc_id"]]["lang_pred"] == model.classes[int(np.argmin(loss))]
+        assert abs(rows[r["doc_id"]]["score"] - p.max() / p.sum()) < 1e-3
+
+
 def test_many_languages_by_random_codes():
     rng = np.random.default_rng(3)
     alphabets = {f"l{k}": [chr(97 + (k * 3 + j) % 26) for j in range(6)] for k in range(8)}
@@ -224,6 +254,31 @@ def test_held_out_quality(spark, sf):
     assert np.mean([truth[r["doc_id"]] == r["predicted"] for r in held]) >= 0.9
 
 
+def test_op9_equals_a_plain_version(spark, sf):
+    """Every row's score by word vectors added one by one and a network written out."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    v, net = model.vectors, model.network
+    rows = {r["doc_id"]: r for r in QUERIES["op9_random_indexing"](spark, sf).collect()}
+    for r in docs.collect():
+        words = (r["text"] or "").split()
+        pooled, shaped, echo = np.zeros(v.size), np.zeros(v.size), 0
+        for k, word in enumerate(words):
+            pooled += v.words[v.word_row.get(word, 0)]
+            pieces = quality_model.shape_pieces(word)
+            shaped += sum(v.shapes[v.shape_row.get(p, 0)].astype(float) for p in pieces) / len(pieces)
+            echo += k > 0 and word == words[k - 1]
+        n = max(len(words), 1)
+        echo /= max(len(words) - 1, 1)
+        x = np.concatenate([pooled / n, shaped / n + echo * v.shapes[1], [echo, np.log1p(len(words)) / 10]])
+        x = x if words else np.zeros(len(x))
+        hidden = [math.tanh(sum((x - net.mean) / net.scale * net.w[:, j]) + net.b[j]) for j in range(len(net.b))]
+        score = 1 / (1 + math.exp(-(sum(h * c for h, c in zip(hidden, net.v, strict=True)) + net.c[0]) / net.temperature))
+        found = rows[r["doc_id"]]
+        assert abs(found["score"] - score) < 1e-3 and found["predicted"] == int(found["score"] >= 0.5)
+        assert found["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_index_vectors_and_shapes():
     v = quality_model.index_vector("word", 96)
     assert sorted(np.unique(v)) == [-1, 0, 1] and np.abs(v).sum() == 8 and (v == quality_model.index_vector("word", 96)).all()
