@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -38,12 +39,20 @@ class Union:
         return True
 
 
-def _contract(kind: pa.DataType) -> Callable:
+def _contract(kind: pa.DataType, most: int = 200_000) -> Callable:
+    """Links that join what the given ones join, fewer; at most about ``most`` ids are held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union = Union()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 union.join(a, b)
+            if len(union.up) > most:
+                yield from left(union)
+                union = Union()
+        yield from left(union)
+
+    def left(union: Union) -> Iterator[pa.RecordBatch]:
         nodes = [x for x in union.up if union.root(x) != x]
         for at in range(0, len(nodes), 50_000):
             part = nodes[at : at + 50_000]
@@ -107,25 +116,37 @@ def _run(compare: Compare, kind: pa.DataType) -> Callable:
     return run
 
 
-def linked(members: DataFrame, payload: DataFrame, compare: Compare, block_weight: int) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, compare: Compare, block_weight: int, block_members: int = 512, ratio: float | None = None) -> DataFrame:
     """Links (a, b) that join all ids which ``compare`` links inside some group.
 
     ``members`` has group, id and weight, ``payload`` the id and bytes of each.  A group is
-    dealt by a hash of the id over blocks of about ``block_weight`` in total weight, so no
-    task holds a whole large group, and only links that join what was apart leave a
-    task. In groups of more than one block, a first round compares inside blocks and
-    with one hub member; a second holds all members outside the group's largest
-    component against all blocks. Pairs that links join already need no comparison.
+    dealt by a hash of the id over blocks of about ``block_weight`` in total weight and at most about ``block_members``
+    members, so no task holds a whole large group, and only links that join what was apart leave a
+    task. If ids whose ``size`` differs by more than ``ratio`` are never linked, large groups are first split
+    into classes of size; ids of neighbouring classes meet in one of them. In groups of more
+    than one block, a first round compares inside blocks and with one hub member; a second holds all
+    members outside the group's largest component against all blocks. Pairs that links join already need
+    no comparison.
     """
     kind = dict(members.dtypes)["id"]
     arrow = pa.int64() if kind == "bigint" else pa.binary()
-    sizes = (
-        members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.min("id").alias("hub"))
-        .where("n > 1").select("group", "hub", F.ceil(F.col("total") / block_weight).cast("int").alias("blocks"))
-    )
-    sizes = stored(sizes, "sizes")  # so that Spark can split a large group in the join
+
+    def sized(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.min("id").alias("hub")).where("n > 1")
+        blocks = F.ceil(F.greatest(F.col("total") / block_weight, F.col("n") / block_members)).cast("int").alias("blocks")
+        return stored(found.select("group", "hub", blocks), "sizes")  # so that Spark can split a large group in the join
+
+    sizes = sized(members)
+    inside = members.join(sizes, "group")
+    if ratio is not None and not sizes.where("blocks > 1").isEmpty():
+        step = F.floor(F.log("size") / F.lit(max(-math.log(ratio), 1e-6) * (1 + 1e-6)))  # a little wide, for what is just at the ratio
+        apart = inside.where("blocks > 1").drop("hub", "blocks").withColumn("class", F.explode(F.array(step, step + 1)))
+        key = F.xxhash64("group", "class")
+        apart = apart.withColumn("group", F.encode(key.cast("string"), "UTF-8") if dict(members.dtypes)["group"] == "binary" else key)
+        apart = stored(apart.drop("class"), "classes")
+        inside = inside.where("blocks = 1").unionByName(apart.join(sized(apart), "group").select(inside.columns))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
-    inside = stored(members.join(sizes, "group").withColumn("block", own), "members")
+    inside = stored(inside.withColumn("block", own), "members")
     hubs = inside.where("id = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = inside.unionByName(hubs).select("group", "block", F.lit(0).alias("other"), F.lit(0).alias("side"), "id", "weight", F.lit(None).cast(kind).alias("label"))
 
@@ -142,8 +163,9 @@ def linked(members: DataFrame, payload: DataFrame, compare: Compare, block_weigh
     large = large.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     large = stored(large, "labelled")
     parts = large.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    main = parts.groupBy("group").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("w").alias("all"), F.count("*").alias("k")).where("k > 1")
-    main = main.join(parts, "group").where("label = m.label").select("group", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("w")) / block_weight).cast("int").alias("strays"))
+    main = parts.groupBy("group").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("w").alias("all"), F.sum("n").alias("members"), F.count("*").alias("k")).where("k > 1")
+    strays = F.ceil(F.greatest((F.col("all") - F.col("w")) / block_weight, (F.col("members") - F.col("n")) / block_members)).cast("int")
+    main = main.join(parts, "group").where("label = m.label").select("group", F.col("m.label").alias("main"), strays.alias("strays"))
     large = large.join(main, "group")
     stray = large.where("label != main").withColumn("other", F.pmod(F.xxhash64("id"), F.col("strays")).cast("int"))
     stray = stray.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))

@@ -10,11 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, pick, small_batches, stored
-from .components import Union, connected_components, linked
+from .common import bounded_broadcast, pick, row_hash, small_batches, stored, without
+from .components import connected_components, linked
 from .shingles import MinHasher, WordHashes, shingle_set
 
 BATCH = 16
+DEFAULTS = {"width": 5, "percent": 80, "bands": 24, "rows": 4, "miss": 1e-7, "block_members": 512, "block_shingles": 400_000}
 
 
 def least_matches(hashes: int, similarity: float, miss: float, step: int = BATCH) -> list[int]:
@@ -136,13 +137,13 @@ def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    width: int = 5,
-    percent: int = 80,
-    bands: int = 24,
-    rows: int = 4,
-    miss: float = 1e-7,
-    block_members: int = 512,
-    block_shingles: int = 400_000,
+    width: int = DEFAULTS["width"],
+    percent: int = DEFAULTS["percent"],
+    bands: int = DEFAULTS["bands"],
+    rows: int = DEFAULTS["rows"],
+    miss: float = DEFAULTS["miss"],
+    block_members: int = DEFAULTS["block_members"],
+    block_shingles: int = DEFAULTS["block_shingles"],
 ) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100.
 
@@ -159,9 +160,37 @@ def near_duplicates(
     A null id in a group gets the group's smallest id and is not kept. Repeated rows
     are equal rows of one group. An empty table gives an empty result.
     """
+    signed, named = _grouped(docs, id_col, text_col, width, percent, bands, rows, miss, block_members, block_shingles)
+    out = signed.select("id", "node", "n_shingles").join(named.select("node", "component_id"), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row, with all its columns, of each group that ``near_duplicates`` finds, and all rows without words.
+
+    It is the row with the smallest id, nulls last, and of rows that share this id the text with the smallest
+    hash. If the row is there more than once, one of its copies stays, whatever their other columns hold.
+    """
+    names = ("width", "percent", "bands", "rows", "miss", "block_members", "block_shingles")
+    signed, named = _grouped(docs, id_col, text_col, *[options.get(n, DEFAULTS[n]) for n in names])
+    first = signed.where("node is not null").select("id", "node", "text_hash").join(named, "node")
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = first.where(~stays).select("id", F.col("text_hash").alias("row_hash"))
+    often = stored(first.where(stays).groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated").select("id", F.col("text_hash").alias("row_hash"))
+    once = without(docs, gone.unionByName(often), id_col, (text_col,))
+    if often.isEmpty():
+        return once
+    match = docs[id_col].cast("long").eqNullSafe(often["id"]) & (row_hash(text_col) == often["row_hash"])
+    many = docs.join(often, match, "left_semi")
+    return once.unionByName(many.dropDuplicates([id_col, text_col]))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, miss: float, block_members: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (id, text_hash, node, n_shingles, ...), and of each node its component_id and the row that stands for its group."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     schema = "id long, text_hash long, node binary, n_shingles long, signature binary, bands array<long>"
     signed = stored(texts.mapInArrow(_signatures(width, bands, rows), schema), "signatures")
     first = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first")
@@ -171,10 +200,10 @@ def near_duplicates(
         .select("node", F.col("first.id").alias("id"), "first.text_hash", "n", "signature", "bands"),
         "nodes",
     )
-    buckets = nodes.select(F.explode("bands").alias("group"), F.col("node").alias("id"), F.lit(1).alias("weight"))
+    buckets = nodes.select(F.explode("bands").alias("group"), F.col("node").alias("id"), F.lit(1).alias("weight"), F.col("n").alias("size"))
     payload = nodes.select(F.col("node").alias("id"), F.col("signature").alias("payload"))
     needed = least_matches(bands * rows, percent / 100, miss)
-    likely = linked(buckets, payload, _similar_signatures(needed, percent), block_members)
+    likely = linked(buckets, payload, _similar_signatures(needed, percent), block_members, block_members, percent / 100)
     clusters = stored(connected_components(likely), "clusters")
     wanted = clusters.join(nodes.select("node", "id", "text_hash", "n").withColumnRenamed("id", "doc"), clusters["id"] == F.col("node"))
     wanted = stored(wanted.select(F.col("component").alias("group"), "node", "doc", "text_hash", "n"), "candidates")
@@ -189,16 +218,13 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(nodes_of, pa.binary()), pa.array(found, pa.binary())], ["id", "payload"])
 
     exact = linked(
-        wanted.select("group", F.col("node").alias("id"), F.col("n").alias("weight")),
-        chosen.select("text").mapInArrow(sets, "id binary, payload binary"), _similar_sets(percent), block_shingles,
+        wanted.select("group", F.col("node").alias("id"), F.col("n").alias("weight"), F.col("n").alias("size")),
+        chosen.select("text").mapInArrow(sets, "id binary, payload binary"), _similar_sets(percent), block_shingles, block_members, percent / 100,
     )
     parts = connected_components(exact).withColumnRenamed("id", "node")
-    smallest = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low")).join(parts, "node", "left")
-    smallest = smallest.withColumn("component", F.coalesce("component", "node"))
-    smallest = stored(smallest, "smallest")
-    lowest = stored(smallest.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    named = stored(smallest.join(lowest, "component").select("node", "component_id"), "named")
-    out = signed.select("id", "node", "n_shingles").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-
+    lowest_row = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("low")
+    smallest = signed.where("node is not null").groupBy("node").agg(lowest_row).join(parts, "node", "left")
+    smallest = stored(smallest.withColumn("component", F.coalesce("component", "node")), "smallest")
+    lowest = stored(smallest.groupBy("component").agg(F.min("low").alias("low")).select("component", F.col("low.id").alias("first_id"), F.col("low.text_hash").alias("first_hash")), "lowest")
+    named = smallest.select("component", "node").join(lowest, "component")
+    return signed, stored(named.select("node", F.col("first_id").alias("component_id"), "first_id", "first_hash"), "named")

@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, stored
+from .common import pick, row_hash, small_batches, stored, without
 from .shingles import WordHashes, hash_words, windows
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
 _FEATURES = (
-    "key binary, host binary, id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "key binary, host binary, id long, row_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, line binary, line_words int"
 )
 
@@ -83,15 +83,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text, host in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, text, host, row_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             key, place = _keys(doc, text, host)
             found = text_features(text, cache)
-            rows.append((key, place, doc, *found, None, None))
+            rows.append((key, place, doc, row_hash, *found, None, None))
             for line, words in line_counts(text).items():
-                rows.append((key, place, None, found[0], None, None, None, None, _digest(_where(host), line), words))
+                rows.append((key, place, None, None, found[0], None, None, None, None, _digest(_where(host), line), words))
         if rows:
             columns = zip(*rows, strict=True)
-            kinds = [pa.binary()] * 2 + [pa.int64()] * 6 + [pa.binary(), pa.int32()]
+            kinds = [pa.binary()] * 2 + [pa.int64()] * 7 + [pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
 
 
@@ -119,6 +119,12 @@ def _lines_above(rows: DataFrame, min_documents: int, max_share: float, min_own:
     return held.select("key", "line", "words"), stored(above.where("found > limit").select("line"), "common-lines")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+    small_batches(docs.sparkSession)
+    source = pick(docs, id_col, text_col, host_col).select(F.col(id_col).cast("long"), text_col, host_col)
+    return source, stored(source.withColumn("row_hash", row_hash(text_col, host_col)).mapInArrow(_features, _FEATURES), "rules")
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -130,6 +136,7 @@ def quality_rules(
     max_share: float = 0.05,
     min_own: float = 0.5,
     min_left: float = 0.2,
+    with_hash: bool = False,
 ) -> DataFrame:
     """Statistics and verdict for each document.
 
@@ -147,11 +154,9 @@ def quality_rules(
     n_repeat_words, base_failed, n_words_left, kept. A null or empty text has 0 of
     everything and fails the base rules; a null host is a host of its own; a null id
     stays null; repeated rows (equal id, text and host) are all returned, with equal values, and count as one
-    document; an empty table gives an empty result.
+    document; an empty table gives an empty result. ``with_hash`` adds row_hash, a hash of text and host.
     """
-    small_batches(docs.sparkSession)
-    source = pick(docs, id_col, text_col, host_col).select(F.col(id_col).cast("long"), text_col, host_col)
-    rows = stored(source.mapInArrow(_features, _FEATURES), "rules")
+    rows = _rows(docs, id_col, text_col, host_col)[1]
     held, above = _lines_above(rows, min_documents, max_share, min_own)
     removed = held.join(above, "line", "left_semi").groupBy("key").agg(F.sum("words").alias("removed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
@@ -160,22 +165,26 @@ def quality_rules(
         rows.where("line is null")
         .join(removed, "key", "left")
         .select(
-            F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+            F.col("id").alias(id_col), *(["row_hash"] if with_hash else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             failed.alias("base_failed"), left.alias("n_words_left"),
             (~failed & (left >= min_left * F.col("n_words"))).alias("kept"),
         )
     )
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The rows that ``quality_rules`` keeps, whole and with all their columns; rows of one id, null or not, each by its own verdict."""
+    judged = quality_rules(docs, id_col, text_col, host_col, **limits, with_hash=True)
+    return without(docs, judged.where("not kept").select(F.col(id_col).alias("id"), "row_hash"), id_col, (text_col, host_col))
+
+
 def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = 4, max_share: float = 0.05, min_own: float = 0.5) -> DataFrame:
     """Texts without their lines above the limit, as ``quality_rules`` sets it: id and text, one row per input row.
 
     Other lines stay as they are, joined by a line feed. A null text stays null, a text all of whose lines go is
     empty; nulls, repeated rows and an empty table are as there.
     """
-    small_batches(docs.sparkSession)
-    source = pick(docs, id_col, text_col, host_col).select(F.col(id_col).cast("long"), text_col, host_col)
-    rows = stored(source.mapInArrow(_features, _FEATURES), "rules")
+    source, rows = _rows(docs, id_col, text_col, host_col)
     held, above = _lines_above(rows, min_documents, max_share, min_own)
     gone = held.join(above, "line", "left_semi").groupBy("key").agg(F.collect_list("line").alias("lines"))  # at most the lines of a document
 

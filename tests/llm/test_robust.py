@@ -131,6 +131,32 @@ def test_models_of_urls_without_two_labels(spark):
     assert url_filter.judge(page, only).first()["verdict"] == "block"
 
 
+def test_decoding_odd_rows(spark):
+    rows = [(1, b""), (2, None), (None, b"\x00\x00\x00\x00"), (2, None)]
+    table = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, ids binary, IDS int")
+    found = bpe_chunks.bpe_decode(table)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, ""), (2, None), (None, "!"), (2, None)], key=str)
+    assert bpe_chunks.bpe_decode(table.limit(0)).count() == 0
+
+
+def test_fitting_languages_on_odd_rows():
+    none = language.fit([], [])
+    assert none.predict("text") == ("und", 0.0, True)
+    one = language.fit(["some text", "", None, "12 ½"], ["en", "de", "fr", "es"])
+    assert one.predict("text")[0] == "en" and one.predict("½ ² ①") == ("und", 0.0, True)
+    few = language.fit(["the cat", "le chat", "the dog", None], ["en", "fr", "en", None])
+    assert {few.predict(x)[0] for x in ("the cat", "le chat")} == {"en", "fr"}
+
+
+def test_letters():
+    assert all(map(language.has_letter, ("a", "1 é", "日", "٣ب", "ª"))) and not any(map(language.has_letter, (None, "", "12 ½ ² ① ٣ _ -", "😀")))
+
+
+def test_few_labels_make_a_network():
+    few = quality_model.Model(["plain words here now", "!! ## !!"], [1, 0])
+    assert few.network is not None and few.score(["plain words here now"])[0] > few.score(["!! ## !!"])[0]
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [0.0, 1.0]), (10, [1.0]), (11, [float("inf"), 0.0])]
     table = spark.createDataFrame([(*r, None, 5) for r in rows], "vec_id long, embedding array<double>, label int, VEC_ID int")
@@ -153,6 +179,36 @@ def test_near_vectors_of_float_columns_equal_brute_force(spark):
     assert (got <= linked.sum(1) - 1).all() and got.sum() >= 0.9 * (linked.sum() - len(x))
 
 
+GOOD, OTHER = " ".join(f"good{k}" for k in range(40)), " ".join(f"other{k}" for k in range(41))
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_rules_stage_judges_rows_not_ids(spark):
+    rows = [(1, GOOD, "a"), (1, "bad one", "a"), (None, OTHER, "a"), (None, "too short", "a"), (2, None, GOOD), (2, GOOD, None), (3, GOOD, "a"), (3, GOOD, "a")]
+    found = corpus_pipeline.rules(spark, rows_of(spark, rows), "").collect()
+    kept = sorted(((r["doc_id"], r["text"], r["source"]) for r in found), key=str)
+    assert kept == sorted([(1, GOOD, "a"), (None, OTHER, "a"), (2, GOOD, None), (3, GOOD, "a"), (3, GOOD, "a")], key=str)
+
+
+def test_near_dedup_stage_leaves_one_row_of_a_group(spark):
+    rows = [(None, GOOD, "a"), (None, GOOD, "b"), (7, GOOD + " x", "a"), (5, GOOD, "a"), (5, GOOD, "a"), (5, OTHER, "a"), (None, OTHER + " y", "a"), (8, "", "a"), (8, "", "a"), (9, None, "a")]
+    found = corpus_pipeline.near_dedup(spark, rows_of(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found if r["text"]) == sorted([(5, GOOD), (5, OTHER)])
+    assert sum(not r["text"] for r in found) == 3
+    nulls = corpus_pipeline.near_dedup(spark, rows_of(spark, [(None, GOOD, "a"), (None, GOOD, "b"), (None, GOOD + " x", "c"), (None, OTHER, "a")]), "").collect()
+    assert len(nulls) == 2 and {r["text"][:4] for r in nulls} == {"good", "othe"}
+
+
+def test_classifier_and_packing_stages_on_odd_rows(spark, docs, labels, tmp_path):
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.classifier(spark, docs, str(tmp_path)).count() == len(TEXTS)  # no label, no reason to reject
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(TEXTS) and sum(r["doc_id"] is None for r in packed) == 2
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_pipeline_stages(spark, docs, labels, tmp_path, stage):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
