@@ -1,50 +1,49 @@
 """The corpus pipeline: quality rules, quality classifier, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept,
-and returns a table. All but the last return the columns of ``documents``.
+and returns a table. All but the last return the columns of ``documents``, each row as it came: the
+rules' line removal decides which documents are depleted, and the texts stay whole.
+
+Rows are told apart by id and content. Of rows with equal or null ids each has its own verdict; a null or empty
+text fails the rules, and no later stage removes it for that; an empty table gives an empty
+result at every stage; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkwhy.llm import minhash, packing, quality_model, quality_rules
-from sparkwhy.llm.common import bounded_broadcast, pick, stored
+from sparkwhy.llm.common import pick, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents without those whose id, which may be null, no judged row keeps.
-
-    What is rejected is broadcast if a count shows that it is small, so that texts stay
-    where they are; else both sides are shuffled.
-    """
-    gone = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept")).where("not kept").select("_id")
-    gone = bounded_broadcast(stored(gone, "rejected"), 200_000)
-    rows = pick(docs, *COLUMNS)
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]), "left_anti").select(COLUMNS)
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _only(docs, quality_rules.quality_rules(docs))
+    """Rows that the quality rules keep. Repeated rows share their verdict."""
+    return quality_rules.keep_good(pick(docs, *COLUMNS))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is 1, learnt from the labels of those here."""
+    """Rows whose predicted quality is 1, learnt from the labels of those here.
+
+    A null text scores as an empty one, a score of just one half is kept. Without labels of both kinds
+    all rows get the share of label 1 as their score, or 1 if there are none.
+    """
     model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.keep_predicted(pick(docs, *COLUMNS), model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return _only(docs, minhash.near_duplicates(docs))
+    """One row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest hash of its text.
+
+    Of equal rows one stays. Rows without words are in no group and all stay.
+    """
+    return minhash.keep_one(pick(docs, *COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of the documents in packed sequences."""
+    """Places of all pieces of the documents in packed sequences; a null text is the end id alone, repeated rows get places of their own."""
     return packing.pack_documents(docs)
 
 
