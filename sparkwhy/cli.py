@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 
 from pyspark.sql import SparkSession
 
 from .engine import Engine, Settings
 from .plans.question import Aggregate, Filter, Query, Question
+from .sources import sinks
 from .sources.catalog import TPCH_FOREIGN_KEYS, TPCH_KEYS, Catalog, ForeignKey, star_catalog
 from .workloads import WORKLOADS
 
@@ -52,6 +54,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-S", "--lca-most", type=int, default=d.lca_most)
     p.add_argument("-t", "--score-mode", choices=("o", "s", "e"), default=d.score_mode)
     p.add_argument("-k", "--max-bounds", type=int, default=d.max_bounds)
+    p.add_argument("--bound-rate", type=float, default=d.bound_rate, help="numeric attributes tried for each allowed bound")
+    p.add_argument("--trees", type=int, default=d.trees, help="trees of the forest that ranks numeric attributes")
+    p.add_argument("--lca-limit", type=int, default=d.lca_limit)
+    p.add_argument("--lca-kept", type=int, default=d.lca_kept)
+    p.add_argument("--equal-keys", type=yes, default=d.equal_keys)
+    p.add_argument("-W", "--workloads", action="store_true", help="run all named questions; QUESTION is then a name, a list with commas, or 'all'")
+    p.add_argument("-D", "--database", help="append the result tables to this database of the session's catalog too")
+    p.add_argument("-v", "--verbose", action="store_true", help="log each step")
     p.add_argument("-L", "--only-candidates", action="store_true")
     p.add_argument("--strict-keys", type=yes, default=d.strict_keys)
     p.add_argument("--threads", type=int, default=d.threads)
@@ -64,18 +74,28 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
     directory, path, output, description = (args.pop(k) for k in ("directory", "question", "output", "description"))
+    workloads, database, verbose = (args.pop(k) for k in ("workloads", "database", "verbose"))
+    if verbose:
+        logging.basicConfig(format="%(levelname)s %(asctime)s [%(filename)s:%(funcName)s:%(lineno)d] %(message)s")
+        logging.getLogger("sparkwhy").setLevel(logging.INFO)
     spark = SparkSession.builder.appName("sparkwhy").getOrCreate()
-    if path in WORKLOADS:
-        question, catalog = WORKLOADS[path], star_catalog(spark, directory)
+    if workloads or path in WORKLOADS:
+        names = sorted(WORKLOADS) if path == "all" else path.split(",")
+        todo = [(n if len(names) > 1 else "", WORKLOADS[n], star_catalog(spark, directory)) for n in names]
     else:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        question, catalog = read_question(spec), read_catalog(spark, directory, spec)
-    found = Engine(spark, catalog).explain(question, Settings(**args))
-    found.save(spark, output, description)
-    print(found.stats.report())
-    for d in found.best:
-        print(f"{d.pattern.f1:.5f}  {d.pattern.is_user}  {d.text}  [{d.graph_text}]")
+        todo = [("", read_question(spec), read_catalog(spark, directory, spec))]
+    for name, question, catalog in todo:
+        found = Engine(spark, catalog).explain(question, Settings(**args))
+        about = f"{description} {name}".strip()
+        found.save(spark, output, about)
+        if database:
+            for table, rows in found.tables(spark, about).items():
+                sinks.save(rows, database, table)
+        print(*([name] if name else []), found.stats.report(), sep="\n")
+        for d in found.best:
+            print(f"{d.pattern.f1:.5f}  {d.pattern.is_user}  {d.text}  [{d.graph_text}]")
 
 
 if __name__ == "__main__":

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import apt as apts
 from .operators import charts, features, lca, provenance, rank, refine, sampling, score
@@ -19,7 +21,9 @@ from .plans.join_graph import JoinGraph, enumerate_graphs, is_valid
 from .plans.question import Question, Query, Roles
 from .sources import sinks
 from .sources.catalog import Catalog
-from .sources.written import discard, written
+from .sources.written import discard, kept, scratch, written
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,7 @@ class Settings:
     optimised: bool = True  # -o: choose attributes first; else try all combinations
     max_bounds: int = 2
     bound_rate: float = 1.5
-    trees: int = 50
+    trees: int = 500
     only_candidates: bool = False  # -L
     seed: int = 1
     exact: bool = False  # no samples at all
@@ -93,7 +97,11 @@ class Engine:
 
     def provenance(self, question: Question) -> tuple[DataFrame, Roles]:
         """The provenance table, written once as everything else reads it, and its columns' roles."""
-        return written(provenance.provenance_table(self.catalog, question), "pt"), provenance.roles(self.catalog, question.query)
+        with scratch():
+            table = provenance.provenance_table(self.catalog, question)
+            with kept():
+                pt = written(table, "pt")
+        return pt, provenance.roles(self.catalog, question.query)
 
     def graphs(self, query: Query, settings: Settings = Settings()) -> list[JoinGraph]:
         relations = set(query.tables.values())
@@ -107,56 +115,59 @@ class Engine:
 
     # Patterns of one joined table
 
-    def mine(self, apt: Apt, settings: Settings = Settings(), stats: RunStats | None = None) -> list[Pattern]:
-        """Scored patterns of a joined table, which is written once and deleted afterwards."""
+    def mine(self, apt: Apt, settings: Settings = Settings(), stats: RunStats | None = None, pt_rows: int = 0) -> list[Pattern]:
+        """Scored patterns of a joined table, which is written once and deleted afterwards.
+
+        Samples are weighted only if the table has more rows than the provenance table, ``pt_rows``.
+        """
         stats = stats or RunStats()
         nominal, ordinal = apt.nominal(), apt.ordinal()
         with stats.timed("joined_table"):
             rows = written(apt.rows.select("pnumber", "is_user", *nominal, *ordinal), "apt")
-            n = rows.count()
-        with stats.timed("sample"):
-            sizes = score.side_sizes(rows)
+            sizes, n = score.sizes_and_rows(rows)
+            single = n == sum(sizes.values())
         with stats.timed("candidates"):
             take = sampling.lca_size(n, settings.lca_rate, settings.lca_least, settings.lca_most)
             left = sampling.uniform(rows, take, settings.seed)
             right = sampling.uniform(rows, take, settings.seed + 1)
-            found = lca.candidates(left, right, nominal, settings.lca_limit)
-            kept = [f for f, _ in lca.by_recall(rows, found, settings.candidate_recall, settings.lca_kept, sizes)]
-            stats.add("candidates_kept", len(kept))
+            found = lca.candidates(left, right, nominal, settings.lca_limit, take)
+            likely = [f for f, _ in lca.by_recall(rows, found, settings.candidate_recall, settings.lca_kept, sizes, single)]
+            stats.add("candidates_kept", len(likely))
+            log.info("%s: %d rows, %d candidates, %d kept", apt.graph.text(False), n, len(found), len(likely))
         if settings.only_candidates:
             discard(rows)
-            return [Pattern(nominal=f, is_user=s) for f in kept for s in ("yes", "no")]
+            return [Pattern(nominal=f, is_user=s) for f in likely for s in ("yes", "no")]
         sample = sample_sizes = None
         if settings.score_mode != "o" and not settings.exact:
             with stats.timed("sample"):
-                sample = self._sample(rows, n, nominal, ordinal, settings)
+                sample = self._sample(rows, n, nominal, ordinal, settings, pt_rows)
                 sample_sizes = score.side_sizes(sample) if sample is not None else None
 
         def scored(tried: list[Pattern]) -> list[Pattern]:
             with stats.timed("scoring"):
                 stats.add("scored", len(tried))
-                return score.score(rows, tried, sizes, "o" if settings.exact else settings.score_mode, sample, sample_sizes)
+                return score.score(rows, tried, sizes, "o" if settings.exact else settings.score_mode, sample, sample_sizes, single)
 
         if settings.optimised:
             with stats.timed("features"):
                 chosen = features.choose(rows, features.varying(rows, ordinal), apt.special(), seed=settings.seed, trees=settings.trees)
             with stats.timed("bounds"):
-                bounds = refine.quartiles(rows, kept, [a for a, _ in chosen.ranked])
-            out = refine.search(kept, bounds, chosen, apt.special(), scored, settings.max_bounds, settings.bound_rate, settings.pattern_recall)
+                bounds = refine.quartiles(rows, likely, [a for a, _ in chosen.ranked])
+            out = refine.search(likely, bounds, chosen, apt.special(), scored, settings.max_bounds, settings.bound_rate, settings.pattern_recall)
         else:
             with stats.timed("bounds"):
-                bounds = refine.quartiles(rows, kept, ordinal)
-            out = refine.search_all(kept, bounds, ordinal, apt.special(), scored, settings.max_bounds, settings.pattern_recall)
+                bounds = refine.quartiles(rows, likely, ordinal)
+            out = refine.search_all(likely, bounds, ordinal, apt.special(), scored, settings.max_bounds, settings.pattern_recall)
         if sample is not None:
             discard(sample)
         discard(rows)
         return out
 
-    def _sample(self, rows: DataFrame, n: int, nominal: list[str], ordinal: list[str], settings: Settings) -> DataFrame | None:
+    def _sample(self, rows: DataFrame, n: int, nominal: list[str], ordinal: list[str], settings: Settings, pt_rows: int) -> DataFrame | None:
         size = sampling.score_size(n, settings.score_rate, settings.score_least)
         if size is None:
             return None
-        if settings.sample_type != "uniform" and nominal:
+        if settings.sample_type != "uniform" and nominal and n > pt_rows:
             column = sampling.widest(rows, nominal)
             measure = sampling.most_varying(rows, ordinal) if settings.sample_type == "spread" and ordinal else None
             if measure:
@@ -172,17 +183,20 @@ class Engine:
         out.stats.params.update(settings.__dict__)
         with out.stats.timed("provenance"):
             pt, roles = self.provenance(question)
-            out.sizes = score.side_sizes(pt)
+            out.sizes, pt_rows = score.sizes_and_rows(pt)
+        log.info("provenance: %s tuples", out.sizes)
         with out.stats.timed("graphs"):
             found = self.joined(question.query, pt, roles, self.graphs(question.query, settings), settings)
             out.graphs = [a.graph for a in found]
             out.stats.add("join_graphs", len(found))
+        log.info("%d join graphs", len(found))
 
         def one(numbered: tuple[int, Apt]) -> tuple[Apt, list[Described]]:
             k, apt = numbered
             start = time.perf_counter()
-            mined = [describe(apt, p, f"jg_{k}") for p in self.mine(apt, settings, out.stats)]
-            out.stats.graph_times[f"jg_{k}: {apt.graph.text(False)}"] = time.perf_counter() - start
+            mined = [describe(apt, p, f"jg_{k}") for p in self.mine(apt, settings, out.stats, pt_rows)]
+            taken = out.stats.graph_times[f"jg_{k}: {apt.graph.text(False)}"] = time.perf_counter() - start
+            log.info("jg_%d: %d patterns in %.1f s", k, len(mined), taken)
             return apt, mined
 
         with ThreadPoolExecutor(max(1, settings.threads)) as pool:
@@ -205,12 +219,18 @@ class Engine:
 
     # About one pattern
 
+    def pattern(self, patterns: DataFrame, text: str) -> Row | None:
+        """One row of a saved table of patterns, the best of those with this text; None if there is none."""
+        return patterns.where(F.col("p_desc") == text).orderBy(F.col("fscore").desc(), "exp_time", "id").limit(1).first()
+
     def chart(self, question: Question, graph: JoinGraph, pattern: Pattern, column: str) -> DataFrame:
         """Counts of a predicate's column under the pattern's other predicates, on both sides."""
         pt, roles = self.provenance(question)
         apt = apts.build(self.catalog, question.query, pt, roles, graph)
         make = charts.histogram if apt.named(column).kind == "ordinal" else charts.nominal_counts
-        return make(apt.rows, pattern, column, question.labels)
+        made = written(make(apt.rows, pattern, column, question.labels), "chart")
+        discard(pt)
+        return made
 
     def rerank(self, patterns: DataFrame, liked: Sequence[str] = (), disliked: Sequence[str] = (), most: int = 20) -> DataFrame:
         return rank.rerank(patterns, liked, disliked, most)

@@ -31,7 +31,7 @@ def ndcg(truth: DataFrame, sampled: DataFrame, on: Sequence[str] = ("is_user", "
     """One row: how well the sampled scores rank the patterns by their true ones (ndcg_score).
 
     Patterns that one run lacks have score 0 there. The inputs are result tables, whose size the
-    search bounds.
+    search bounds; they are ranked in one task.
     """
     both = paired(truth, sampled, on, score).select(F.coalesce("t_score", F.lit(0.0)).alias("t"), F.coalesce("s_score", F.lit(0.0)).alias("s"))
     got = _tie_mean(F.col("s"), F.col("t"), "dcg", both)
@@ -89,7 +89,11 @@ def runtime_pivot(rows: DataFrame, sizes: str = "size", rates: str = "rate", tot
 
 
 def five_numbers(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Minimum, quartiles and maximum of a value in each group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = rows.groupBy(by).agg(F.min(value).alias("low"), q.alias("_q"), F.max(value).alias("high"))
+    """Minimum, quartiles and maximum of a value in each group, for box plots of results.
+
+    The values of a group are counted apart before they meet, so a group's task holds its different values, as many
+    as a plot is made from; ``quantiles.quantiles`` is for columns of any size.
+    """
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
+    made = rows.groupBy(by, value).agg(F.count("*").alias("_n")).groupBy(by).agg(F.min(value).alias("low"), q.alias("_q"), F.max(value).alias("high"))
     return made.select(by, "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high")

@@ -5,13 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
+from .forest import importances
 
 
 def value_entropy(values: np.ndarray) -> float:
@@ -101,7 +99,7 @@ class Features:
         return dict(self.stands_for).get(attribute, ())
 
 
-def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows: int = 10_000, seed: int = 1, trees: int = 50, depth: int = 10) -> Features:
+def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows: int = 10_000, seed: int = 1, trees: int = 500, depth: int = 10) -> Features:
     """Cluster and rank numeric attributes on a sample of at most ``sample_rows`` rows.
 
     With three or more attributes, constant ones go and the rest are clustered; of each cluster,
@@ -128,9 +126,6 @@ def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows:
     if pandas["is_user"].nunique() < 2:
         weights = np.zeros(len(inputs))
     else:
-        local = rows.sparkSession.createDataFrame(pa.Table.from_pandas(pandas[["is_user", *inputs]], preserve_index=False)).withColumn("label", (F.col("is_user") == "yes").cast("double"))
-        ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(local).select("features", "label").coalesce(2)
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=512).fit(ready)
-        weights = forest.featureImportances.toArray()
+        weights = importances(pandas[inputs].to_numpy(float), (pandas["is_user"] == "yes").to_numpy(float), trees, depth, seed=seed)
     ranked = sorted(zip(inputs, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))
     return Features(tuple(ranked), tuple(stands.items()), tuple(c for c, _ in ranked if c in special))

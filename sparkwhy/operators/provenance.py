@@ -82,8 +82,10 @@ def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name:
     """Number the rows of each side from 1 in the given order, without a window over a whole side.
 
     Rows are ranged over partitions in order; each counts its own, and the counts of the
-    partitions before, a row per partition and side, are added.
+    partitions before, a row per partition and side, are added. The rows are written first, as ranging
+    reads them once for a sample of the order columns and once more to deal them.
     """
+    rows = written(rows, "sides")
     ranged = rows.repartitionByRange(F.col(side), *[F.col(c).asc_nulls_first() for c in order])
     ranged = ranged.sortWithinPartitions(side, *order).withColumn("_part", F.spark_partition_id())
     ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
@@ -94,11 +96,6 @@ def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name:
     return numbered.select(name, *rows.columns)
 
 
-def numbered_by_window(rows: DataFrame, order: list[str], side: str = "is_user", name: str = "pnumber") -> DataFrame:
-    """The same numbers by ``row_number``: simpler, but a side is one task's."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(side).orderBy(*order)).cast("long")).select(name, *rows.columns)
-
-
 def provenance_table(catalog: Catalog, question: Question) -> DataFrame:
     """``pnumber``, ``is_user``, output columns and provenance columns of both sides."""
     rows = sides(provenance_full(catalog, question.query), question)

@@ -35,7 +35,7 @@ GRAPH_ORDER = {
 def best_of_best(patterns: Sequence[Described], graphs: int = 5, each: int = 5, by: str = "entropy") -> list[Described]:
     """Top patterns of the top graphs; graphs ranked by mean, entropy or standard deviation of their F-scores."""
     groups = by_graph(patterns)
-    order = sorted(groups, key=lambda g: (-GRAPH_ORDER[by]([d.pattern.f1 for d in groups[g]]), g))
+    order = sorted(groups, key=lambda g: (-round(GRAPH_ORDER[by]([d.pattern.f1 for d in groups[g]]), 9), g))
     return [d for g in order[:graphs] for d in groups[g][:each]]
 
 
@@ -69,7 +69,10 @@ def diversified(patterns: Sequence[Described], k: int = 10) -> list[Described]:
 
 
 def rank_table(patterns: DataFrame, score: str = "fscore", within: str | None = None, ties: Sequence[str] = ("p_desc",)) -> DataFrame:
-    """Add ``rank`` by falling score, over all patterns or within a column's groups."""
+    """Add ``rank`` by falling score, over all patterns or within a column's groups.
+
+    Without groups one task ranks the table: a result table, whose size the search bounds.
+    """
     window = Window.partitionBy(within) if within else Window.partitionBy()
     return patterns.withColumn("rank", F.row_number().over(window.orderBy(F.col(score).desc(), *ties)).cast("long"))
 

@@ -7,34 +7,23 @@ from collections.abc import Callable, Sequence
 from itertools import combinations, product
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .features import Features
 from .patterns import Pattern
+from .quantiles import quantiles
 
 Nominal = tuple[tuple[str, object], ...]
 Quartiles = dict[Nominal, dict[str, list[float]]]
 
 
 def quartiles(rows: DataFrame, nominal: Sequence[Nominal], attributes: list[str]) -> Quartiles:
-    """Distinct exact quartiles of each attribute among the rows of each nominal pattern, in one pass per dozen patterns.
+    """Distinct exact quartiles of each attribute among the rows of each nominal pattern, all in a few passes.
 
     A pattern or attribute without values has none.
     """
-    out: Quartiles = {n: {a: [] for a in attributes} for n in nominal}
-    if not attributes:
-        return out
-    for at in range(0, len(nominal), 12):
-        part = nominal[at : at + 12]
-        cells = [
-            F.percentile(F.when(Pattern(nominal=n).predicate(), F.col(a)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{i}_{j}")
-            for i, n in enumerate(part) for j, a in enumerate(attributes)
-        ]
-        row = rows.agg(*cells).first()
-        for i, n in enumerate(part):
-            for j, a in enumerate(attributes):
-                out[n][a] = sorted({float(v) for v in row[f"_{i}_{j}"] or [] if v is not None})
-    return out
+    slices = [(tuple(Pattern(nominal=n).parts()), a) for n in nominal for a in attributes]
+    found = iter(quantiles(rows, slices))
+    return {n: {a: sorted(set(next(found))) for a in attributes} for n in nominal}
 
 
 def extend(patterns: Sequence[Pattern], ranked: Sequence[tuple[int, str]], found: Quartiles, features: Features) -> list[Pattern]:

@@ -23,36 +23,57 @@ def side_sizes(rows: DataFrame) -> dict[str, int]:
     return {s: 0 for s in SIDES} | {r["is_user"]: r["n"] for r in found}
 
 
-def matching_tuples(rows: DataFrame, patterns: Sequence[Pattern]) -> list[dict[str, int]]:
+def sizes_and_rows(rows: DataFrame) -> tuple[dict[str, int], int]:
+    """Distinct tuples of each side, and rows of the table."""
+    found = rows.groupBy("is_user").agg(F.count_distinct("pnumber").alias("n"), F.count("*").alias("rows")).collect()
+    return {s: 0 for s in SIDES} | {r["is_user"]: r["n"] for r in found}, sum(r["rows"] for r in found)
+
+
+def matching_tuples(rows: DataFrame, patterns: Sequence[Pattern], single: bool = False) -> list[dict[str, int]]:
     """For each pattern, the distinct tuples of each side that have a row where it holds.
 
     The parts of all patterns are few, as patterns share them: each is one boolean column. Only
     these go to Python, where whole batches are combined into one bit for each pattern in a
     few long integers. As joins repeat tuples, rows are then reduced to one per tuple by
     bitwise or: the shuffle carries a row per tuple, combined before it is sent, however
-    many patterns there are. Their bits are counted per partition, and the counts summed.
+    many patterns there are. Their bits are counted per partition, and the counts summed. Where no join
+    repeats a tuple (``single``), matches are counted where the rows are, and nothing is shuffled but counts.
     """
     out: list[dict[str, int]] = []
     for start in range(0, len(patterns), _BITS * _MASKS):
-        out += _counted(rows, patterns[start : start + _BITS * _MASKS])
+        out += _counted(rows, patterns[start : start + _BITS * _MASKS], single)
     return out
 
 
-def _counted(rows: DataFrame, patterns: Sequence[Pattern]) -> list[dict[str, int]]:
+def _counted(rows: DataFrame, patterns: Sequence[Pattern], single: bool) -> list[dict[str, int]]:
     number: dict[tuple, int] = {}
     uses = [[number.setdefault(a, len(number)) for a in p.parts()] for p in patterns]
     masks = [f"_m{k}" for k in range(-(-len(patterns) // _BITS))]
     tests = [F.coalesce(part_column(a), F.lit(False)).alias(f"_t{k}") for a, k in number.items()]
     schema = f"is_user string, pnumber long, {', '.join(f'{m} long' for m in masks)}"
 
+    def matches(batch: pa.RecordBatch, first: int) -> Iterator[tuple[int, np.ndarray]]:
+        held = [c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]]
+        for k, parts in enumerate(uses):
+            match = np.ones(batch.num_rows, bool)
+            for t in parts:
+                match &= held[t]
+            yield k, match
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, len(patterns)), np.int64)
+        for batch in batches:
+            yes = batch.column(0).to_numpy(zero_copy_only=False) == "yes"
+            for k, match in matches(batch, 1):
+                n = int((match & yes).sum())
+                found[:, k] += n, int(match.sum()) - n
+        side, at = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([SIDES[s] for s in side], pa.string()), pa.array(at.astype(np.int32)), pa.array(found[side, at])], ["is_user", "pattern", "n"])
+
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
             made = [np.zeros(batch.num_rows, np.int64) for _ in masks]
-            for k, parts in enumerate(uses):
-                match = np.ones(batch.num_rows, bool)
-                for t in parts:
-                    match &= held[t]
+            for k, match in matches(batch, 2):
                 made[k // _BITS] |= match.astype(np.int64) << (k % _BITS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, made)], ["is_user", "pnumber", *masks])
 
@@ -67,9 +88,14 @@ def _counted(rows: DataFrame, patterns: Sequence[Pattern]) -> list[dict[str, int
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["is_user", "pattern", "n"])
 
-    bits = rows.select("is_user", F.col("pnumber").cast("long").alias("pnumber"), *tests).mapInArrow(combine, schema)
-    tuples = bits.groupBy("is_user", "pnumber").agg(*[F.bit_or(m).alias(m) for m in masks]).drop("pnumber")
-    totals = tuples.mapInArrow(count, "is_user string, pattern int, n long").groupBy("is_user", "pattern").agg(F.sum("n").alias("n")).collect()
+    result = "is_user string, pattern int, n long"
+    if single:
+        counts = rows.where(F.col("is_user").isin(*SIDES)).select("is_user", *tests).mapInArrow(direct, result)
+    else:
+        bits = rows.select("is_user", F.col("pnumber").cast("long").alias("pnumber"), *tests).mapInArrow(combine, schema)
+        tuples = bits.groupBy("is_user", "pnumber").agg(*[F.bit_or(m).alias(m) for m in masks]).drop("pnumber")
+        counts = tuples.mapInArrow(count, result)
+    totals = counts.groupBy("is_user", "pattern").agg(F.sum("n").alias("n")).collect()
     found = {(r["is_user"], r["pattern"]): r["n"] for r in totals}
     return [{s: found.get((s, k), 0) for s in SIDES} for k in range(len(patterns))]
 
@@ -86,18 +112,18 @@ def measures(tp: int, found: int, side: int) -> tuple[float, float, float]:
     return recall, precision, f1
 
 
-def score(rows: DataFrame, patterns: Sequence[Pattern], sizes: dict[str, int], mode: str = "o", sample: DataFrame | None = None, sample_sizes: dict[str, int] | None = None) -> list[Pattern]:
+def score(rows: DataFrame, patterns: Sequence[Pattern], sizes: dict[str, int], mode: str = "o", sample: DataFrame | None = None, sample_sizes: dict[str, int] | None = None, single: bool = False) -> list[Pattern]:
     """Patterns with their measures on the whole table (``o``), a sample (``s``) or both (``e``).
 
     Without a sample, the whole table is used. In mode ``e`` the measures are
-    those of the whole table, and those of the sample stand beside them.
+    those of the whole table, and those of the sample stand beside them. ``single``: no tuple has two rows.
     """
     if sample is None:
         mode = "o"
     different = {(p.nominal, p.ordinal): p for p in patterns}
 
     def on(table: DataFrame, side: dict[str, int]) -> list[tuple[float, float, float]]:
-        found = dict(zip(different, matching_tuples(table, list(different.values())), strict=True))
+        found = dict(zip(different, matching_tuples(table, list(different.values()), single), strict=True))
         return [measures(n[p.is_user], n["yes"] + n["no"], side[p.is_user]) for p in patterns for n in [found[p.nominal, p.ordinal]]]
 
     whole = on(rows, sizes) if mode in "oe" else None

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..engine import Engine, Settings
 from ..functions.numbers import coefficient_of_variation, f_score, precision, recall, round5
 from ..operators import apt as apts
-from ..operators import charts, features, lca, provenance, refine, sampling, score
+from ..operators import charts, features, lca, provenance, rank, refine, sampling, score
 from ..operators.apt import Apt
-from ..operators.patterns import Pattern
+from ..operators.patterns import Described, Pattern
 from ..plans.equivalence import is_redundant
 from ..plans.join_graph import enumerate_graphs, is_valid, valid_graphs
 from ..plans.question import Aggregate, Query, Question
+from ..sources import sinks
+from ..sources.written import new_folder
 from . import SEGMENT_QUERY, SEGMENTS, Context, query
 from .texts import APT, PROV, PT, PT_FULL, r5
 
@@ -150,19 +155,19 @@ def lca_cross_join(x: Context) -> DataFrame:
 @query("lca_frequency", f"{_LCA} SELECT * FROM lca")
 def lca_frequency(x: Context) -> DataFrame:
     _, d, s = _sampled(x)
-    return lca.common_values(d, s, _NOMINAL, most=100_000)
+    return lca.common_values(d, s, _NOMINAL, None, 200)
 
 
 @query("lca_top30", f"{_LCA} SELECT * FROM lca {_TOP} 30")
 def lca_top30(x: Context) -> DataFrame:
     _, d, s = _sampled(x)
-    return lca.common_values(d, s, _NOMINAL)
+    return lca.common_values(d, s, _NOMINAL, sample_rows=200)
 
 
 @query("lca_patterns", f"{_LCA}, top AS (SELECT * FROM lca {_TOP} 30) SELECT * FROM top WHERE coalesce(a_10, a_13, a_15, a_18) IS NOT NULL")
 def lca_patterns(x: Context) -> DataFrame:
     _, d, s = _sampled(x)
-    return lca.common_values(d, s, _NOMINAL).where(F.coalesce(*_NOMINAL).isNotNull())
+    return lca.common_values(d, s, _NOMINAL, sample_rows=200).where(F.coalesce(*_NOMINAL).isNotNull())
 
 
 _REGION_RECALL = (
@@ -171,23 +176,24 @@ _REGION_RECALL = (
 )
 
 
-def _nominal_recall(x: Context) -> DataFrame:
-    """Recall of every pair of nation and region over both sides."""
+def _places(x: Context) -> tuple[DataFrame, list]:
+    """The joined rows, and every pair of nation and region as a candidate: at most as many as nations."""
     rows = apt_of(x).rows
-    tuples = rows.select("is_user", "pnumber", "a_15", "a_18").distinct()
-    found = tuples.groupBy("a_15", "a_18").agg(F.count("*").alias("found"))
-    total = rows.agg(F.count_distinct("is_user", "pnumber").alias("t"))
-    return found.crossJoin(F.broadcast(total)).select("a_15", "a_18", "found", round5(F.col("found") / F.col("t")).alias("np_recall"))
+    return rows, [(("a_15", r["n_name"]), ("a_18", r["r_name"])) for r in x.t("nation").join(x.t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").distinct().collect()]
 
 
 @query("nominal_recall", f"{_REGION_RECALL} SELECT a_15, a_18, found, {r5('found::DOUBLE / t')} AS np_recall FROM r, total")
 def nominal_recall(x: Context) -> DataFrame:
-    return _nominal_recall(x)
+    """Recall of every pair of nation and region over both sides."""
+    made = [(f[0][1], f[1][1], n, r) for f, n, r in lca.recalls(*_places(x)) if n]
+    found = x.spark.createDataFrame(made, "a_15 string, a_18 string, found long, np_recall double")
+    return found.withColumn("np_recall", round5(F.col("np_recall")))
 
 
-@query("top10_then_threshold", f"{_REGION_RECALL} SELECT * FROM (SELECT a_15, found, {r5('found::DOUBLE / t')} AS np_recall FROM r, total ORDER BY found DESC, a_15 LIMIT 10) WHERE np_recall >= 0.04")
+@query("top10_then_threshold", f"{_REGION_RECALL} SELECT * FROM (SELECT a_15, {r5('found::DOUBLE / t')} AS np_recall FROM r, total ORDER BY found DESC, a_15 LIMIT 10) WHERE np_recall >= 0.04")
 def top10_then_threshold(x: Context) -> DataFrame:
-    return _nominal_recall(x).orderBy(F.desc("found"), "a_15").limit(10).where("np_recall >= 0.04").select("a_15", "found", "np_recall")
+    made = [(f[0][1], r) for f, r in lca.by_recall(*_places(x), 0.04)]
+    return x.spark.createDataFrame(made, "a_15 string, np_recall double").withColumn("np_recall", round5(F.col("np_recall")))
 
 
 # Bounds and scores
@@ -345,14 +351,52 @@ def catalog_columns(x: Context) -> DataFrame:
     return x.catalog.schema_rows(x.spark)
 
 
-@query("jg_enumeration")
+#: All ways to grow a join graph, by nodes and edges; those alike in labels and conditions are one graph.
+_GRAPHS = """
+WITH RECURSIVE fk AS (SELECT * FROM (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'),
+    ('supplier', 's_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey'), ('lineitem', 'l_orderkey', 'orders', 'o_orderkey'),
+    ('lineitem', 'l_partkey', 'part', 'p_partkey'), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey')) AS t(child, x, parent, y)),
+ends AS (SELECT child AS label, x AS c, parent AS other, y AS d FROM fk UNION ALL SELECT parent, y, child, x FROM fk),
+step AS (SELECT * FROM ends UNION ALL SELECT 'PT', c, other, d FROM ends WHERE label IN ('customer', 'orders')),
+grown AS (
+    SELECT 0 AS n, ['PT'] AS labels, []::STRUCT(a BIGINT, c VARCHAR, b BIGINT, d VARCHAR)[] AS edges
+    UNION ALL
+    SELECT n + 1, list_append(labels, other), list_append(edges, {'a': node, 'c': c, 'b': len(labels) + 1, 'd': d})
+    FROM (SELECT n, labels, edges, unnest(range(1, len(labels) + 1)) AS node FROM grown WHERE n < 3) JOIN step ON label = labels[node]),
+told AS (
+    SELECT row_number() OVER () AS id, n, labels, edges, list_aggregate(list_sort(labels), 'string_agg', ',') AS label_key,
+        coalesce(list_aggregate(list_sort(list_transform(edges, lambda e: least(labels[e.a] || '.' || e.c, labels[e.b] || '.' || e.d) || '=' || greatest(labels[e.a] || '.' || e.c, labels[e.b] || '.' || e.d))), 'string_agg', ','), '') AS condition_key
+    FROM grown),
+used AS (
+    SELECT id, e.a AS node, e.c AS col, false AS at_pt FROM (SELECT id, unnest(edges) AS e FROM told)
+    UNION ALL SELECT id, e.b, e.d, e.a = 1 FROM (SELECT id, unnest(edges) AS e FROM told)),
+nodes AS (SELECT id, unnest(labels) AS label, generate_subscripts(labels, 1) AS node FROM told),
+open AS (
+    SELECT DISTINCT id FROM nodes JOIN (SELECT label AS t, c FROM ends) ON t = label
+    WHERE node > 1 AND NOT EXISTS (SELECT 1 FROM used u WHERE u.id = nodes.id AND u.node = nodes.node AND u.col = c)
+    UNION SELECT DISTINCT id FROM nodes JOIN (SELECT label AS t, c FROM ends WHERE other IN ('customer', 'orders')) ON t = label
+    WHERE EXISTS (SELECT 1 FROM used u WHERE u.id = nodes.id AND u.node = nodes.node AND u.at_pt)
+        AND NOT EXISTS (SELECT 1 FROM used u WHERE u.id = nodes.id AND u.node = nodes.node AND u.at_pt AND u.col = c)),
+graphs AS (SELECT n::INTEGER AS edges, label_key AS labels, condition_key AS conditions, bool_or(id NOT IN (SELECT id FROM open)) AS valid FROM told GROUP BY ALL)
+"""
+
+
+@query("jg_enumeration", f"{_GRAPHS} SELECT * FROM graphs")
 def jg_enumeration(x: Context) -> DataFrame:
-    graphs = enumerate_graphs(x.catalog, RELATIONS, 3)
-    rows = [(k, len(g.edges), g.text(), g.intermediate, is_valid(x.catalog, g, RELATIONS), is_redundant(x.catalog, SEGMENT_QUERY, g, equal_keys=True)) for k, g in enumerate(graphs)]
-    return x.spark.createDataFrame(rows, "id long, edges int, graph string, intermediate boolean, valid boolean, redundant boolean")
+    rows = []
+    for g in enumerate_graphs(x.catalog, RELATIONS, 3):
+        labels, edges = g.key()
+        rows.append((len(g.edges), ",".join(labels), ",".join("=".join(pair) for edge in edges for pair in edge), is_valid(x.catalog, g, RELATIONS)))
+    return x.spark.createDataFrame(rows, "edges int, labels string, conditions string, valid boolean")
+
+
+@query("jg_redundant")
+def jg_redundant(x: Context) -> DataFrame:
+    rows = [(g.text(), g.intermediate, is_redundant(x.catalog, SEGMENT_QUERY, g), is_redundant(x.catalog, SEGMENT_QUERY, g, equal_keys=True)) for g in enumerate_graphs(x.catalog, RELATIONS, 3)]
+    return x.spark.createDataFrame(rows, "graph string, intermediate boolean, redundant boolean, equal_keys boolean")
 
 
-@query("jg_counts", "SELECT * FROM (VALUES (1, 5, 1), (2, 25, 2), (3, 123, 4)) AS t(max_edges, graphs, valid)")
+@query("jg_counts", f"{_GRAPHS} SELECT m::INTEGER AS max_edges, count(*)::INTEGER AS graphs, count(*) FILTER (WHERE valid)::INTEGER AS valid FROM graphs, (VALUES (1), (2), (3)) AS t(m) WHERE edges <= m GROUP BY m")
 def jg_counts(x: Context) -> DataFrame:
     rows = []
     for m in (1, 2, 3):
@@ -384,22 +428,105 @@ def rf_importance(x: Context) -> DataFrame:
     return x.spark.createDataFrame([(apt.named(a).shown(), float(w)) for a, w in chosen.ranked], "attribute string, importance double")
 
 
-_EXACT = Settings(max_edges=2, candidate_recall=0.05, exact=True, score_mode="o", skip_expensive=False, trees=20)
+# The level-wise search on one joined table: a region, then bounds on price and balance at the region's quartiles
 
 
-@query("levelwise_search")
+def _bounds(column: str, name: str) -> str:
+    return (
+        f"{name} AS (SELECT DISTINCT a_18 AS region, op AS {name}_op, v AS {name}_v FROM (SELECT a_18, unnest(quantile_cont({column}, [0.25, 0.5, 0.75])) AS v FROM apt GROUP BY a_18), "
+        "(VALUES ('>'), ('<')) AS o(op) UNION ALL SELECT DISTINCT a_18, NULL, NULL::DOUBLE FROM apt)"
+    )
+
+
+def _holds(column: str, name: str) -> str:
+    return f"({name}_op IS NULL OR CASE WHEN {name}_op = '>' THEN {column} > {name}_v ELSE {column} < {name}_v END)"
+
+
+_LEAST = 0.02
+_SEARCHED = (
+    f"{APT}, sides AS (SELECT is_user, count(DISTINCT pnumber) AS n FROM apt GROUP BY is_user), {_bounds('a_11', 'price')}, {_bounds('a_6', 'balance')}, "
+    f"m AS (SELECT price.region, price_op, price_v, balance_op, balance_v, is_user, count(DISTINCT pnumber) AS n FROM price JOIN balance ON price.region = balance.region "
+    f"JOIN apt ON a_18 = price.region AND {_holds('a_11', 'price')} AND {_holds('a_6', 'balance')} GROUP BY ALL), "
+    "w AS (SELECT m.*, s.n AS side, sum(m.n) OVER (PARTITION BY region, price_op, price_v, balance_op, balance_v) AS found FROM m JOIN sides s ON s.is_user = m.is_user), "
+    f"q AS (SELECT *, {r5('n::DOUBLE / side')} AS recall, n::DOUBLE / found AS prec FROM w), "
+    "t AS (SELECT *, CASE WHEN balance_op IS NOT NULL THEN 'balance' || balance_op || floor(balance_v)::BIGINT END AS b, "
+    f"CASE WHEN price_op IS NOT NULL THEN 'price' || price_op || floor(price_v)::BIGINT END AS p, {_F1} AS f1 FROM q WHERE recall > {_LEAST}), "
+    "pool AS MATERIALIZED (SELECT *, concat_ws(' ∧ ', b, p, 'region=' || region) AS p_desc, row_number() OVER (ORDER BY f1 DESC, is_user, concat_ws(' ∧ ', b, p, 'region=' || region)) AS i FROM t)"
+)
+
+
+def _searched(x: Context) -> list[Described]:
+    apt = apt_of(x)
+    rows, nominal, names = apt.rows, [(("a_18", r),) for r in _REGIONS], {"a_18": "region", "a_11": "price", "a_6": "balance"}
+    sizes, total = score.sizes_and_rows(rows)
+    features_ = features.Features((("a_11", 1.0), ("a_6", 0.5)), (("a_11", ()), ("a_6", ())))
+    bounds = refine.quartiles(rows, nominal, ["a_11", "a_6"])
+    single = total == sum(sizes.values())
+    found = refine.search(nominal, bounds, features_, apt.special(), lambda tried: score.score(rows, tried, sizes, single=single), cap=2, least_recall=_LEAST)
+    out = []
+    for p in found:
+        tokens = [(names[a], f"={v}") for a, v in p.nominal] + [(names[a], f"{op}{math.floor(v)}") for a, op, v in p.ordinal]
+        out.append(Described(p, "one", p.nominal[0][1], 2, " ∧ ".join(sorted(a + v for a, v in tokens)), tuple(tokens), ()))
+    return out
+
+
+@query("levelwise_search", f"{_SEARCHED} SELECT region, price_op, round(price_v::DECIMAL(18, 4), 2)::DOUBLE AS price, balance_op, round(balance_v::DECIMAL(18, 4), 2)::DOUBLE AS balance, is_user, recall, f1, p_desc FROM pool")
 def levelwise_search(x: Context) -> DataFrame:
-    found = Engine(x.spark, x.catalog).explain(SEGMENTS, _EXACT)
-    return found.tables(x.spark)["patterns"].drop("exp_time")
+    rows = []
+    for d in _searched(x):
+        bound = {a: (op, v) for a, op, v in d.pattern.ordinal}
+        rows.append((d.graph_name, *bound.get("a_11", (None, None)), *bound.get("a_6", (None, None)), d.pattern.is_user, d.pattern.recall, d.pattern.f1, d.text))
+    made = x.spark.createDataFrame(rows, "region string, price_op string, price double, balance_op string, balance double, is_user string, recall double, f1 double, p_desc string")
+    return made.withColumns({c: F.round(F.col(c).cast("decimal(18,4)"), 2).cast("double") for c in ("price", "balance")})
+
 
+def _unlike(c: str, o: str) -> str:
+    """How a candidate differs from a chosen pattern: its score and the mean over its parts."""
+    part = lambda x: f"CASE WHEN {c}.{x} IS NULL THEN 0.0 WHEN {o}.{x} IS NULL THEN 1.0 WHEN {c}.{x} = {o}.{x} THEN -2.0 ELSE -0.3 END::DOUBLE"
+    return f"({c}.f1 + ({part('region')} + {part('p')} + {part('b')}) / (1 + ({c}.p IS NOT NULL)::INT + ({c}.b IS NOT NULL)::INT))"
 
-@query("diversified")
+
+def _diversified(k: int) -> str:
+    steps = [f"low1 AS MATERIALIZED (SELECT c.i, {_unlike('c', 'o')} AS low FROM pool c JOIN pool o ON o.i = 1 WHERE c.i <> 1)", "pick1 AS (SELECT 1::BIGINT AS place, 1::BIGINT AS i)"]
+    for at in range(2, k + 1):
+        steps.append(f"pick{at} AS MATERIALIZED (SELECT {at}::BIGINT AS place, i FROM low{at - 1} ORDER BY low DESC, i LIMIT 1)")
+        steps.append(f"low{at} AS MATERIALIZED (SELECT c.i, least(l.low, {_unlike('c', 'o')}) AS low FROM low{at - 1} l JOIN pool c ON c.i = l.i JOIN pool o ON o.i IN (SELECT i FROM pick{at}) WHERE c.i <> o.i)")
+    picks = " UNION ALL ".join(f"SELECT * FROM pick{at}" for at in range(1, k + 1))
+    return f"{_SEARCHED}, {', '.join(steps)} SELECT place, is_user, p_desc, f1 FROM ({picks}) JOIN pool USING (i)"
+
+
+@query("diversified", _diversified(10))
 def diversified(x: Context) -> DataFrame:
-    found = Engine(x.spark, x.catalog).explain(SEGMENTS, _EXACT)
-    return found.tables(x.spark)["global_results"].drop("exp_time")
+    pool = [replace(d, graph_name="one") for d in _searched(x)]
+    rows = [(k, d.pattern.is_user, d.text, d.pattern.f1) for k, d in enumerate(rank.diversified(pool, 10), 1)]
+    return x.spark.createDataFrame(rows, "place long, is_user string, p_desc string, f1 double")
 
 
-@query("best_of_best")
+@query(
+    "best_of_best",
+    f"{_SEARCHED}, e AS (SELECT region, round(-sum(share * ln(share)), 9) AS entropy FROM (SELECT region, count(*) / sum(count(*)) OVER (PARTITION BY region) AS share FROM pool GROUP BY region, f1) GROUP BY region), "
+    "top AS (SELECT region, row_number() OVER (ORDER BY entropy DESC, region) AS graph_place FROM e) "
+    "SELECT * FROM (SELECT graph_place, row_number() OVER (PARTITION BY region ORDER BY i) AS place, region, is_user, p_desc, f1 FROM pool JOIN top USING (region)) WHERE graph_place <= 3 AND place <= 5",
+)
 def best_of_best(x: Context) -> DataFrame:
-    found = Engine(x.spark, x.catalog).explain(SEGMENTS, _EXACT)
-    return found.tables(x.spark)["topk_patterns_from_top_jgs"].drop("exp_time")
+    """The best patterns of the best groups, where the regions stand for join graphs."""
+    found = rank.best_of_best(_searched(x), 3, 5)
+    graphs = list(dict.fromkeys(d.graph_name for d in found))
+    rows, seen = [], Counter()
+    for d in found:
+        seen[d.graph_name] += 1
+        rows.append((graphs.index(d.graph_name) + 1, seen[d.graph_name], d.graph_name, d.pattern.is_user, d.text, d.pattern.f1))
+    return x.spark.createDataFrame(rows, "graph_place long, place long, region string, is_user string, p_desc string, f1 double")
+
+
+@query("saved_tables", f"{_SEARCHED} SELECT 'patterns' AS name, is_user, p_desc, recall, f1 AS fscore FROM pool UNION ALL SELECT 'best', is_user, p_desc, recall, f1 FROM pool WHERE i <= 20")
+def saved_tables(x: Context) -> DataFrame:
+    """Result tables written in two appends and read back."""
+    found, out = rank.globally([replace(d, graph_name="one") for d in _searched(x)]), None
+    directory = new_folder(x.spark, "saved")
+    for name, part in (("patterns", found), ("best", found[:20])):
+        for some in (part[::2], part[1::2]):
+            sinks.append(sinks.pattern_rows(x.spark, some, "run", ("yes", "no")), directory, name)
+        rows = x.spark.read.schema(sinks.PATTERN_SCHEMA).parquet(f"{directory}/{name}").select(F.lit(name).alias("name"), "is_user", "p_desc", "recall", "fscore")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from sparkwhy import cli
 from sparkwhy.engine import Engine, Explanation, Settings
-from sparkwhy.operators import evaluate
+from sparkwhy.operators import evaluate, sampling
 from sparkwhy.operators.apt import build
 from sparkwhy.operators.patterns import Pattern
 from sparkwhy.operators.score import sampling_error
 from sparkwhy.plans.join_graph import valid_graphs
 from sparkwhy.plans.question import Question
 from sparkwhy.queries import SEGMENT_QUERY, SEGMENTS
-from sparkwhy.sources import sinks
-from sparkwhy.sources.catalog import star_catalog
+from sparkwhy.sources import sinks, written
+from sparkwhy.sources.catalog import Catalog, star_catalog
 from sparkwhy.streaming import progress
 from sparkwhy.workloads import WORKLOADS
 
@@ -52,6 +52,52 @@ def test_studies(spark, engine):
     assert [(r["edges"], r["sample_rate"]) for r in study] == [(0, 0.5)] and 0 < study[0]["ndcg_score"] <= 1
 
 
+def test_samples_are_weighted_only_beyond_the_provenance_table(spark, engine, monkeypatch):
+    asked = []
+    monkeypatch.setattr(sampling, "weighted_by_count", lambda rows, *a, **k: asked.append("weighted") or sampling.uniform(rows, 50))
+    t = spark.createDataFrame([("yes", k, "x" if k % 2 else "y") for k in range(400)], "is_user string, pnumber long, a_1 string")
+    for pt_rows, expected in ((400, []), (500, []), (399, ["weighted"])):
+        asked.clear()
+        assert engine._sample(t, 400, ["a_1"], [], Settings(score_rate=0.25), pt_rows).count() > 0 and asked == expected
+
+
+def test_runs_leave_nothing_behind(spark, engine):
+    before = set(written._paths)
+    found = engine.explain(SEGMENTS, QUICK)
+    assert found.patterns and set(written._paths) == before
+    pt, _ = engine.provenance(SEGMENTS)
+    assert len(set(written._paths) - before) == 1 and pt.count() > 0
+    written.discard(pt)
+    assert set(written._paths) == before
+
+
+def test_one_saved_pattern(spark, engine, tmp_path):
+    found = engine.explain(SEGMENTS, QUICK)
+    found.save(spark, str(tmp_path))
+    table = spark.read.parquet(str(tmp_path / "patterns"))
+    best = found.patterns[0]
+    row = engine.pattern(table, best.text)
+    assert row["p_desc"] == best.text and row["fscore"] == best.pattern.f1
+    assert engine.pattern(table, "no such pattern") is None
+
+
+def test_steps_are_logged(engine, caplog):
+    with caplog.at_level("INFO", logger="sparkwhy"):
+        engine.explain(SEGMENTS, QUICK)
+    assert any("join graphs" in m for m in caplog.messages) and any("patterns in" in m for m in caplog.messages)
+
+
+def test_catalogs_from_csv_and_jdbc(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a_id,a_x,a_note\n1,2.5,one\n2,,\n")
+    keys, foreign = {"a": ("a_id",)}, ()
+    made = Catalog.from_csv(spark, str(tmp_path), ["a"], keys, foreign)
+    assert made.tables["a"].kind("a_x") == "ordinal" and made.tables["a"].kind("a_note") == "nominal" and made.tables["a"].primary_key == ("a_id",)
+    assert sorted(map(tuple, made.frame("a").collect())) == [(1, 2.5, "one"), (2, None, None)]
+    assert made.preview("a").count() == 1
+    with pytest.raises(Exception, match="(?i)jdbc|driver|sqlite"):  # no driver is installed: Spark's own source is asked for one
+        Catalog.from_jdbc(spark, "jdbc:nothing:x", ["a"], keys, foreign)
+
+
 def test_only_candidates(engine):
     found = engine.explain(SEGMENTS, Settings(max_edges=0, candidate_recall=0.05, only_candidates=True))
     assert found.patterns and all(not d.pattern.ordinal for d in found.patterns)
@@ -90,6 +136,13 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert "total:" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "out" / "global_results")).count() > 0
 
 
+def test_command_line_runs_named_questions(spark, sf, tmp_path, capsys):
+    cli.main([sf, "segments,status", str(tmp_path), "-W", "-M", "0", "-m", "0.05", "-k", "1", "--trees", "5", "--bound-rate", "1", "-D", "why_cli", "--description", "d"])
+    assert {r[0] for r in spark.read.parquet(str(tmp_path / "patterns")).select("exp_desc").distinct().collect()} <= {"d segments", "d status"}
+    assert spark.table("why_cli.patterns").count() == spark.read.parquet(str(tmp_path / "patterns")).count() > 0
+    assert "segments" in capsys.readouterr().out
+
+
 def test_ndcg_is_one_for_equal_runs_and_less_for_reversed(spark):
     t = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.1)], "p_desc string, fscore double")
     reverse = t.withColumn("fscore", 1 - F.col("fscore"))

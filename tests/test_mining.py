@@ -1,8 +1,11 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkwhy.operators import features, lca, provenance, rank, refine, sampling, score
+from sparkwhy.operators import features, forest, lca, provenance, quantiles, rank, refine, sampling, score
 from sparkwhy.operators.features import Features
 from sparkwhy.operators.patterns import Described, Pattern
 from sparkwhy.plans.question import Aggregate, Filter, Query, Question
@@ -21,6 +24,66 @@ def test_common_values_ignore_nulls_and_count_the_empty_set(spark):
     assert lca.candidates(d, d, []) == []
 
 
+@pytest.mark.parametrize("size", [1600, 2600])
+def test_samples_of_any_size_are_paired_whole(spark, size):
+    d = spark.range(3000).select(F.when(F.col("id") % 7 > 0, (F.col("id") % 7).cast("string")).alias("a_1"), (F.col("id") % 3).cast("string").alias("a_2"))
+    left, right = sampling.uniform(d, size, 1), sampling.uniform(d, size, 2)
+    assert sampling.lca_size(100_000, 0.05, 100, size) == size
+    for rows_told in (size, None):
+        found = {(r["a_1"], r["a_2"]): r["pattern_freq"] for r in lca.common_values(left, right, ["a_1", "a_2"], None, rows_told).collect()}
+        assert sum(found.values()) == size * size
+    x, y = ([(r["a_1"], r["a_2"]) for r in t.collect()] for t in (left, right))
+    expected = {}
+    for a, b in x[:40]:
+        for c, e in y:
+            k = (a if a is not None and a == c else None, b if b == e else None)
+            expected[k] = expected.get(k, 0) + 1
+    part = {(r["a_1"], r["a_2"]): r["pattern_freq"] for r in lca.common_values(spark.createDataFrame(x[:40], "a_1 string, a_2 string"), right, ["a_1", "a_2"], None).collect()}
+    assert part == expected
+
+
+def test_quantiles_are_exact_in_any_number_of_passes(spark):
+    rng = np.random.default_rng(4)
+    columns = {
+        "normal": rng.normal(size=3000), "whole": rng.integers(-3, 4, 3000).astype(float), "wide": rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000),
+        "same": np.full(3000, -0.0), "odd": np.where(rng.random(3000) < 0.3, np.nan, rng.choice([np.inf, -np.inf, 1.5], 3000)),
+    }
+    side = rng.choice(["p", "q"], 3000)
+    data = [(str(side[k]), *(None if k % 10 == 0 else float(v[k]) for v in columns.values())) for k in range(3000)]
+    t = spark.createDataFrame(data, "g string, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    slices = [(parts, c) for parts in ((), (("g", "=", "p"),), (("g", "=", "q"), ("whole", ">", 0.0)), (("g", "=", "none"),)) for c in columns]
+    for options in ({}, {"few": 3, "buckets": 8}):
+        for (parts, c), found in zip(slices, quantiles.quantiles(t, slices, **options), strict=True):
+            at = [k for k in range(3000) if k % 10 and all(side[k] == v if a == "g" else columns[a][k] > v for a, _, v in parts)]
+            values = np.sort([columns[c][k] for k in at if not np.isnan(columns[c][k])])
+            expected = []
+            for s in (0.25, 0.5, 0.75) if len(values) else ():
+                place = (len(values) - 1) * s
+                a, b = values[math.floor(place)], values[math.ceil(place)]
+                expected.append(a if a == b else (math.ceil(place) - place) * a + (place - math.floor(place)) * b)
+            assert found == expected, (parts, c)
+    assert quantiles.quantiles(t, []) == []
+
+
+def test_single_rows_per_tuple_need_no_shuffle(spark):
+    t = rows(spark, [(("yes", "no")[k % 2], k // 2, "xyz"[k % 3], float(k % 11)) for k in range(300)])
+    tried = [Pattern(nominal=(("a_1", v),), ordinal=(("a_2", ">", float(b)),)) for v in "xyz" for b in range(30)]
+    assert score.sizes_and_rows(t) == ({"yes": 150, "no": 150}, 300)
+    assert score.matching_tuples(t, tried, True) == score.matching_tuples(t, tried)
+
+
+def test_importances_of_a_forest():
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 800).astype(float)
+    x = np.stack([y + rng.normal(size=800) / 4, rng.normal(size=800), np.zeros(800), (y + (rng.random(800) < 0.2)) % 2], 1)
+    found = forest.importances(x, y, trees=60)
+    assert found.sum() == pytest.approx(1) and found[0] > found[3] > found[1] > found[2] == 0
+    assert (forest.importances(x, y, trees=60) == found).all()
+    assert forest.importances(x, np.ones(800)).sum() == 0 and forest.importances(x[:0], y[:0]).sum() == 0
+    # a single split of one tree on one column: half of the rows on either side, all impurity gone
+    assert forest.importances(y[:, None], y, trees=1, depth=1).tolist() == [1.0]
+
+
 def test_repeated_rows_of_a_tuple_count_once_and_sides_apart(spark):
     t = rows(spark, [("yes", 1, "x", 1.0), ("yes", 1, "x", 5.0), ("yes", 2, "z", 1.0), ("no", 1, "x", 9.0), ("no", 2, None, None)])
     sizes = score.side_sizes(t)
@@ -154,5 +217,5 @@ def test_complement_is_not_of_the_whole_predicate(spark):
 def test_numbering_equals_a_window(spark):
     t = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 3 == 0, "yes").otherwise("no").alias("is_user"))
     a = provenance.number_rows(t, ["k"]).collect()
-    b = provenance.numbered_by_window(t, ["k"]).collect()
+    b = t.withColumn("pnumber", F.row_number().over(Window.partitionBy("is_user").orderBy("k")).cast("long")).collect()
     assert {tuple(r.asDict()[c] for c in ("is_user", "k", "pnumber")) for r in a} == {tuple(r.asDict()[c] for c in ("is_user", "k", "pnumber")) for r in b}
