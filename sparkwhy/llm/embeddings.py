@@ -228,10 +228,16 @@ def near_vectors(
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw: list[bytes | None] = []
-            for v in batch.column(1).to_pylist():
-                x = np.array(v, kind) if v is not None and len(v) == width and None not in v else None
-                raw.append(None if x is None or not np.isfinite(x).all() or not x.any() else (x + 0.0).tobytes())
+            lists = batch.column(1)
+            ends = np.asarray(lists.offsets)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(kind)  # null components become NaN
+            there = ~np.asarray(lists.is_null()) & (np.diff(ends) == width) if width else np.zeros(len(lists), bool)
+            at = np.flatnonzero(there)
+            x = values[ends[at][:, None] + np.arange(width)] + np.array(0, kind)  # the two zeros are one
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            raw: list[bytes | None] = [None] * len(lists)
+            for k, v in zip(at[good].tolist(), x[good], strict=True):
+                raw[k] = v.tobytes()
             nodes = [None if r is None else xxhash.xxh3_128_digest(r) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(raw, pa.binary())], ["id", "node", "vector"])
 
@@ -267,7 +273,7 @@ def near_vectors(
     left = searches.join(sizes, "target").withColumn("search_part", part("searches")).withColumn("member_part", every("members"))
     right = placed.drop("visits").withColumn("target", F.col("cell")).join(sizes, "target").withColumn("member_part", part("members")).withColumn("search_part", every("searches"))
     tasks = left.withColumn("side", F.lit(0)).select(names).unionByName(right.withColumn("side", F.lit(1)).select(names))
-    tasks = tasks.repartition(*names[:3]).sortWithinPartitions(*names[:5])
+    tasks = tasks.repartition(*names[:3]).sortWithinPartitions(*names[:4])
     found = stored(tasks.mapInArrow(_compare(cosine, kind, index), "a binary, b binary, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
