@@ -139,8 +139,10 @@ def linked(members: DataFrame, payload: DataFrame, compare: Compare, block_weigh
     sizes = sized(members)
     inside = members.join(sizes, "group")
     if ratio is not None and not sizes.where("blocks > 1").isEmpty():
-        step = F.floor(F.log("size") / F.lit(max(-math.log(ratio), 1e-6) * (1 + 1e-6)))  # a little wide, for what is just at the ratio
-        apart = inside.where("blocks > 1").drop("hub", "blocks").withColumn("class", F.explode(F.array(step, step + 1)))
+        # A class spans four ratios; what lies within one of its upper end is in the next class too.
+        place = F.log("size") / F.lit(4 * max(-math.log(ratio), 1e-6) * (1 + 1e-6))
+        classes = F.array_distinct(F.array(F.floor(place), F.floor(place + 0.25)))
+        apart = inside.where("blocks > 1").drop("hub", "blocks").withColumn("class", F.explode(classes))
         key = F.xxhash64("group", "class")
         apart = apart.withColumn("group", F.encode(key.cast("string"), "UTF-8") if dict(members.dtypes)["group"] == "binary" else key)
         apart = stored(apart.drop("class"), "classes")
