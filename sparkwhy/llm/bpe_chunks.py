@@ -172,6 +172,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     path = path or default_path()
+    load(path)  # refuses files that it can't read here rather than in the tasks
     shared = spark.sparkContext.broadcast(shared_chunks(docs, text_col, path, most_shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,11 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Text of each row's ids (binary, as ``bpe_encode`` returns them); null ids give a null text."""
+    """Text of each row's ids (binary, as ``bpe_encode`` returns them), one row per input row.
+
+    Null ids give a null text, no ids an empty one. A null id of a row stays null, repeated rows stay
+    repeated, an empty table gives an empty result, other columns are ignored; an id that the file lacks is an error.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.written import written
+
 #: Rows of one Arrow batch. Texts can be long, so batches hold few rows.
 BATCH_ROWS = 256
 
@@ -29,48 +27,8 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all run on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="sparkwhy-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def remove_written() -> None:
-    """Delete every table that ``stored`` wrote; results that read them must be consumed before."""
-    while _written:
-        try:
-            _remove(*_written.pop())
-        except Exception:  # noqa: BLE001  the session may be gone
-            pass
-
-
-atexit.register(remove_written)
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there.
-
-    Survives lost executors, unlike a local checkpoint.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkwhy-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables written to the shared folder, which end a lineage and survive lost executors.
+stored = written
 
 
 def row_hash(*names: str) -> Column:

@@ -35,22 +35,28 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one tokenizer file. Take it from ``load``, once per process."""
+    """Encoder and decoder of one tokenizer file. Take it from ``load``, once per process.
+
+    Files that are not byte-level with the built-in pattern, or that change a text before it is split, are refused: their ids
+    are no bytes, and where their texts may be cut is not known.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.path = path
+        pre = spec.get("pre_tokenizer") or {}
+        built_in = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        alone = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        if not (built_in and alone) or spec.get("normalizer") or spec["model"].get("type", "BPE") != "BPE":
+            raise ValueError(f"{path} is no byte-level BPE that splits plain text by its built-in pattern")
         byte = _byte_of_char()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
-        pre = spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         ordered = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        plain = plain and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(ordered))
-        alone = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special) if plain and alone else None
+        plain = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(ordered))
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special) if plain else None
         self.pieces = [b""] * (max([*ranks.values(), *special.values()]) + 1)
         for piece, i in ranks.items():
             self.pieces[i] = piece

@@ -13,7 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, shared_dir, small_batches, stored, _written
+from ..sources.written import new_folder
+from .common import pick, small_batches, stored
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # High halves of record ids: of pages with an id, whose low half it is, and of others.
@@ -144,7 +145,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive as exact bytes, one row each: (record).
 
     Payloads are checked against the digest they are stored under; a payload that is
-    missing or differs is an error, never a shorter result.
+    missing or differs is an error, never a shorter result. Equal records of repeated rows are all there;
+    an archive of no pages gives no rows.
     """
     headers = spark.read.schema("header binary, digest binary").parquet(f"{path}/headers")
     payloads = spark.read.schema("digest binary, data binary").parquet(f"{path}/payloads")
@@ -187,7 +189,12 @@ def _parsed(whole: bytes, with_payload: bool) -> Iterator[tuple]:
 
 
 def parse_records(records: DataFrame, column: str = "record", with_payload: bool = True) -> DataFrame:
-    """Fields and payload of each record in a binary column, which may hold many, gzipped or not."""
+    """Fields and payload of each response or revisit in a binary column, which may hold many records, gzipped or not.
+
+    Null or empty values hold no record; other columns are ignored; an empty table gives an empty result.
+    Records without a page id in their record id have a null page_id, those without a URI a null url. What is no
+    WARC record, or doesn't hold the payload that its header names, is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PARSED.split(", ")]
@@ -201,7 +208,10 @@ def parse_records(records: DataFrame, column: str = "record", with_payload: bool
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .warc or .warc.gz files; a file is one task's, so files should be of a usual size of about 1 GB or less."""
+    """Records of .warc or .warc.gz files, as ``parse_records`` gives them; empty files hold none.
+
+    A file is one task's, so files should be of a usual size of about 1 GB or less.
+    """
     return parse_records(spark.read.format("binaryFile").load(path), "content")
 
 
@@ -211,7 +221,6 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     Returns one row per page: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/sparkwhy-warc-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = new_folder(spark, "warc")
     write_archive(pages, path, id_col, url_col, html_col, least_bytes)
     return parse_records(read_archive(spark, path), with_payload=False).drop("payload").withColumnRenamed("page_id", id_col)

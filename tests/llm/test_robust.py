@@ -123,6 +123,20 @@ def test_page_operators(spark, pages):
     assert {(1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "revisit", 3), (None, "revisit", 1), (None, "revisit", 3)} <= kinds
 
 
+def test_archives_and_records_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archive(none, str(tmp_path / "none"))
+    assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+    record = warc.header(None, None, warc.sha1_base32(b"x"), b"", 1, True, None, "2024-01-01T00:00:00Z") + b"x\r\n\r\n"
+    odd = spark.createDataFrame([(None, 1), (b"", 2), (record, 3), (record, 3), (record * 2, 4)], "record binary, RECORD int")
+    found = warc.parse_records(odd).collect()
+    assert len(found) == 4 and all((r["page_id"], r["url"], bytes(r["payload"])) == (None, None, b"x") for r in found)
+    assert warc.parse_records(odd.limit(0)).count() == 0
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "empty.warc").write_bytes(b"")
+    assert warc.read_warc_files(spark, str(tmp_path / "files")).count() == 0
+
+
 def test_models_of_urls_without_two_labels(spark):
     none = spark.createDataFrame([], "url string, label int")
     assert url_filter.train(none).constant == 0.0

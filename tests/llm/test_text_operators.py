@@ -63,6 +63,13 @@ def test_bytes_that_are_no_text_decode_like_the_library():
         assert BPE.decode(np.array(ids, np.uint32)) == BPE.exact.decode(ids, skip_special_tokens=False)
 
 
+def test_files_that_are_not_byte_level_are_refused(spark):
+    with pytest.raises(ValueError, match="byte-level"):
+        load(default_path("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe_chunks.bpe_encode(spark.createDataFrame([(1, "A b")], "doc_id long, text string"), path=default_path("word_bpe_49k.json"))
+
+
 def test_op2(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op2_bpe_chunks"](spark, sf).collect():
