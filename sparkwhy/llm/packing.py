@@ -200,9 +200,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, key: tuple[str, ...] = ("doc_i
     an empty result.
     """
     spark = pieces.sparkSession
-    fits = F.coalesce(F.col(length_col).between(1, capacity), F.lit(False))
+    length = F.col(length_col)
     none = [F.lit(None).cast("long").alias(n) for n in ("sequence_id", "offset")]
-    odd, pieces = pieces.where(~fits).select("*", *none), pieces.where(fits)
+    odd = pieces.where(length.isNull() | (length < 1) | (length > capacity)).select("*", *none)  # the scan's statistics rule it out
+    pieces = pieces.where(length.between(1, capacity))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key, length_col), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("_bucket", length_col).agg(F.count("*").alias("_n"))
