@@ -21,7 +21,7 @@ from .plans.join_graph import JoinGraph, enumerate_graphs, is_valid
 from .plans.question import Question, Query, Roles
 from .sources import sinks
 from .sources.catalog import Catalog
-from .sources.written import discard, kept, scratch, written
+from .sources.written import discard, written
 
 log = logging.getLogger(__name__)
 
@@ -96,12 +96,8 @@ class Engine:
     # From a question to joined tables
 
     def provenance(self, question: Question) -> tuple[DataFrame, Roles]:
-        """The provenance table, written once as everything else reads it, and its columns' roles."""
-        with scratch():
-            table = provenance.provenance_table(self.catalog, question)
-            with kept():
-                pt = written(table, "pt")
-        return pt, provenance.roles(self.catalog, question.query)
+        """The provenance table, which reads its written and numbered rows, and its columns' roles."""
+        return provenance.provenance_table(self.catalog, question), provenance.roles(self.catalog, question.query)
 
     def graphs(self, query: Query, settings: Settings = Settings()) -> list[JoinGraph]:
         relations = set(query.tables.values())

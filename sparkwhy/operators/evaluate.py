@@ -48,13 +48,13 @@ def agreement(patterns: DataFrame, stats: DataFrame) -> DataFrame:
     return stats.join(counts, "exp_desc", "left").withColumn("num_match", F.coalesce("num_match", F.lit(0)))
 
 
-def lca_study(apt_rows: DataFrame, attributes: Sequence[str], sizes: Sequence[int], most: int = 10, seed: int = 1) -> DataFrame:
+def lca_study(apt_rows: DataFrame, attributes: Sequence[str], sizes: Sequence[int], most: int = 10, seed: int = 1, by: list[str] | None = None) -> DataFrame:
     """How candidates depend on the sample: for each size the time, and how many of its top patterns the largest run has too."""
     spark, runs, patterns = apt_rows.sparkSession, [], []
     rows = apt_rows.count()
     for size in sizes:
         start = time.perf_counter()
-        left, right = sampling.uniform(apt_rows, size, seed), sampling.uniform(apt_rows, size, seed + 1)
+        left, right = sampling.uniform(apt_rows, size, seed, by), sampling.uniform(apt_rows, size, seed + 1, by)
         found = lca.common_values(left, right, list(attributes), most, size).collect()
         runs.append((f"sample_{size}", time.perf_counter() - start, str(min(size, rows)), rows, len(found), len(attributes)))
         patterns += [(f"sample_{size}", " ∧ ".join(f"{a}={r[a]}" for a in attributes if r[a] is not None)) for r in found]

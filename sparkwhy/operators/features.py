@@ -126,6 +126,6 @@ def choose(rows: DataFrame, columns: list[str], special: set[str], sample_rows:
     if pandas["is_user"].nunique() < 2:
         weights = np.zeros(len(inputs))
     else:
-        weights = importances(pandas[inputs].to_numpy(float), (pandas["is_user"] == "yes").to_numpy(float), trees, depth, seed=seed)
+        weights = importances(pandas[inputs].to_numpy(float), (pandas["is_user"] == "yes").to_numpy(float), trees, depth, seed=seed, spark=rows.sparkSession)
     ranked = sorted(zip(inputs, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))
     return Features(tuple(ranked), tuple(stands.items()), tuple(c for c, _ in ranked if c in special))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.question import Query, Question, Roles
 from ..sources.catalog import NOMINAL, Catalog
-from ..sources.written import written
+from ..sources.written import discard, written
 
 
 def provenance_name(relation: str, column: str) -> str:
@@ -89,17 +91,23 @@ def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name:
     ranged = rows.repartitionByRange(F.col(side), *[F.col(c).asc_nulls_first() for c in order])
     ranged = ranged.sortWithinPartitions(side, *order).withColumn("_part", F.spark_partition_id())
     ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    counts = ranged.groupBy(side, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy(side).orderBy("_part")) - F.col("_n")
-    offsets = counts.select(side, "_part", "_first", before.alias("_before"))
-    numbered = ranged.join(offsets, [side, "_part"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    discard(rows)
+    counts = sorted(ranged.groupBy(side, "_part").agg(F.count("*"), F.min("_at")).collect())  # as many as partitions and sides
+    starts, sizes = [], Counter()
+    for s, part, n, first in counts:
+        starts.append((s, part, sizes[s] + 1 - first))
+        sizes[s] += n
+    offsets = ranged.sparkSession.createDataFrame(starts, f"{side} string, _part int, _start long")
+    numbered = ranged.join(F.broadcast(offsets), [side, "_part"]).withColumn(name, F.col("_at") + F.col("_start"))
     return numbered.select(name, *rows.columns)
 
 
 def provenance_table(catalog: Catalog, question: Question) -> DataFrame:
     """``pnumber``, ``is_user``, output columns and provenance columns of both sides."""
-    rows = sides(provenance_full(catalog, question.query), question)
+    full = provenance_full(catalog, question.query)
+    rows = sides(full, question)
     numbered = number_rows(rows, order_columns(catalog, question.query))
+    discard(full)
     return numbered.select("pnumber", "is_user", *[c for c in rows.columns if c != "is_user"])
 
 

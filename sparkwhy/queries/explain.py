@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import coefficient_of_variation, f_score, precision, recall, round5
 from ..operators import apt as apts
-from ..operators import charts, features, lca, provenance, rank, refine, sampling, score
+from ..operators import charts, evaluate, features, lca, provenance, rank, refine, sampling, score
 from ..operators.apt import Apt
 from ..operators.patterns import Described, Pattern
 from ..plans.equivalence import is_redundant
@@ -280,6 +280,83 @@ def scored_patterns(x: Context) -> DataFrame:
     return x.spark.createDataFrame([(p.nominal[0][1], *p.ordinal[0][1:], p.is_user, p.recall, p.f1) for p in found], "region string, op string, v double, is_user string, recall double, f1 double")
 
 
+# Scores on a sample beside those of the whole table
+
+
+def _on(table: str, end: str) -> str:
+    """Scores of the candidates on a table, in q<end>."""
+    return (
+        f"sides{end} AS (SELECT is_user, count(DISTINCT pnumber) AS n FROM {table} GROUP BY is_user), "
+        f"m{end} AS (SELECT region, op, v, is_user, count(DISTINCT pnumber) AS n FROM c JOIN {table} ON a_18 = region AND CASE WHEN op = '>' THEN a_11 > v ELSE a_11 < v END GROUP BY region, op, v, is_user), "
+        f"k{end} AS (SELECT c.region, c.op, c.v, u.is_user, coalesce(m{end}.n, 0) AS tp, coalesce(s.n, 0) AS side, coalesce((SELECT sum(o.n) FROM m{end} o WHERE o.region = c.region AND o.op = c.op AND o.v = c.v), 0)::BIGINT AS found "
+        f"FROM c CROSS JOIN (VALUES ('yes'), ('no')) AS u(is_user) LEFT JOIN sides{end} s ON s.is_user = u.is_user LEFT JOIN m{end} ON m{end}.region = c.region AND m{end}.op = c.op AND m{end}.v = c.v AND m{end}.is_user = u.is_user), "
+        f"p{end} AS (SELECT *, coalesce({r5('tp::DOUBLE / nullif(side, 0)')}, 0) AS recall, tp::DOUBLE / nullif(found, 0) AS prec FROM k{end}), "
+        f"q{end} AS (SELECT *, {_F1} AS f1 FROM p{end})"
+    )
+
+
+_BOTH = (
+    f"{APT}, c AS (SELECT a_18 AS region, op, v FROM (SELECT r_name AS a_18 FROM region), (VALUES ('>', 50000.0::DOUBLE), ('<', 50000.0::DOUBLE), ('>', 150000.0::DOUBLE), ('<', 150000.0::DOUBLE)) AS b(op, v)), "
+    f"d AS (SELECT * FROM apt ORDER BY md5(concat_ws('|', '1', is_user, pnumber)) LIMIT 200), {_on('apt', '_w')}, {_on('d', '_s')}, "
+    "e AS (SELECT region, op, v, is_user, w.recall, w.f1, s.recall AS sample_recall, s.f1 AS sample_f1 FROM q_w w JOIN q_s s USING (region, op, v, is_user))"
+)
+
+
+def _both(x: Context, mode: str) -> list[Pattern]:
+    apt = apt_of(x)
+    sample = sampling.uniform(apt.rows, 200, 1, ["is_user", "pnumber"])
+    return score.score(apt.rows, PATTERNS, score.side_sizes(apt.rows), mode, sample)
+
+
+@query(
+    "sampled_scores",
+    f"{_BOTH} SELECT 'e' AS mode, * FROM e UNION ALL SELECT 's', region, op, v, is_user, sample_recall, sample_f1, sample_recall, sample_f1 FROM e",
+)
+def sampled_scores(x: Context) -> DataFrame:
+    """Measures in the two modes that use a sample."""
+    rows = [(mode, p.nominal[0][1], *p.ordinal[0][1:], p.is_user, p.recall, p.f1, p.sample_recall, p.sample_f1) for mode in "es" for p in _both(x, mode)]
+    return x.spark.createDataFrame(rows, "mode string, region string, op string, v double, is_user string, recall double, f1 double, sample_recall double, sample_f1 double")
+
+
+@query(
+    "sampling_error",
+    f"{_BOTH} SELECT count(*) AS evaluated, {r5('sum((f1 - sample_f1) * (f1 - sample_f1))')} AS error_sum_of_squares, count(*) FILTER (WHERE (recall > 0.1) <> (sample_recall > 0.1)) AS misclassified FROM e",
+)
+def sampling_error(x: Context) -> DataFrame:
+    found = score.sampling_error(_both(x, "e"), 0.1)
+    made = x.spark.createDataFrame([(found["evaluated"], float(found["error_sum_of_squares"]), found["misclassified"])], "evaluated long, error_sum_of_squares double, misclassified long")
+    return made.withColumn("error_sum_of_squares", round5(F.col("error_sum_of_squares")))
+
+
+@query(
+    "sample_sizes",
+    f"{APT}, n AS (SELECT count(*) AS n FROM apt) SELECT rate, most, greatest(least(ceil(n * rate::DOUBLE)::BIGINT, most), 100)::BIGINT AS candidate_rows, CASE WHEN n > 100 THEN ceil(n * rate::DOUBLE)::BIGINT END AS score_rows "
+    "FROM n, (VALUES (0.05), (0.3), (0.9)) AS r(rate), (VALUES (1000), (2600)) AS m(most)".replace("SELECT rate, most", "SELECT rate::DOUBLE AS rate, most::BIGINT AS most"),
+)
+def sample_sizes(x: Context) -> DataFrame:
+    n = apt_of(x).rows.count()
+    rows = [(r, m, sampling.lca_size(n, r, 100, m), sampling.score_size(n, r, 100)) for r in (0.05, 0.3, 0.9) for m in (1000, 2600)]
+    return x.spark.createDataFrame(rows, "rate double, most long, candidate_rows long, score_rows long")
+
+
+def _study(size: int) -> str:
+    cells = ", ".join(f"CASE WHEN d.{a} = s.{a} THEN d.{a} END AS {a}" for a in _NOMINAL)
+    part = lambda seed: f"(SELECT * FROM apt ORDER BY md5(concat_ws('|', '{seed}', is_user, pnumber)) LIMIT {size})"
+    return f"SELECT 'sample_{size}' AS exp_desc, {_GROUPS} FROM (SELECT {_GROUPS}, count(*) AS pattern_freq FROM (SELECT {cells} FROM {part(1)} d, {part(2)} s) GROUP BY {_GROUPS} {_TOP} 10)"
+
+
+@query(
+    "lca_study",
+    f"{APT}, found AS ({' UNION ALL '.join(f'({_study(n)})' for n in (50, 100, 200))}), best AS (SELECT {_GROUPS} FROM found WHERE exp_desc = 'sample_200'), "
+    f"same AS (SELECT exp_desc, count(*) AS n FROM found WHERE EXISTS (SELECT 1 FROM best b WHERE {' AND '.join(f'b.{a} IS NOT DISTINCT FROM found.{a}' for a in _NOMINAL)}) GROUP BY exp_desc) "
+    "SELECT exp_desc, count(*) AS num_result_p, any_value(coalesce(same.n, 0)) AS num_match FROM found LEFT JOIN same USING (exp_desc) GROUP BY exp_desc",
+)
+def lca_study(x: Context) -> DataFrame:
+    """How many of the patterns of a sample those of the largest sample have too."""
+    found = evaluate.lca_study(apt_of(x).rows, _NOMINAL, [50, 100, 200], by=["is_user", "pnumber"])
+    return found.select("exp_desc", "num_result_p", "num_match")
+
+
 _FRACTIONAL = (
     f"{APT}, w AS (SELECT *, round((1.0 / count(*) OVER (PARTITION BY is_user, pnumber))::DECIMAL(18, 8), 5)::DOUBLE AS pv FROM apt), "
     "f AS (SELECT r_name AS region, s.is_user, (SELECT sum(pv) FROM w WHERE w.a_18 = r_name AND w.is_user = s.is_user) AS tp, (SELECT sum(pv) FROM w WHERE w.is_user = s.is_user) AS side, "

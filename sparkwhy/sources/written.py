@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _paths: dict[str, SparkSession] = {}
-_open = threading.local()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A name in the shared folder that nothing has yet; what is written there is deleted as ``written`` tables are."""
     path = f"{shared_folder(spark)}/sparkwhy-{name}-{uuid.uuid4().hex}"
     _paths[path] = spark
-    for made in getattr(_open, "scopes", ()):
-        made.append(path)
     return path
 
 
@@ -61,30 +55,6 @@ def discard(df: DataFrame) -> None:
         _delete(path)
 
 
-@contextmanager
-def kept() -> Iterator[None]:
-    """What is written meanwhile outlives the ``scratch`` around it."""
-    scopes, _open.scopes = getattr(_open, "scopes", []), []
-    try:
-        yield
-    finally:
-        _open.scopes = scopes
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Delete, at the end, the tables that this thread wrote meanwhile, but for those under ``kept``."""
-    scopes = _open.__dict__.setdefault("scopes", [])
-    made: list[str] = []
-    scopes.append(made)
-    try:
-        yield
-    finally:
-        scopes.remove(made)
-        for path in made:
-            _delete(path)
-
-
 @atexit.register
 def discard_all() -> None:
     """Delete every table that is still there; results that read them must be consumed before."""
