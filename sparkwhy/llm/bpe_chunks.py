@@ -18,7 +18,9 @@ _GEAR = np.random.default_rng(1024).integers(0, 2**32, 256, dtype=np.uint32)
 #: Between an ASCII character that is no white space and a space or line feed, a
 #: pre-token always ends, whatever stands before or after.
 _ANCHOR = re.compile(rb"(?<=[\x21-\x7e])[ \n]")
-Encoded = tuple[bytes, np.ndarray, bytes] | None
+#: Of a chunk: what lies before its first anchor, the ids up to its last, what follows; and for checking joins, the
+#: first and the last stretch between two anchors with the number of ids of each.
+Encoded = tuple[bytes, np.ndarray, bytes, bytes, int, bytes, int] | None
 
 
 def cut(raw: bytes, average: int = 512, least: int = 128, most: int = 4096) -> list[bytes]:
@@ -49,20 +51,28 @@ def cut(raw: bytes, average: int = 512, least: int = 128, most: int = 4096) -> l
     return out
 
 
-def encode_chunk(raw: bytes, encode: Callable[[str], np.ndarray]) -> Encoded:
-    """What lies before the chunk's first anchor, the ids up to its last, and what follows."""
-    first = _ANCHOR.search(raw)
-    if first is None:
-        return None
-    start = stop = first.start()
-    space = max(raw.rfind(b" "), raw.rfind(b"\n"))
+def _anchor_before(raw: bytes, end: int, start: int) -> int:
+    """The last anchor before ``end``, or ``start``."""
+    space = max(raw.rfind(b" ", start, end), raw.rfind(b"\n", start, end))
     while space > start:
         if 0x21 <= raw[space - 1] <= 0x7E:
-            stop = space
-            break
-        space = max(raw.rfind(b" ", 0, space), raw.rfind(b"\n", 0, space))
-    ids = encode(raw[start:stop].decode()) if stop > start else np.empty(0, np.uint32)
-    return raw[:start], ids, raw[stop:]
+            return space
+        space = max(raw.rfind(b" ", start, space), raw.rfind(b"\n", start, space))
+    return start
+
+
+def encode_chunk(raw: bytes, encode: Callable[[str], np.ndarray]) -> Encoded:
+    """A chunk's ids between its first and last anchor; None if it has no anchor."""
+    found = _ANCHOR.search(raw)
+    if found is None:
+        return None
+    start = found.start()
+    stop = _anchor_before(raw, len(raw), start)
+    if stop == start:
+        return raw[:start], np.empty(0, np.uint32), raw[start:], b"", 0, b"", 0
+    following = _ANCHOR.search(raw, start + 1, stop)
+    first, last = raw[start : following.start() if following else stop], raw[_anchor_before(raw, stop, start) : stop]
+    return raw[:start], encode(raw[start:stop].decode()), raw[stop:], first, len(encode(first.decode())), last, len(encode(last.decode()))
 
 
 class ChunkEncoder:
@@ -70,16 +80,17 @@ class ChunkEncoder:
 
     Ids near a chunk's ends may differ from those in the whole text. So of each chunk
     only the ids between its first and last anchor are reused, and what lies between
-    two chunks' anchors is encoded again as one string, wider if a chunk has no
-    anchor. At an anchor a pre-token ends in the whole text and in the part alike,
-    so both agree there and the ids are those of the whole text.
+    two chunks' anchors is encoded again, wider if a chunk has no anchor, together with the stretch
+    before and the stretch after it. The join is repaired if both stretches get the ids there that the
+    chunks have for them; if not, the whole text is encoded at once. (At an anchor a pre-token ends in the
+    whole text and in the part alike, so they should always agree; ``disagreed`` counts when not.)
     """
 
     def __init__(self, path: str, shared: dict[bytes, Encoded] | None = None, memory: int = 24_000_000):
         self.encode = load(path).encode
         self.shared = shared or {}
         self.own: dict[bytes, Encoded] = {}
-        self.memory, self.used = memory, 0
+        self.memory, self.used, self.disagreed = memory, 0, 0
 
     def chunk(self, raw: bytes) -> Encoded:
         if raw in self.shared:
@@ -99,16 +110,27 @@ class ChunkEncoder:
         if not text:
             return np.empty(0, np.uint32)
         raw = text.encode("utf-8")
-        parts, pending = [], b""
+        parts, pending, last, n_last = [], b"", b"", 0
         for chunk in cut(raw):
             made = self.chunk(chunk)
             if made is None:
                 pending += chunk
                 continue
-            head, ids, tail = made
-            parts += (self.encode((pending + head).decode()), ids)
-            pending = tail
-        parts.append(self.encode(pending.decode()))
+            head, ids, tail, first, n_first, own_last, own_n = made
+            if not len(ids):  # one anchor alone: it stands in the join
+                pending += chunk
+                continue
+            join = self.encode((last + pending + head + first).decode())
+            if (n_last and not np.array_equal(join[:n_last], parts[-1][-n_last:])) or not np.array_equal(join[len(join) - n_first :], ids[:n_first]):
+                self.disagreed += 1
+                return self.encode(text)
+            parts += (join[n_last : len(join) - n_first], ids)
+            pending, last, n_last = tail, own_last, own_n
+        join = self.encode((last + pending).decode())
+        if n_last and not np.array_equal(join[:n_last], parts[-1][-n_last:]):
+            self.disagreed += 1
+            return self.encode(text)
+        parts.append(join[n_last:])
         return np.concatenate(parts)
 
 
@@ -152,12 +174,17 @@ def shared_chunks(docs: DataFrame, text_col: str, path: str, most: int) -> dict[
         for batch in batches:
             chunks = batch.column(0).to_pylist()
             made = [encode_chunk(c, load(path).encode) for c in chunks]
-            columns = [[m and m[0] for m in made], [m and m[1].tobytes() for m in made], [m and m[2] for m in made]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (chunks, *columns)], ["chunk", "head", "ids", "tail"])
+            columns = [[m and (m[k].tobytes() if k == 1 else m[k]) for m in made] for k in range(7)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((chunks, *columns), kinds, strict=True)], names)
 
+    names = ["chunk", "head", "ids", "tail", "first", "n_first", "last", "n_last"]
+    kinds = [pa.int32() if n.startswith("n_") else pa.binary() for n in names]
     unique = texts.mapInArrow(take, "digest binary, chunk binary").groupBy("digest").agg(F.min("chunk").alias("chunk")).select("chunk")
-    rows = unique.mapInArrow(encode, "chunk binary, head binary, ids binary, tail binary").collect()
-    return {bytes(c): None if h is None else (bytes(h), np.frombuffer(bytes(i), np.uint32), bytes(t)) for c, h, i, t in rows}
+    rows = unique.mapInArrow(encode, ", ".join(f"{n} {'int' if n.startswith('n_') else 'binary'}" for n in names)).collect()
+    return {
+        bytes(c): None if h is None else (bytes(h), np.frombuffer(bytes(i), np.uint32), bytes(t), bytes(f), nf, bytes(e), ne)
+        for c, h, i, t, f, nf, e, ne in rows
+    }
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, most_shared: int = 16_384) -> DataFrame:

@@ -32,7 +32,22 @@ def test_fast_characters_are_split_alike_by_both_libraries():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([*"ab \n\t'sé1.,日\u00a0\u3000", "<|endoftext|>", " word"]), max_size=600).map(lambda t: "".join(t) * 9))
 def test_chunked_ids_are_those_of_the_whole_text(text):
-    assert bpe_chunks.ChunkEncoder(default_path())(text).tolist() == exact(text)
+    encoder = bpe_chunks.ChunkEncoder(default_path())
+    assert encoder(text).tolist() == exact(text) and not encoder.disagreed
+
+
+def test_joins_that_disagree_are_repaired():
+    """Chunks whose kept ids are wrong at their ends are noticed at the join."""
+    text = " ".join(f"word{k}" for k in range(2000))
+    for at in (0, -1):
+        encoder = bpe_chunks.ChunkEncoder(default_path())
+        assert encoder(text).tolist() == exact(text) and not encoder.disagreed
+        for raw, made in list(encoder.own.items()):
+            if made and len(made[1]):
+                wrong = made[1].copy()
+                wrong[at] += 1
+                encoder.own[raw] = (made[0], wrong, *made[2:])
+        assert encoder(text).tolist() == exact(text) and encoder.disagreed == 1
 
 
 def test_chunks_join_to_the_text_and_are_shared():
