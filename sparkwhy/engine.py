@@ -178,8 +178,8 @@ class Engine:
         out = explanation if explanation is not None else Explanation(question)
         out.stats.params.update(settings.__dict__)
         with out.stats.timed("provenance"):
-            pt, roles = self.provenance(question)
-            out.sizes, pt_rows = score.sizes_and_rows(pt)
+            pt, out.sizes = provenance.sized_table(self.catalog, question)
+            roles, pt_rows = provenance.roles(self.catalog, question.query), sum(out.sizes.values())
         log.info("provenance: %s tuples", out.sizes)
         with out.stats.timed("graphs"):
             found = self.joined(question.query, pt, roles, self.graphs(question.query, settings), settings)

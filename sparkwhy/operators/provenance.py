@@ -80,8 +80,8 @@ def sides(full: DataFrame, question: Question) -> DataFrame:
     return full.where(first | second).withColumn("is_user", F.explode(marks))
 
 
-def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name: str = "pnumber") -> DataFrame:
-    """Number the rows of each side from 1 in the given order, without a window over a whole side.
+def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name: str = "pnumber") -> tuple[DataFrame, dict[str, int]]:
+    """Number the rows of each side from 1 in the given order, without a window over a whole side; also their numbers.
 
     Rows are ranged over partitions in order; each counts its own, and the counts of the
     partitions before, a row per partition and side, are added. The rows are written first, as ranging
@@ -99,16 +99,21 @@ def number_rows(rows: DataFrame, order: list[str], side: str = "is_user", name:
         sizes[s] += n
     offsets = ranged.sparkSession.createDataFrame(starts, f"{side} string, _part int, _start long")
     numbered = ranged.join(F.broadcast(offsets), [side, "_part"]).withColumn(name, F.col("_at") + F.col("_start"))
-    return numbered.select(name, *rows.columns)
+    return numbered.select(name, *rows.columns), dict(sizes)
 
 
 def provenance_table(catalog: Catalog, question: Question) -> DataFrame:
     """``pnumber``, ``is_user``, output columns and provenance columns of both sides."""
+    return sized_table(catalog, question)[0]
+
+
+def sized_table(catalog: Catalog, question: Question) -> tuple[DataFrame, dict[str, int]]:
+    """The provenance table and how many tuples each side has."""
     full = provenance_full(catalog, question.query)
     rows = sides(full, question)
-    numbered = number_rows(rows, order_columns(catalog, question.query))
+    numbered, sizes = number_rows(rows, order_columns(catalog, question.query))
     discard(full)
-    return numbered.select("pnumber", "is_user", *[c for c in rows.columns if c != "is_user"])
+    return numbered.select("pnumber", "is_user", *[c for c in rows.columns if c != "is_user"]), {"yes": 0, "no": 0} | sizes
 
 
 def group_sizes(pt: DataFrame) -> DataFrame:

@@ -32,23 +32,23 @@ def _unit(rows: DataFrame, seed: int, by: list[str] | None) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(2**40)) / F.lit(2.0**40)
 
 
-def first_by(rows: DataFrame, value: Column, n: int, ties: list[str] | None = None, at_once: int = 1000, buckets: int = 65_536) -> DataFrame:
+def first_by(rows: DataFrame, value: Column, n: int, ties: list[str] | None = None, at_once: int = 1000, buckets: int = 65_536, bounds: tuple[float, float] | None = None) -> DataFrame:
     """The ``n`` rows with the smallest values, nulls last, in no particular order.
 
     A few are sorted out directly. For more, a histogram of the values, whose size is
     bounded, tells up to which bucket rows are taken whole; only the bucket on the
-    edge is sorted, so no task sorts or gathers the sample.
+    edge is sorted, so no task sorts or gathers the sample. ``bounds`` tells the range of values if it is known.
     """
     if n <= at_once:
         return rows.orderBy(value.asc_nulls_last(), *(ties or [])).limit(n)
     valued = rows.withColumn("_value", value.cast("double"))
-    low, high, total = valued.agg(F.min("_value"), F.max("_value"), F.count("*")).first()
-    if total <= n:
-        return rows
+    low, high = bounds or valued.agg(F.min("_value"), F.max("_value")).first()
     width = (high - low) / (buckets - 1) if low is not None and high > low else 1.0
     placed = valued.withColumn("_bucket", F.coalesce(F.floor((F.col("_value") - F.lit(low)) / F.lit(width)), F.lit(buckets)))
-    taken = 0
-    for bucket, count in sorted(placed.groupBy("_bucket").count().collect()):
+    counts, taken = sorted(placed.groupBy("_bucket").count().collect()), 0
+    if sum(count for _, count in counts) <= n:
+        return rows
+    for bucket, count in counts:
         if taken + count > n:
             break
         taken += count
@@ -61,7 +61,7 @@ def uniform(rows: DataFrame, n: int, seed: int = 1, by: list[str] | None = None)
     """``n`` rows by a hash of the columns ``by``, or of the whole row."""
     if by and n <= 10_000:
         return rows.orderBy(hash_order(seed, *by)).limit(n)
-    return first_by(rows, _unit(rows, seed, by), n, by)
+    return first_by(rows, _unit(rows, seed, by), n, by, bounds=(0.0, 1.0))
 
 
 def weighted_by_count(rows: DataFrame, column: str, n: int, seed: int = 1, by: list[str] | None = None) -> DataFrame:

@@ -32,9 +32,9 @@ def sizes_and_rows(rows: DataFrame) -> tuple[dict[str, int], int]:
 def matching_tuples(rows: DataFrame, patterns: Sequence[Pattern], single: bool = False) -> list[dict[str, int]]:
     """For each pattern, the distinct tuples of each side that have a row where it holds.
 
-    The parts of all patterns are few, as patterns share them: each is one boolean column. Only
-    these go to Python, where whole batches are combined into one bit for each pattern in a
-    few long integers. As joins repeat tuples, rows are then reduced to one per tuple by
+    The parts of all patterns are few, as patterns share them. An equality is one boolean column; bounds are
+    compared in Python, to which their numeric columns go. There whole batches are combined into one
+    bit for each pattern in a few long integers. As joins repeat tuples, rows are then reduced to one per tuple by
     bitwise or: the shuffle carries a row per tuple, combined before it is sent, however
     many patterns there are. Their bits are counted per partition, and the counts summed. Where no join
     repeats a tuple (``single``), matches are counted where the rows are, and nothing is shuffled but counts.
@@ -46,18 +46,37 @@ def matching_tuples(rows: DataFrame, patterns: Sequence[Pattern], single: bool =
 
 
 def _counted(rows: DataFrame, patterns: Sequence[Pattern], single: bool) -> list[dict[str, int]]:
-    number: dict[tuple, int] = {}
-    uses = [[number.setdefault(a, len(number)) for a in p.parts()] for p in patterns]
+    tests: dict[tuple, int] = {}
+    numbers: dict[str, int] = {}
+    for p in patterns:
+        for part in p.parts():
+            if part[1] == "=":
+                tests.setdefault(part, len(tests))
+            else:
+                numbers.setdefault(part[0], len(numbers))
+    kinds: dict[tuple, int] = {}
+    uses = [[kinds.setdefault(part, len(kinds)) for part in p.parts()] for p in patterns]
+    # (position among the columns, comparison, constant) of each part
+    parts = [(tests[t], None, None) if t[1] == "=" else (len(tests) + numbers[t[0]], t[1], float(t[2])) for t in kinds]
+    columns = [F.coalesce(part_column(t), F.lit(False)).alias(f"_t{k}") for t, k in tests.items()]
+    columns += [F.col(c).cast("double").alias(f"_v{k}") for c, k in numbers.items()]
     masks = [f"_m{k}" for k in range(-(-len(patterns) // _BITS))]
-    tests = [F.coalesce(part_column(a), F.lit(False)).alias(f"_t{k}") for a, k in number.items()]
     schema = f"is_user string, pnumber long, {', '.join(f'{m} long' for m in masks)}"
 
     def matches(batch: pa.RecordBatch, first: int) -> Iterator[tuple[int, np.ndarray]]:
         held = [c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]]
-        for k, parts in enumerate(uses):
+        above = {}  # NaN is above every number, null above none
+        for k, op, _ in parts:
+            if op == ">" and k not in above:
+                nan = np.isnan(held[k])
+                above[k] = nan & ~batch.column(first + k).is_null().to_numpy(zero_copy_only=False) if nan.any() else None
+        made = []
+        for k, op, c in parts:
+            made.append(held[k] if op is None else held[k] < c if op == "<" else held[k] > c if above[k] is None else (held[k] > c) | above[k])
+        for k, use in enumerate(uses):
             match = np.ones(batch.num_rows, bool)
-            for t in parts:
-                match &= held[t]
+            for t in use:
+                match &= made[t]
             yield k, match
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +109,9 @@ def _counted(rows: DataFrame, patterns: Sequence[Pattern], single: bool) -> list
 
     result = "is_user string, pattern int, n long"
     if single:
-        counts = rows.where(F.col("is_user").isin(*SIDES)).select("is_user", *tests).mapInArrow(direct, result)
+        counts = rows.where(F.col("is_user").isin(*SIDES)).select("is_user", *columns).mapInArrow(direct, result)
     else:
-        bits = rows.select("is_user", F.col("pnumber").cast("long").alias("pnumber"), *tests).mapInArrow(combine, schema)
+        bits = rows.select("is_user", F.col("pnumber").cast("long").alias("pnumber"), *columns).mapInArrow(combine, schema)
         tuples = bits.groupBy("is_user", "pnumber").agg(*[F.bit_or(m).alias(m) for m in masks]).drop("pnumber")
         counts = tuples.mapInArrow(count, result)
     totals = counts.groupBy("is_user", "pattern").agg(F.sum("n").alias("n")).collect()

@@ -65,6 +65,14 @@ def test_quantiles_are_exact_in_any_number_of_passes(spark):
     assert quantiles.quantiles(t, []) == []
 
 
+def test_bounds_hold_nan_above_all_and_null_beside_all(spark):
+    t = rows(spark, [("yes", 1, "x", float("nan")), ("yes", 2, "x", None), ("no", 1, "x", 2.0), ("no", 2, None, -1.0)])
+    for op, bound in ((">", 1.0), ("<", 1.0), (">", 1e308)):
+        p = Pattern(ordinal=(("a_2", op, bound),))
+        expected = {s: t.where(p.predicate() & (F.col("is_user") == s)).count() for s in ("yes", "no")}
+        assert score.matching_tuples(t, [p]) == score.matching_tuples(t, [p], True) == [expected]
+
+
 def test_single_rows_per_tuple_need_no_shuffle(spark):
     t = rows(spark, [(("yes", "no")[k % 2], k // 2, "xyz"[k % 3], float(k % 11)) for k in range(300)])
     tried = [Pattern(nominal=(("a_1", v),), ordinal=(("a_2", ">", float(b)),)) for v in "xyz" for b in range(30)]
@@ -216,6 +224,8 @@ def test_complement_is_not_of_the_whole_predicate(spark):
 
 def test_numbering_equals_a_window(spark):
     t = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 3 == 0, "yes").otherwise("no").alias("is_user"))
-    a = provenance.number_rows(t, ["k"]).collect()
+    numbered, sizes = provenance.number_rows(t, ["k"])
+    a = numbered.collect()
+    assert sizes == {"yes": 334, "no": 666}
     b = t.withColumn("pnumber", F.row_number().over(Window.partitionBy("is_user").orderBy("k")).cast("long")).collect()
     assert {tuple(r.asDict()[c] for c in ("is_user", "k", "pnumber")) for r in a} == {tuple(r.asDict()[c] for c in ("is_user", "k", "pnumber")) for r in b}
