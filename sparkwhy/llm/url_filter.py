@@ -6,6 +6,7 @@ The main path is made of DataFrame and MLlib operations only, all of which run i
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 from itertools import count
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -13,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = [
@@ -83,8 +84,12 @@ def made_labels(spark: SparkSession, rows: int = 4000, noise: int = 2) -> DataFr
     def draw(n: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(next(salts))), F.lit(n)).cast("int")
 
+    @cache
+    def listed(options: tuple[str, ...]) -> Column:
+        return F.array(*[F.lit(x) for x in options])
+
     def of(options: list[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in options]), draw(len(options)) + 1)
+        return F.element_at(listed(tuple(options)), draw(len(options)) + 1)
 
     def word(least: int, most: int) -> Column:
         """Between ``least`` and ``most`` syllables."""
@@ -151,6 +156,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
     """
     rows = pick(labelled, url_col, label_col).select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).where("url is not null and label in (0, 1)")
     rows = lexical(rows.orderBy(F.xxhash64("url"), "url", "label").limit(most_rows)).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(7)), F.lit(2)))
+    rows = stored(rows, "labelled-urls")  # every tree reads them
     found = rows.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
     rate = ((F.sum("label") + 2 * F.lit(found["mean"] or 0.0)) / (F.count("*") + 2)).alias("suffix_rate")
     weight = (F.count("*") / F.lit(max(found["n"], 1))).alias("suffix_weight")
@@ -159,7 +165,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
         return UrlModel(None, suffixes, found["mean"] or 0.0)
     across = rows.groupBy("suffix", (1 - F.col("fold")).alias("fold")).agg(rate, weight)
     ready = rows.join(F.broadcast(across), ["suffix", "fold"], "left").fillna({"suffix_rate": 0.5, "suffix_weight": 0.0})
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "label").coalesce(1)
+    ready = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "label").coalesce(1), "url-vectors")
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, checkpointInterval=-1).fit(ready)
     return UrlModel(trees, suffixes, found["mean"])
 
