@@ -18,6 +18,7 @@ from ..plans.equivalence import is_redundant
 from ..plans.join_graph import enumerate_graphs, is_valid, valid_graphs
 from ..plans.question import Aggregate, Query, Question
 from ..sources import sinks
+from ..sources.catalog import Catalog, ForeignKey
 from ..sources.written import new_folder
 from . import SEGMENT_QUERY, SEGMENTS, Context, query
 from .texts import APT, PROV, PT, PT_FULL, r5
@@ -108,6 +109,37 @@ def apt_nation_region(x: Context) -> DataFrame:
     return apt_of(x).rows
 
 
+@query(
+    "apt_second_instance",
+    f"{PT} SELECT is_user, count(*) AS n_rows, count(DISTINCT pnumber) AS tuples, count(DISTINCT c.c_custkey) AS customers FROM pt JOIN nation ON prov_customer_c__nationkey = n_nationkey "
+    "JOIN customer c ON c.c_nationkey = n_nationkey GROUP BY is_user",
+)
+def apt_second_instance(x: Context) -> DataFrame:
+    """A join graph that joins a table of the query once more: customers of the same nation."""
+    graph = next(g for g in enumerate_graphs(x.catalog, RELATIONS, 2) if g.labels == ("PT", "nation", "customer") and g.edges[-1].a == 1)
+    apt = apts.build(x.catalog, SEGMENT_QUERY, pt_of(x), provenance.roles(x.catalog, SEGMENT_QUERY), graph)
+    key = next(a.name for a in apt.attributes if (a.node, a.column) == (2, "c_custkey"))
+    return apt.rows.groupBy("is_user").agg(F.count("*").alias("n_rows"), F.count_distinct("pnumber").alias("tuples"), F.count_distinct(key).alias("customers"))
+
+
+@query(
+    "apt_parallel_edges",
+    "SELECT is_user, p_brand, count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS lines FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 'yes' ELSE 'no' END AS is_user FROM lineitem WHERE l_returnflag IN ('R', 'A')) "
+    "JOIN part ON l_partkey = p_partkey AND l_suppkey = p_partkey GROUP BY is_user, p_brand",
+)
+def apt_parallel_edges(x: Context) -> DataFrame:
+    """Two foreign keys between the same two nodes of a join graph: both conditions hold at once."""
+    keys = [ForeignKey("lineitem", (c,), "part", ("p_partkey",)) for c in ("l_partkey", "l_suppkey")]
+    catalog = Catalog.from_parquet(x.spark, x.directory, ["lineitem", "part"], {"part": ("p_partkey",)}, keys)
+    q = Query({"lineitem": "lineitem"}, ("lineitem.l_returnflag",), (Aggregate("n", "count"),))
+    graph = next(g for g in enumerate_graphs(catalog, ["lineitem"], 2) if g.labels == ("PT", "part") and len(g.edges) == 2)
+    pt = provenance.provenance_table(catalog, Question(q, {"l_returnflag": "R"}, {"l_returnflag": "A"}))
+    apt = apts.build(catalog, q, pt, provenance.roles(catalog, q), graph)
+    name = {(a.node, a.column): a.name for a in apt.attributes}
+    line = [F.col(name[0, c]) for c in ("l_orderkey", "l_linenumber")]
+    return apt.rows.groupBy("is_user", F.col(name[1, "p_brand"]).alias("p_brand")).agg(F.count("*").alias("n_rows"), F.count_distinct(*line).alias("lines"))
+
+
 @query("count_distinct_side", f"{APT} SELECT is_user, count(DISTINCT pnumber) AS n FROM apt GROUP BY is_user")
 def count_distinct_side(x: Context) -> DataFrame:
     return apt_of(x).rows.groupBy("is_user").agg(F.count_distinct("pnumber").alias("n"))
