@@ -13,7 +13,7 @@ from ..functions.numbers import coefficient_of_variation, f_score, precision, re
 from ..operators import apt as apts
 from ..operators import charts, evaluate, features, lca, provenance, rank, refine, sampling, score
 from ..operators.apt import Apt
-from ..operators.patterns import Described, Pattern
+from ..operators.patterns import Described, Pattern, describe
 from ..plans.equivalence import is_redundant
 from ..plans.join_graph import enumerate_graphs, is_valid, valid_graphs
 from ..plans.question import Aggregate, Query, Question
@@ -564,14 +564,15 @@ _SEARCHED = (
 )
 
 
-def _searched(x: Context) -> list[Described]:
+def _searched(x: Context, special: set[str] | None = None) -> list[Described]:
+    """What the search finds; ``special`` replaces the attributes that patterns have to use."""
     apt = apt_of(x)
     rows, nominal, names = apt.rows, [(("a_18", r),) for r in _REGIONS], {"a_18": "region", "a_11": "price", "a_6": "balance"}
     sizes, total = score.sizes_and_rows(rows)
-    features_ = features.Features((("a_11", 1.0), ("a_6", 0.5)), (("a_11", ()), ("a_6", ())))
+    chosen = features.Features((("a_11", 1.0), ("a_6", 0.5)), (("a_11", ()), ("a_6", ())), tuple(sorted(special or ())))
     bounds = refine.quartiles(rows, nominal, ["a_11", "a_6"])
     single = total == sum(sizes.values())
-    found = refine.search(nominal, bounds, features_, apt.special(), lambda tried: score.score(rows, tried, sizes, single=single), cap=2, least_recall=_LEAST)
+    found = refine.search(nominal, bounds, chosen, special or apt.special(), lambda tried: score.score(rows, tried, sizes, single=single), cap=2, least_recall=_LEAST)
     out = []
     for p in found:
         tokens = [(names[a], f"={v}") for a, v in p.nominal] + [(names[a], f"{op}{math.floor(v)}") for a, op, v in p.ordinal]
@@ -579,16 +580,53 @@ def _searched(x: Context) -> list[Described]:
     return out
 
 
-@query("levelwise_search", f"{_SEARCHED} SELECT region, price_op, round(price_v::DECIMAL(18, 4), 2)::DOUBLE AS price, balance_op, round(balance_v::DECIMAL(18, 4), 2)::DOUBLE AS balance, is_user, recall, f1, p_desc FROM pool")
-def levelwise_search(x: Context) -> DataFrame:
+_FOUND = "SELECT region, price_op, round(price_v::DECIMAL(18, 4), 2)::DOUBLE AS price, balance_op, round(balance_v::DECIMAL(18, 4), 2)::DOUBLE AS balance, is_user, recall, f1, p_desc FROM pool"
+
+
+def _found(x: Context, patterns: list[Described]) -> DataFrame:
     rows = []
-    for d in _searched(x):
+    for d in patterns:
         bound = {a: (op, v) for a, op, v in d.pattern.ordinal}
         rows.append((d.graph_name, *bound.get("a_11", (None, None)), *bound.get("a_6", (None, None)), d.pattern.is_user, d.pattern.recall, d.pattern.f1, d.text))
     made = x.spark.createDataFrame(rows, "region string, price_op string, price double, balance_op string, balance double, is_user string, recall double, f1 double, p_desc string")
     return made.withColumns({c: F.round(F.col(c).cast("decimal(18,4)"), 2).cast("double") for c in ("price", "balance")})
 
 
+@query("levelwise_search", f"{_SEARCHED} {_FOUND}")
+def levelwise_search(x: Context) -> DataFrame:
+    return _found(x, _searched(x))
+
+
+@query("forced_special", f"{_SEARCHED} {_FOUND} WHERE price_op IS NOT NULL")
+def forced_special(x: Context) -> DataFrame:
+    """The price has to be used: regions alone lead nowhere until a bound on it is added."""
+    return _found(x, _searched(x, {"a_11"}))
+
+
+@query(
+    "pattern_texts",
+    "SELECT r_name AS region, op, v, 'PT_orders_1.o_totalprice' || op || v || ' ∧ region_3.r_name=' || r_name AS p_desc, 'PT, nation, region' AS nodes "
+    "FROM region, (VALUES ('>', 50000.0::DOUBLE), ('<', 50000.0::DOUBLE), ('>', 150000.0::DOUBLE), ('<', 150000.0::DOUBLE)) AS b(op, v)",
+)
+def pattern_texts(x: Context) -> DataFrame:
+    """Patterns under the names that their attributes have in the joined tables."""
+    apt = apt_of(x)
+    rows = [(p.nominal[0][1], *p.ordinal[0][1:], describe(apt, p).text, ", ".join(apt.graph.labels)) for p in PATTERNS[::2]]
+    return x.spark.createDataFrame(rows, "region string, op string, v double, p_desc string, nodes string")
+
+
+@query(
+    "attribute_entropy",
+    "WITH s AS (SELECT * FROM customer ORDER BY md5(concat_ws('|', '1', c_custkey)) LIMIT 1000), u AS (SELECT 'c_nationkey' AS attribute, c_nationkey::DOUBLE AS v FROM s UNION ALL SELECT 'c_acctbal', c_acctbal FROM s) "
+    "SELECT attribute, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT attribute, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY attribute) AS p FROM u GROUP BY attribute, v) GROUP BY attribute",
+)
+def attribute_entropy(x: Context) -> DataFrame:
+    """What decides which attribute stands for a cluster, on a sample of customers."""
+    sample = sampling.uniform(x.t("customer"), 1000, 1, ["c_custkey"]).toPandas()
+    rows = [(c, round(features.value_entropy(sample[c].to_numpy(float)), 6)) for c in ("c_nationkey", "c_acctbal")]
+    return x.spark.createDataFrame(rows, "attribute string, entropy double")
+
+
 def _unlike(c: str, o: str) -> str:
     """How a candidate differs from a chosen pattern: its score and the mean over its parts."""
     part = lambda x: f"CASE WHEN {c}.{x} IS NULL THEN 0.0 WHEN {o}.{x} IS NULL THEN 1.0 WHEN {c}.{x} = {o}.{x} THEN -2.0 ELSE -0.3 END::DOUBLE"
