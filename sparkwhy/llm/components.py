@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_broadcast, stored
 
 
 class Union:
@@ -142,11 +142,13 @@ def linked(members: DataFrame, payload: DataFrame, compare: Compare, block_weigh
         # A class spans four ratios; what lies within one of its upper end is in the next class too.
         place = F.log("size") / F.lit(4 * max(-math.log(ratio), 1e-6) * (1 + 1e-6))
         classes = F.array_distinct(F.array(F.floor(place), F.floor(place + 0.25)))
-        apart = inside.where("blocks > 1").drop("hub", "blocks").withColumn("class", F.explode(classes))
+        many = bounded_broadcast(sizes.where("blocks > 1").select("group"), 200_000)  # so that members are not shuffled for them
+        apart = members.join(many, "group", "left_semi").withColumn("class", F.explode(classes))
         key = F.xxhash64("group", "class")
         apart = apart.withColumn("group", F.encode(key.cast("string"), "UTF-8") if dict(members.dtypes)["group"] == "binary" else key)
         apart = stored(apart.drop("class"), "classes")
-        inside = inside.where("blocks = 1").unionByName(apart.join(sized(apart), "group").select(inside.columns))
+        alone = members.join(sizes.where("blocks = 1"), "group")
+        inside = alone.unionByName(apart.join(sized(apart), "group").select(alone.columns))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
     inside = stored(inside.withColumn("block", own), "members")
     hubs = inside.where("id = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
