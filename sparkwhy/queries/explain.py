@@ -466,11 +466,11 @@ WITH RECURSIVE fk AS (SELECT * FROM (VALUES ('nation', 'n_regionkey', 'region',
     ('supplier', 's_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey'), ('lineitem', 'l_orderkey', 'orders', 'o_orderkey'),
     ('lineitem', 'l_partkey', 'part', 'p_partkey'), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey')) AS t(child, x, parent, y)),
 ends AS (SELECT child AS label, x AS c, parent AS other, y AS d FROM fk UNION ALL SELECT parent, y, child, x FROM fk),
-step AS (SELECT * FROM ends UNION ALL SELECT 'PT', c, other, d FROM ends WHERE label IN ('customer', 'orders')),
+step AS (SELECT *, NULL::VARCHAR AS relation FROM ends UNION ALL SELECT 'PT', c, other, d, label FROM ends WHERE label IN ('customer', 'orders')),
 grown AS (
-    SELECT 0 AS n, ['PT'] AS labels, []::STRUCT(a BIGINT, c VARCHAR, b BIGINT, d VARCHAR)[] AS edges
+    SELECT 0 AS n, ['PT'] AS labels, []::STRUCT(a BIGINT, c VARCHAR, b BIGINT, d VARCHAR, r VARCHAR)[] AS edges
     UNION ALL
-    SELECT n + 1, list_append(labels, other), list_append(edges, {'a': node, 'c': c, 'b': len(labels) + 1, 'd': d})
+    SELECT n + 1, list_append(labels, other), list_append(edges, {'a': node, 'c': c, 'b': len(labels) + 1, 'd': d, 'r': relation})
     FROM (SELECT n, labels, edges, unnest(range(1, len(labels) + 1)) AS node FROM grown WHERE n < 3) JOIN step ON label = labels[node]),
 told AS (
     SELECT row_number() OVER () AS id, n, labels, edges, list_aggregate(list_sort(labels), 'string_agg', ',') AS label_key,
@@ -499,10 +499,35 @@ def jg_enumeration(x: Context) -> DataFrame:
     return x.spark.createDataFrame(rows, "edges int, labels string, conditions string, valid boolean")
 
 
-@query("jg_redundant")
+#: Instances of a table whose primary keys a graph equates, by the query's join and the graph's edges.
+_REDUNDANT = f"""{_GRAPHS},
+pk AS (SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey'), ('orders', 'o_orderkey')) AS t(t, c)),
+instance AS (
+    SELECT id, 'n.' || node AS x, label AS t FROM nodes WHERE node > 1
+    UNION ALL SELECT id, 'q.' || t, t FROM told, (VALUES ('customer'), ('orders')) AS q(t)),
+half AS (
+    SELECT id, CASE WHEN e.a = 1 THEN 'q.' || e.r ELSE 'n.' || e.a END AS x, e.c AS c, 'n.' || e.b AS y, e.d AS d FROM (SELECT id, unnest(edges) AS e FROM told)
+    UNION ALL SELECT id, 'q.customer', 'c_custkey', 'q.orders', 'o_custkey' FROM told),
+equal AS (SELECT * FROM half UNION SELECT id, y, d, x, c FROM half),
+reach AS (
+    SELECT i.id, i.x AS start, i.t, pk.c AS key, i.x, pk.c FROM instance i JOIN pk ON pk.t = i.t
+    UNION SELECT r.id, r.start, r.t, r.key, e.y, e.d FROM reach r JOIN equal e ON e.id = r.id AND e.x = r.x AND e.c = r.c),
+twice AS (SELECT DISTINCT r.id FROM reach r JOIN instance i ON i.id = r.id AND i.x = r.x AND i.t = r.t WHERE r.x <> r.start AND r.c = r.key),
+fresh AS (SELECT DISTINCT n.id FROM nodes n JOIN information_schema.columns s ON s.table_name = n.label AND s.table_name IN (SELECT label FROM ends) WHERE node > 1 AND NOT EXISTS (SELECT 1 FROM used u WHERE u.id = n.id AND u.node = n.node AND u.col = s.column_name))
+"""
+
+
+@query(
+    "jg_redundant",
+    f"{_REDUNDANT} SELECT n::INTEGER AS edges, label_key AS labels, condition_key AS conditions, bool_or(n > 0 AND id NOT IN (SELECT id FROM fresh)) AS redundant, "
+    "bool_or(n > 0 AND (id NOT IN (SELECT id FROM fresh) OR id IN (SELECT id FROM twice))) AS equal_keys FROM told GROUP BY ALL",
+)
 def jg_redundant(x: Context) -> DataFrame:
-    rows = [(g.text(), g.intermediate, is_redundant(x.catalog, SEGMENT_QUERY, g), is_redundant(x.catalog, SEGMENT_QUERY, g, equal_keys=True)) for g in enumerate_graphs(x.catalog, RELATIONS, 3)]
-    return x.spark.createDataFrame(rows, "graph string, intermediate boolean, redundant boolean, equal_keys boolean")
+    rows = []
+    for g in enumerate_graphs(x.catalog, RELATIONS, 3):
+        labels, edges = g.key()
+        rows.append((len(g.edges), ",".join(labels), ",".join("=".join(pair) for edge in edges for pair in edge), is_redundant(x.catalog, SEGMENT_QUERY, g), is_redundant(x.catalog, SEGMENT_QUERY, g, equal_keys=True)))
+    return x.spark.createDataFrame(rows, "edges int, labels string, conditions string, redundant boolean, equal_keys boolean")
 
 
 @query("jg_counts", f"{_GRAPHS} SELECT m::INTEGER AS max_edges, count(*)::INTEGER AS graphs, count(*) FILTER (WHERE valid)::INTEGER AS valid FROM graphs, (VALUES (1), (2), (3)) AS t(m) WHERE edges <= m GROUP BY m")
