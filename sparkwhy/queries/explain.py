@@ -558,7 +558,7 @@ def var_clusters(x: Context) -> DataFrame:
 @query("rf_importance")
 def rf_importance(x: Context) -> DataFrame:
     apt = apt_of(x)
-    chosen = features.choose(apt.rows, apt.ordinal(), apt.special(), trees=20)
+    chosen = features.choose(apt.rows, apt.ordinal(), apt.special())
     return x.spark.createDataFrame([(apt.named(a).shown(), float(w)) for a, w in chosen.ranked], "attribute string, importance double")
 
 
