@@ -95,15 +95,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     is given; article and main go by their tag alone, so that all articles share their paths. Of
     text in an element that says, or whose names say, that it stands beside the main text the path ends
     in ``CLUTTER``. Names say so unless the element is an article that is in no other one, or holds most of
-    the unlinked text; comment sections and forms do at any length where an article or main holds text.
+    the unlinked text (four fifths, if an article or main has text outside it); where an article or main holds other text, elements beside it, comment sections and forms do at any length.
     End tags may be missing: a paragraph ends at the next block, a list item
     at the next item, and an end tag closes what is open inside its element.
     """
     out: list[Block] = []
     stack: list[tuple[str, str, bool, bool, int]] = []  # tag, name in the path, skipped, block, number if it is doubted
     now: Block | None = None
-    skipped = links = articles = 0
-    doubted: list[tuple[int, int]] = [(0, _DOUBTED)]  # of each element that tag or names doubt: the one around it, its kind
+    skipped = links = articles = mains = 0
+    doubted: list[tuple[int, int, bool]] = [(0, _DOUBTED, False)]  # of each element that tag or names doubt: the one around it, its kind, whether in an article or main
     around = 0  # the innermost open one; 0 is the page
     deep = [Counter()]  # open elements too deep for the stack, by tag: above level DEEPEST of it, and above each further one
 
@@ -117,7 +117,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         now.parts.append((text, links > 0, around))
 
     def pop() -> None:
-        nonlocal skipped, links, articles, around, now
+        nonlocal skipped, links, articles, mains, around, now
         tag, _, skips, block, number = stack.pop()
         if len(stack) >= DEEPEST:
             deep.pop()
@@ -126,6 +126,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         skipped -= skips
         links -= tag == "a"
         articles -= tag == "article"
+        mains -= tag == "main"
         if number:
             around = doubted[number][0]
         if block:
@@ -184,7 +185,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             deep[-1][tag] += 1
             continue  # as browsers do, elements nested deeper open no level of their own
         if kind is not None:
-            doubted.append((around, kind))
+            doubted.append((around, kind, articles + mains > 0))
             around = len(doubted) - 1
         if len(stack) >= DEEPEST:
             deep.append(Counter())
@@ -193,6 +194,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         skipped += skips
         links += tag == "a"
         articles += tag == "article"
+        mains += tag == "main"
     stay = _holding_most(out, doubted)
     found_blocks = []
     for b in out:
@@ -230,12 +232,12 @@ def _attributes(attrs: str) -> dict[str, str]:
     return found
 
 
-def _holding_most(out: list[Block], doubted: list[tuple[int, int]]) -> set[int]:
+def _holding_most(out: list[Block], doubted: list[tuple[int, int, bool]]) -> set[int]:
     """Numbers of the doubted elements whose text is main text after all, and 0."""
     if len(doubted) == 1:
         return {0}
     never = [False]
-    for outer, kind in doubted[1:]:
+    for outer, kind, _ in doubted[1:]:
         never.append(never[outer] or kind == _NEVER)
     held = [0] * len(doubted)
     plain = False
@@ -247,8 +249,9 @@ def _holding_most(out: list[Block], doubted: list[tuple[int, int]]) -> set[int]:
     for k in range(len(doubted) - 1, 0, -1):
         held[doubted[k][0]] += held[k]
     stay = {0}
-    for k, (outer, kind) in enumerate(doubted[1:], 1):
-        if outer in stay and not never[k] and 2 * held[k] > held[0] and not (kind == _REPLIES and plain):
+    for k, (outer, kind, inside) in enumerate(doubted[1:], 1):
+        most = 5 * held[k] > 4 * held[0] if plain else 2 * held[k] > held[0]
+        if outer in stay and not never[k] and most and not (plain and (kind == _REPLIES or not inside)):
             stay.add(k)
     return stay
 

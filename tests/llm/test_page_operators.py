@@ -270,6 +270,9 @@ def test_links_beside_a_large_article_stay_out():
         ("<article><p class='lead story-header'>One, two.</p><div class='banner-photo'>Three.</div><section class='form-and-function'><p>Four.</p></section></article>", "One, two.\nThree.\nFour."),
         ("<article><p>One, two.</p><div class='siteNotice'>no</div><div class='comment-list-2'>no</div><div class='social-share-buttons'>no</div><div id='ad_container'>no</div></article>", "One, two."),
         (f"<form id=all><div><p>{SENTENCE}</p><input><p>Two.</p></div></form>", f"{SENTENCE}\nTwo."), (f"<article><p>One.</p><form><p>{SENTENCE * 9}</p></form></article>", "One."),
+        ("<body><div class=ad>A longer sentence, with points. And more, of it.</div><article><p>Of.</p></article><div id=notice>Another, long sentence of it.</div>", "Of."),
+        (f"<article><p>{SENTENCE}</p><div class=ad><p>{SENTENCE * 2}</p></div></article>", SENTENCE),
+        (f"<article><p>One.</p><div class=social><p>{SENTENCE * 3}</p></div></article>", f"One.\n{SENTENCE * 3}"),
         ("<article><p><a href=x>All of it linked</a></p></article><div><a href=y>other</a></div>", "All of it linked"), ("<nav><a href=x>only a menu</a></nav>", ""),
         ("<article><h1>Title</h1><p>One, two.</p></article><div>A longer sentence, with points. And more, of it.</div>", "Title\nOne, two."),
     ],
