@@ -136,3 +136,35 @@ def test_links_inside_large_groups_are_found_block_by_block(spark):
     links = linked(members, payload, compare, 6)
     found = {r["id"]: r["component"] for r in connected_components(links).collect()}
     assert found == {100 * g + k: 100 * g for g in range(3) for k in range(40)}
+
+
+@pytest.mark.parametrize("ratio", [0.8, 0.97, 1.0])
+def test_size_classes_lose_no_link(spark, ratio):
+    """Ids are linked if their sizes differ by no more than the ratio, sizes just at it included."""
+    rng = np.random.default_rng(12)
+    sizes = {k: int(s) for k, s in enumerate(np.concatenate([rng.integers(1, 4000, 150), [80, 100, 125, 97, 3200, 4000, 2560], np.full(20, 777)]))}
+
+    def compare(left, right):
+        rows = left + (right or [])
+        for i, a in enumerate(left):
+            for b in right or rows[i + 1 :]:
+                x, y = int(a[2]), int(b[2])
+                if min(x, y) >= ratio * max(x, y):
+                    yield a[0], b[0]
+
+    members = spark.createDataFrame([(1, k, 1, s) for k, s in sizes.items()], "group long, id long, weight int, size long")
+    payload = members.select("id", members["size"].cast("string").cast("binary").alias("payload"))
+    found = {r["id"]: r["component"] for r in connected_components(linked(members, payload, compare, 1000, 8, ratio)).collect()}
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, x in sizes.items():
+        for b, y in sizes.items():
+            if a < b and min(x, y) >= ratio * max(x, y):
+                low, high = sorted((root(a), root(b)))
+                up[high] = low
+    assert found == {k: root(k) for k in up}
