@@ -61,11 +61,12 @@ def _contract(kind: pa.DataType, most: int = 200_000) -> Callable:
     return run
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = 200_000) -> DataFrame:
     """(id, component) for every id that links (a, b) name; a component is its smallest id.
 
-    Each partition first replaces its links by as many as join the same ids. Then
-    large-star and small-star steps, which move every neighbour to the smallest one
+    Each partition first replaces its links by as many as join the same ids. If a count shows that at most
+    ``one_task`` are left, one task joins those, which takes one pass where steps over many small partitions take
+    a hundred. Else large-star and small-star steps, which move every neighbour to the smallest one
     known, alternate until nothing changes. What belongs to one id meets only in
     aggregates that combine before the shuffle, and in joins with their written result, whose
     hot ids Spark can split.
@@ -73,6 +74,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     kind = dict(edges.dtypes)["a"]
     arrow = pa.int64() if kind == "bigint" else pa.binary()
     now = stored(edges.select("a", "b").mapInArrow(_contract(arrow), f"a {kind}, b {kind}").distinct(), "links")
+    if now.limit(one_task + 1).count() <= one_task:
+        now = stored(now.coalesce(1).mapInArrow(_contract(arrow, 2 * one_task), f"a {kind}, b {kind}"), "links")
+        return _named(now)
     state = None
     while True:  # each link is (a, b) with a > b
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,6 +89,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if seen == state:
             break
         state = seen
+    return _named(now)
+
+
+def _named(now: DataFrame) -> DataFrame:
     inner = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return inner.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 

@@ -105,7 +105,9 @@ def test_equals_brute_force(spark, sf, width, percent):
 def test_components_equal_a_plain_search(spark):
     rng = np.random.default_rng(7)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 80)]
-    found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    found, steps = ({r["id"]: r["component"] for r in connected_components(links, most).collect()} for most in (200_000, 10))
+    assert found == steps
     up = {}
 
     def root(x):
