@@ -115,11 +115,11 @@ def apt_nation_region(x: Context) -> DataFrame:
     "JOIN customer c ON c.c_nationkey = n_nationkey GROUP BY is_user",
 )
 def apt_second_instance(x: Context) -> DataFrame:
-    """A join graph that joins a table of the query once more: customers of the same nation."""
+    """A join graph that joins a table of the query once more: customers of the same nation, counted without pairing them with each tuple."""
     graph = next(g for g in enumerate_graphs(x.catalog, RELATIONS, 2) if g.labels == ("PT", "nation", "customer") and g.edges[-1].a == 1)
     apt = apts.build(x.catalog, SEGMENT_QUERY, pt_of(x), provenance.roles(x.catalog, SEGMENT_QUERY), graph)
     key = next(a.name for a in apt.attributes if (a.node, a.column) == (2, "c_custkey"))
-    return apt.rows.groupBy("is_user").agg(F.count("*").alias("n_rows"), F.count_distinct("pnumber").alias("tuples"), F.count_distinct(key).alias("customers"))
+    return apts.counts(apt, "is_user", {"tuples": "pnumber", "customers": key})
 
 
 @query(
